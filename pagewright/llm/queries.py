@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import mixing, pieces, sharding
 from .common import table
 
 
@@ -26,6 +26,65 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op7_piece_encoding": op7_piece_encoding}
+def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
-ORACLES: dict[str, str] = {}
+
+def op6_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_KEY = "(rank * 1009 + epoch * 9176 + 7)"
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY source
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM s
+), w AS (
+  SELECT *, [5, 2, 1][(rank - 1) % 3 + 1] AS weight, source_size * 3 AS cap FROM r
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM w
+), t AS (
+  SELECT *, CASE WHEN level * weight >= cap THEN cap::DOUBLE
+    ELSE (max(CASE WHEN level * weight < cap THEN level END) OVER ()) * weight END AS target FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.rank, t.source_size, t.target,
+    coalesce(sum(d.size) OVER (PARTITION BY t.rank ORDER BY {mixing.draw("abs(coalesce(d.doc_id, 0) % 2147483647)", 7, "")} % ceil(t.n_docs / 50000)::BIGINT, d.doc_id, d.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT rank, source_size, source_size // 1024 AS whole, ceil(source_size / 1024)::BIGINT AS blocks, round(target)::BIGINT AS words FROM t WHERE source_size > 0
+), e AS (
+  SELECT *, words // source_size AS epochs, words % source_size AS rest FROM c
+), g AS (
+  SELECT *, unnest(range(epochs * blocks + ceil(rest / 1024)::BIGINT)) AS pos FROM e
+), h AS (
+  SELECT *, pos // blocks AS epoch, pos % blocks AS slot, greatest(ceil(sqrt(whole::DOUBLE))::BIGINT, 1) AS a,
+    greatest(ceil(whole / greatest(ceil(sqrt(whole::DOUBLE)), 1))::BIGINT, 1) AS b FROM g
+), walk AS (
+  SELECT rank, pos, whole, a, b, {_KEY} AS k, {mixing.rounds("slot", "a", "b", _KEY, "", "//")} AS x FROM h WHERE slot < whole
+  UNION ALL
+  SELECT rank, pos, whole, a, b, k, {mixing.rounds("x", "a", "b", "k", "", "//")} AS x FROM walk WHERE x >= whole
+), b AS (
+  SELECT h.rank, coalesce(walk.x, h.slot) AS block, CASE WHEN epoch < epochs THEN least(1024, source_size - coalesce(walk.x, h.slot) * 1024)
+    ELSE least(1024, source_size - coalesce(walk.x, h.slot) * 1024, rest - slot * 1024) END AS words
+  FROM h LEFT JOIN walk ON walk.rank = h.rank AND walk.pos = h.pos AND walk.x < walk.whole
+), x AS (
+  SELECT rank, start, size, unnest(range(start // 1024, (start + size - 1) // 1024 + 1)) AS block FROM p WHERE size > 0
+), y AS (
+  SELECT x.rank, x.start, sum(greatest(0, least(x.start + x.size - x.block * 1024, b.words) - greatest(x.start - x.block * 1024, 0)))::BIGINT AS taken
+  FROM x JOIN b ON x.rank = b.rank AND x.block = b.block GROUP BY x.rank, x.start
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(y.taken, 0)::BIGINT AS taken
+FROM p LEFT JOIN y ON p.rank = y.rank AND p.start = y.start AND p.size > 0
+"""
+
+QUERIES = {"op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding}
+
+ORACLES: dict[str, str] = {"op6_block_mixing": OP6_SQL}
