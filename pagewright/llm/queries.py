@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, sharding
+from . import mixing, pieces, sharding, toxicity
 from .common import table
 
 
@@ -85,6 +85,12 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(y.taken, 0)::BIGINT A
 FROM p LEFT JOIN y ON p.rank = y.rank AND p.start = y.start AND p.size > 0
 """
 
-QUERIES = {"op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    params = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, params).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity}
 
 ORACLES: dict[str, str] = {"op6_block_mixing": OP6_SQL}
