@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, sharding, toxicity
+from . import extraction, mixing, pieces, sharding, toxicity
 from .common import table
 
 
@@ -91,6 +91,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, params).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity}
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text}
 
 ORACLES: dict[str, str] = {"op6_block_mixing": OP6_SQL}
