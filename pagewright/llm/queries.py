@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, mixing, pieces, sharding, toxicity
+from . import extraction, mixing, neighbours, pieces, sharding, toxicity
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
@@ -95,6 +100,18 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text}
+QUERIES = {"op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text}
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 ORACLES: dict[str, str] = {"op6_block_mixing": OP6_SQL}
