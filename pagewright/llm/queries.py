@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, mixing, neighbours, pieces, sharding, toxicity
+from . import extraction, mixing, neardup, neighbours, pieces, sharding, toxicity
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs).drop("g1", "g2")
+
+
 def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -100,7 +105,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text}
+QUERIES = {"op1_bagminhash": op1_bagminhash, "op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text}
 
 OP4_SQL = """
 WITH v AS (
