@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, mixing, neardup, neighbours, pieces, sharding, toxicity
+from . import extraction, mixing, neardup, neighbours, pieces, quality, sharding, toxicity
 from .common import table
 
 
@@ -31,6 +31,13 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).drop("g1", "g2")
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(docs, rules).select("doc_id", *columns)
+
+
 def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -105,7 +112,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op1_bagminhash": op1_bagminhash, "op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text}
+QUERIES = {"op1_bagminhash": op1_bagminhash, "op3_decision_list": op3_decision_list, "op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text}
 
 OP4_SQL = """
 WITH v AS (
