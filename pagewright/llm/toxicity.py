@@ -315,15 +315,17 @@ def held_out_column(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, **options) -> dict[str, np.ndarray]:
-    """Learn from a bounded sample: of each class the ``train_docs`` rows first by a hash of their id, none of more than ``train_chars`` characters.
+    """Learn from a bounded sample: of each class the ``train_docs`` ids first by a hash, less the texts of more than ``train_chars`` characters.
 
     Rows held out, without label or without id are never in it; a row labelled twice counts with its highest label.
     """
-    own = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(~held_out_column()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(~held_out_column()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    sample = [known.filter(F.col("y") == y).orderBy(*order).limit(train_docs) for y in (0, 1)]
+    # The sample has at most 2 * train_docs ids, so it can be broadcast; the texts aren't shuffled.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    short = docs.filter((F.length(text) <= train_chars) & ~held_out_column()).select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("h"))
-    joined = short.join(own, "doc_id")
-    rows = [r for y in (0, 1) for r in joined.filter(F.col("y") == y).orderBy("h", "doc_id", "text").limit(train_docs).collect()]
+    short = docs.filter(F.length(text) <= train_chars).select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("h"))
+    rows = short.join(F.broadcast(sample[0].union(sample[1])), "doc_id").orderBy("y", "h", "doc_id", "text").limit(4 * train_docs).collect()
     return train([r["text"] for r in rows], [int(r["y"]) for r in rows], **options)
 
 
