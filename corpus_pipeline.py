@@ -1,11 +1,60 @@
-"""The corpus pipeline (its stages are being added)."""
+"""The corpus pipeline: five stages from raw documents to token digests.
 
-STAGES = []
+Every stage is written as Parquet and read again as the input of the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagewright.llm import lines, mixing, neardup, pieces, toxicity
+from pagewright.llm.common import materialize, table
+from pagewright.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    params = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, params).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has too, but for an edit or two, are cut out of the texts; documents left without a word go."""
+    return lines.without_lines(docs, lines.dedup_lines(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return neardup.keep_one(docs, materialize(neardup.near_duplicates(docs)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their targets: documents are repeated, cut or left out."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become token ids, given by digests, with those of the texts decoded from them."""
+    return pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), out_ids=None).drop("text")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("piece_encoding", encode),
+]
+
+#: SQL has no recurrent network, edit join at this size, signature or tokenizer; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

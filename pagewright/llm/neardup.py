@@ -243,3 +243,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # Rows of a text with one id are repeats of a row, of which one is kept.
     rank = F.row_number().over(Window.partitionBy("g1", "g2", "doc_id").orderBy("is_head"))
     return out.withColumn("kept", chosen & (rank == 1)).select("doc_id", "class_id", "class_size", F.col("size").alias("n_shingles"), "n_links", "kept", "g1", "g2")
+
+
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``classes`` (of ``near_duplicates(docs)``) keeps: one for each class."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumn("__g1", F.xxhash64(text)).withColumn("__g2", F.xxhash64(F.lit(1), text)).withColumn("__id", F.xxhash64(F.col("doc_id").cast("long")))
+    kept = classes.filter("kept").select(F.col("g1").alias("__g1"), F.col("g2").alias("__g2"), F.xxhash64("doc_id").alias("__id")).distinct()
+    # A repeated row is kept once.
+    turn = F.row_number().over(Window.partitionBy("__g1", "__g2", "__id").orderBy("doc_id"))
+    return named.join(kept, ["__g1", "__g2", "__id"]).withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
