@@ -178,19 +178,20 @@ def mixed_documents(docs: DataFrame, block: int = 1024, **options) -> DataFrame:
     is taken are left out.
     """
     text = F.col("text").cast("string")
-    keys = ["g1", "g2"]
+    keys = ["__g1", "__g2"]
     same = Window.partitionBy(*keys).orderBy("__n0")
     held = docs.select("*", *(F.xxhash64(F.lit(k), "doc_id", "source", text).alias(g) for k, g in enumerate(keys)))
     held = held.withColumn("__n0", F.lit(0)).withColumn("__n", F.row_number().over(same)).drop("__n0")
-    taken = taken_words(docs, block, **options).filter("taken > 0").select(*keys, "size", "spans", F.lit(0).alias("__n0"))
+    taken = taken_words(docs, block, **options).filter("taken > 0")
+    taken = taken.select(F.col("g1").alias("__g1"), F.col("g2").alias("__g2"), F.col("size").alias("__size"), F.col("spans").alias("__spans"), F.lit(0).alias("__n0"))
     taken = taken.withColumn("__n", F.row_number().over(same)).drop("__n0")
-    parts = held.join(taken, [*keys, "__n"]).withColumn("__epoch", F.explode(F.array_distinct(F.transform("spans", lambda s: s["epoch"]))))
-    own = F.filter("spans", lambda s: s["epoch"] == F.col("__epoch"))
+    parts = held.join(taken, [*keys, "__n"]).withColumn("__epoch", F.explode(F.array_distinct(F.transform("__spans", lambda s: s["epoch"]))))
+    own = F.filter("__spans", lambda s: s["epoch"] == F.col("__epoch"))
     count = F.aggregate(own, F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
     cut = F.array_join(
         F.flatten(F.transform(own, lambda s: F.slice(F.col("__words"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " "
     )
-    parts = parts.withColumn("__whole", count == F.col("size")).withColumn("__words", F.when(~F.col("__whole"), words(text)))
+    parts = parts.withColumn("__whole", count == F.col("__size")).withColumn("__words", F.when(~F.col("__whole"), words(text)))
     out = parts.withColumn("text", F.when(F.col("__whole"), text).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
