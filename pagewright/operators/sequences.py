@@ -1,0 +1,168 @@
+"""Ordering, history, trace, incremental and text-unit operators that SQL expresses."""
+
+from __future__ import annotations
+
+from ..plans.relation import Relation
+
+#: Per-run sequence numbers and elapsed milliseconds of trace events.
+TRACE_SEQUENCE = Relation("""
+SELECT event_id, run, stage, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS sequence, (unix_micros(ts) - min(unix_micros(ts)) OVER (PARTITION BY run)) / 1000.0 AS elapsed_ms FROM {trace}""",
+"""
+SELECT event_id, run, stage, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS sequence, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY run)) / 1000.0 AS elapsed_ms FROM {trace}""")
+
+LATEST_STATE = Relation("""
+SELECT run, event_id, stage, value, n FROM (SELECT run, event_id, stage, value, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC) AS turn FROM {trace}) t WHERE turn = 1""")
+
+#: A state is recorded unless it equals the one before it; the last 50 stay.
+HISTORY = Relation("""
+SELECT run, event_id, stage, depth FROM (
+  SELECT run, event_id, stage, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC) AS depth FROM (
+    SELECT *, lag(stage) OVER (PARTITION BY run ORDER BY ts, event_id) AS before FROM {trace}
+  ) s WHERE before IS NULL OR before <> stage
+) h WHERE depth <= 50""")
+
+HISTORY_COUNTS = Relation("SELECT run, count(*) AS undo FROM {history} GROUP BY run")
+
+#: Tumbling windows of an hour over trace events.
+TUMBLING = Relation("""
+SELECT CAST(w AS BIGINT) AS hour, stage, count(*) AS n, sum(value) AS total FROM (SELECT floor(unix_micros(ts) / 3600000000) AS w, stage, value FROM {trace}) t GROUP BY w, stage""",
+"""
+SELECT CAST(w AS BIGINT) AS hour, stage, count(*) AS n, sum(value) AS total FROM (SELECT floor(epoch_us(ts) / 3600000000) AS w, stage, value FROM {trace}) t GROUP BY w, stage""")
+
+#: Sessions of a run: a gap of more than half an hour begins a new one.
+SESSIONS = Relation("""
+SELECT run, session, count(*) AS n, max(us) - min(us) AS length_us FROM (
+  SELECT run, us, sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+    SELECT run, event_id, unix_micros(ts) AS us, lag(unix_micros(ts)) OVER (PARTITION BY run ORDER BY ts, event_id) AS before FROM {trace}) a
+) b GROUP BY run, session""",
+"""
+SELECT run, session, count(*) AS n, max(us) - min(us) AS length_us FROM (
+  SELECT run, us, sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+    SELECT run, event_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY run ORDER BY ts, event_id) AS before FROM {trace}) a
+) b GROUP BY run, session""")
+
+#: Recognition tried again: of up to four candidates the best by confidence, then length; it replaces the first only if clearly better and not blank.
+RETRY = Relation("""
+SELECT run, day, CASE WHEN replaced THEN best_stage ELSE first_stage END AS stage, replaced, CASE WHEN replaced THEN best ELSE first_value END AS value FROM (
+  SELECT run, day, max(CASE WHEN n = 1 THEN stage END) AS first_stage, max(CASE WHEN n = 1 THEN value END) AS first_value, max(CASE WHEN place = 1 THEN stage END) AS best_stage, max(CASE WHEN place = 1 THEN value END) AS best,
+    max(CASE WHEN n = 1 THEN value END) < 80 AND max(CASE WHEN place = 1 THEN value END) > max(CASE WHEN n = 1 THEN value END) + 1.5 AS replaced
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY run, day ORDER BY value DESC, length(stage) DESC, event_id) AS place FROM (
+      SELECT run, event_id, stage, value, CAST(CAST(ts AS DATE) AS STRING) AS day, row_number() OVER (PARTITION BY run, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM {trace}) c WHERE n <= 4
+  ) d GROUP BY run, day
+) e""")
+
+#: Upsert by key: of a run's rows of one stage the last stays, at its own place; rows of a deleted stage go.
+UPSERTED = Relation("""
+SELECT run, stage, event_id, value, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) - 1 AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY run, stage ORDER BY ts DESC, event_id DESC) AS turn FROM {trace}
+) t WHERE turn = 1 AND value >= 0 AND event_id % 13 <> 0""")
+
+#: Which caches go: all but the eight newest pages of a book, and never one under review.
+PRUNED = Relation("""
+SELECT book, page FROM (SELECT o_custkey AS book, o_orderkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS age FROM {orders}) p
+WHERE age > 8 AND NOT EXISTS (SELECT 1 FROM {orders} r WHERE r.o_orderkey = p.page AND r.o_orderstatus = 'P')""")
+
+#: Numbered output names; a name used before, whatever its case, gets a number.
+OUTPUT_NAMES = Relation("""
+SELECT book, page, number, CASE WHEN turn = 1 THEN name ELSE concat(name, '__', lpad(CAST(number AS STRING), 4, '0')) END AS name FROM (
+  SELECT book, page, name, row_number() OVER (PARTITION BY book ORDER BY page) AS number, row_number() OVER (PARTITION BY book, lower(name) ORDER BY page) AS turn FROM (
+    SELECT o_custkey AS book, o_orderkey AS page, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS name FROM {orders}) n
+) m""")
+
+#: Review overrides over stored matches: forced and skipped units, and texts replaced by id.
+OVERLAID = Relation("""
+SELECT s.page AS page, s.rid AS rid, CASE WHEN (m.source IS NOT NULL OR a.act = 'force_match') AND coalesce(a.act, '') <> 'skip_unit' THEN CAST(1 AS BIGINT) ELSE 0 END AS accepted,
+  coalesce(a.target, m.target) AS target, CASE WHEN a.act = 'force_match' THEN 1.0 ELSE m.confidence END AS confidence
+FROM {source} s LEFT JOIN {matches} m ON m.page = s.page AND m.source = s.rid
+LEFT JOIN (SELECT page, rid, CASE WHEN page % 3 = 0 THEN 'force_match' ELSE 'skip_unit' END AS act, CASE WHEN page % 3 = 0 THEN rid END AS target FROM {source} WHERE rid % 4 = 1 AND page % 2 = 0) a ON a.page = s.page AND a.rid = s.rid""")
+
+#: The match of most confidence for each source region, with its overlap.
+REPLACED_REGIONS = Relation("""
+SELECT s.page AS page, s.rid AS source, c.target AS target, c.confidence AS confidence, coalesce(c.confidence >= 0.30, false) AS usable
+FROM {source} s LEFT JOIN (SELECT page, source, target, confidence, row_number() OVER (PARTITION BY page, source ORDER BY confidence DESC, target) AS turn FROM (
+  SELECT page, source, target, confidence FROM {matches} UNION ALL SELECT page, source, target, confidence FROM {splits}) a) c ON c.page = s.page AND c.source = s.rid AND c.turn = 1""")
+
+#: Turns of a conversation as blocks of one text unit for each role: texts in order, mean length, first place.
+TEXT_UNITS = Relation("""
+SELECT conv_id, role, array_join(transform(array_sort(collect_list(struct(turn, text))), s -> trim(s.text)), ' ') AS text, count(*) AS blocks, min(turn) AS reading_order FROM {conversations} WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY conv_id, role""",
+"""
+SELECT conv_id, role, string_agg(trim(text), ' ' ORDER BY turn, text) AS text, count(*) AS blocks, min(turn) AS reading_order FROM {conversations} WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY conv_id, role""")
+
+UNIT_RANKS = Relation("SELECT conv_id, role, blocks, row_number() OVER (PARTITION BY conv_id ORDER BY reading_order, role) - 1 AS place FROM {units}")
+
+#: Documents to do again: their fingerprint isn't among the finished ones.
+FINGERPRINTS = Relation("SELECT doc_id, substring(sha2(concat('v1|', source, '|', lang, '|', CAST(n_chars AS STRING), '|', text), 256), 1, 24) AS fingerprint FROM {documents}", "SELECT doc_id, substring(sha256(concat('v1|', source, '|', lang, '|', CAST(n_chars AS STRING), '|', text)), 1, 24) AS fingerprint FROM {documents}")
+FINISHED = Relation("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat('old', fingerprint) ELSE fingerprint END AS fingerprint FROM {fingerprints} WHERE doc_id % 7 <> 0")
+PENDING = Relation("SELECT f.doc_id AS doc_id, f.fingerprint AS fingerprint FROM {fingerprints} f LEFT ANTI JOIN {finished} d ON d.doc_id = f.doc_id AND d.fingerprint = f.fingerprint", "SELECT f.doc_id AS doc_id, f.fingerprint AS fingerprint FROM {fingerprints} f WHERE NOT EXISTS (SELECT 1 FROM {finished} d WHERE d.doc_id = f.doc_id AND d.fingerprint = f.fingerprint)")
+
+#: A bool, list or null where an object is expected becomes an object or is left out.
+LEGACY_PROPS = Relation("""
+SELECT event_id, CASE WHEN k IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS present, coalesce(k, -1) AS k, concat('{{"k":', CAST(coalesce(k, -1) AS STRING), '}}') AS normalised FROM (SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {trace}) p""",
+"""
+SELECT event_id, CASE WHEN k IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS present, coalesce(k, -1) AS k, concat('{{"k":', CAST(coalesce(k, -1) AS VARCHAR), '}}') AS normalised FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM {trace}) p""")
+
+#: Nearest pages by fingerprint cost: 64 sign bits of neighbouring components, and the distance of the vectors.
+FINGERPRINT_COST = Relation("""
+SELECT a.vec_id AS source, b.vec_id AS target,
+  round(0.58 * aggregate(sequence(0, 62), 0, (n, i) -> n + CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END) / 64.0
+    + 0.16 * least(1.0, sqrt(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> (CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)), 0.0D, (s, v) -> s + v)) / sqrt(2.0D)), 4) AS cost
+FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id - 40 AND a.vec_id + 40 AND a.vec_id <> b.vec_id""",
+"""
+SELECT a.vec_id AS source, b.vec_id AS target,
+  round(0.58 * list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END)) / 64.0
+    + 0.16 * least(1.0, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(2.0)), 4) AS cost
+FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id - 40 AND a.vec_id + 40 AND a.vec_id <> b.vec_id""")
+
+#: The nearest by cost, where the second is clearly farther.
+RATIO_MATCHES = Relation("""
+SELECT source, target, cost FROM (SELECT source, target, cost, lead(cost) OVER (PARTITION BY source ORDER BY cost, target) AS second, row_number() OVER (PARTITION BY source ORDER BY cost, target) AS turn FROM {costs}) r
+WHERE turn = 1 AND cost < 0.99 * second""")
+
+#: Pages of two folders joined on keys that are unique on both sides.
+UNIQUE_KEYS = Relation("""
+SELECT a.page_id AS source, b.page_id AS target, a.key AS key FROM
+  (SELECT page_id, key FROM (SELECT page_id, key, count(*) OVER (PARTITION BY key) AS n FROM {source} WHERE key IS NOT NULL AND key <> '') x WHERE n = 1) a
+  JOIN (SELECT page_id, key FROM (SELECT page_id, key, count(*) OVER (PARTITION BY key) AS n FROM {target} WHERE key IS NOT NULL AND key <> '') y WHERE n = 1) b ON a.key = b.key""")
+_PATH = "regexp_replace(regexp_replace(url, '[?#].*', ''), '^https?://', '')"
+PAGE_NUMBERS = Relation(
+    "SELECT page_id, url, CASE WHEN d = '' THEN NULL WHEN regexp_replace(d, '^0+', '') = '' THEN '0' ELSE regexp_replace(d, '^0+', '') END AS key FROM (SELECT page_id, url, regexp_extract(" + _PATH + ", '([0-9]+)[^0-9]*$', 1) AS d FROM {pages}) p"
+)
+PAGE_NAMES = Relation("SELECT page_id, lower(regexp_replace(regexp_replace(" + _PATH + ", '^[^/]*', ''), '[^0-9A-Za-z]+', '')) AS key FROM {pages}", "SELECT page_id, lower(regexp_replace(regexp_replace(" + _PATH + ", '^[^/]*', ''), '[^0-9A-Za-z]+', '', 'g')) AS key FROM {pages}")
+#: Exact names first; page numbers only for what they leave.
+NAME_ANCHORS = Relation("""
+SELECT source, target, 'exact' AS how FROM {exact}
+UNION ALL
+SELECT n.source, n.target, 'number' FROM {numbers} n LEFT JOIN {exact} e ON e.source = n.source LEFT JOIN {exact} f ON f.target = n.target WHERE e.source IS NULL AND f.target IS NULL""")
+
+NATURAL_ORDER = Relation("""
+SELECT page_id, row_number() OVER (ORDER BY host, CASE WHEN key IS NULL THEN 1 ELSE 0 END, length(key), key, page_id) - 1 AS place FROM (
+  SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, key FROM {numbers}) n""")
+
+#: Lines of documents made even: line ends, outer white space and blank lines.
+CLEAN_LINES = Relation("""
+SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, count(DISTINCT line) AS distinct_lines FROM (SELECT doc_id, trim(line) AS line FROM (SELECT doc_id, explode(split(text, '\\n')) AS line FROM {documents}) a) b WHERE line <> '' GROUP BY doc_id""".replace("\\n", "\\\\n"),
+"""
+SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, count(DISTINCT line) AS distinct_lines FROM (SELECT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) a) b WHERE line <> '' GROUP BY doc_id""")
+
+#: Secrets that need no look-around, by kind.
+SECRET_SCAN = Relation("""
+SELECT id, kind FROM (
+  SELECT doc_id AS id, explode(array_compact(array(
+    CASE WHEN text RLIKE '-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----' THEN 'private key' END, CASE WHEN text RLIKE '(^|[^A-Za-z0-9])github_pat_[A-Za-z0-9_]{{20,}}' THEN 'GitHub token' END,
+    CASE WHEN text RLIKE '(^|[^A-Z0-9])AKIA[0-9A-Z]{{16}}([^A-Z0-9]|$)' THEN 'AWS access key' END, CASE WHEN text RLIKE '(^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{{20,}}' THEN 'GitHub token (short)' END,
+    CASE WHEN text RLIKE '(^|[^A-Za-z0-9])hf_[A-Za-z0-9]{{20,}}' THEN 'Hugging Face token' END, CASE WHEN text RLIKE '(^|[^A-Za-z0-9])xox[baprs]-[A-Za-z0-9-]{{20,}}' THEN 'Slack token' END,
+    CASE WHEN text RLIKE '(^|[^A-Za-z0-9])sk_live_[A-Za-z0-9]{{20,}}' THEN 'Stripe live secret' END, CASE WHEN text RLIKE '(^|[^A-Za-z0-9])AIza[0-9A-Za-z_-]{{30,}}' THEN 'Google API key' END))) AS kind
+  FROM {documents}) s""",
+"""
+SELECT id, kind FROM (
+  SELECT doc_id AS id, unnest(list_filter([
+    CASE WHEN regexp_matches(text, '-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----') THEN 'private key' END, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])github_pat_[A-Za-z0-9_]{{20,}}') THEN 'GitHub token' END,
+    CASE WHEN regexp_matches(text, '(^|[^A-Z0-9])AKIA[0-9A-Z]{{16}}([^A-Z0-9]|$)') THEN 'AWS access key' END, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{{20,}}') THEN 'GitHub token (short)' END,
+    CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])hf_[A-Za-z0-9]{{20,}}') THEN 'Hugging Face token' END, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])xox[baprs]-[A-Za-z0-9-]{{20,}}') THEN 'Slack token' END,
+    CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])sk_live_[A-Za-z0-9]{{20,}}') THEN 'Stripe live secret' END, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])AIza[0-9A-Za-z_-]{{30,}}') THEN 'Google API key' END], lambda x: x IS NOT NULL)) AS kind
+  FROM {documents}) s""")
+
+#: Path rules over page addresses.
+PATH_SCAN = Relation("""
+SELECT page_id, CASE WHEN lower(url) LIKE '%.env%' THEN 'environment file' WHEN lower(url) LIKE '%/logs/%' OR lower(url) LIKE '%/cache/%' OR lower(url) LIKE '%/output/%' THEN 'runtime path' WHEN lower(url) LIKE '%.log' OR lower(url) LIKE '%.pem' OR lower(url) LIKE '%.key' THEN 'private file' ELSE 'ok' END AS verdict FROM {pages}""")

@@ -1,4 +1,137 @@
 """The registered queries for the engine's own operators, with DuckDB SQL for each that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import regions as R
+from .operators import rules as U
+from .operators import sequences as S
+from .plans import adapters as A
+from .plans.relation import Relation
+
+
+class Plan:
+    """An operator with the plans of its inputs; a plain string is a table of the data folder."""
+
+    def __init__(self, op: Relation, **inputs: Plan | str):
+        self.op, self.inputs = op, inputs
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        def of(source: Plan | str) -> DataFrame:
+            return spark.read.parquet(f"{sf_dir}/{source}.parquet") if isinstance(source, str) else source.frame(spark, sf_dir)
+
+        return self.op(**{k: of(v) for k, v in self.inputs.items()})
+
+    def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The frame with all whole numbers as long, as window functions give them in other engines."""
+        df = self.frame(spark, sf_dir)
+        return df.select(*(df[c].cast("long").alias(c) if t == "int" else df[c] for c, t in df.dtypes))
+
+    def other(self) -> str:
+        return self.op.text(**{k: v if isinstance(v, str) else v.other() for k, v in self.inputs.items()})
+
+
+source, target, pages, trace = Plan(A.SOURCE_REGIONS, lineitem="lineitem"), Plan(A.TARGET_REGIONS, lineitem="lineitem"), Plan(A.PAGES, orders="orders"), Plan(A.TRACE, events="events")
+records = Plan(A.RECORDS, regions=source)
+sides = {"source": source, "target": target}
+costs = Plan(R.COSTS, **sides, pages=pages)
+best = Plan(R.BEST, costs=costs)
+matches = Plan(R.MUTUAL, best=best)
+accepted = Plan(R.ACCEPTED, matches=matches, pages=pages, **sides)
+splits = Plan(R.SPLITS, costs=costs, matches=matches, best=best)
+unmatched = Plan(R.UNMATCHED, matches=matches, **sides)
+lettering = Plan(U.LETTERING, target=target)
+issues = Plan(U.ISSUES, pages=pages, matches=matches, splits=splits, unmatched=unmatched, lettering=lettering, accepted=accepted, **sides)
+summary = Plan(U.SUMMARY, issues=issues)
+authority = Plan(R.AUTHORITY, regions=source, items=target)
+triaged = Plan(U.TRIAGED, records=records)
+evidence = Plan(U.EVIDENCE, pages=pages)
+numbers = Plan(S.PAGE_NUMBERS, pages="pages")
+names = Plan(S.PAGE_NAMES, pages="pages")
+by_number = Plan(S.UNIQUE_KEYS, source=numbers, target=numbers)
+by_name = Plan(S.UNIQUE_KEYS, source=names, target=names)
+history = Plan(S.HISTORY, trace=trace)
+units = Plan(S.TEXT_UNITS, conversations="conversations")
+prints = Plan(S.FINGERPRINTS, documents="documents")
+finished = Plan(S.FINISHED, fingerprints=prints)
+fingerprint_costs = Plan(S.FINGERPRINT_COST, embeddings="embeddings")
+
+MATCH_SUMMARY = Relation("""
+SELECT p.page AS page, p.pair_confidence AS pair_confidence, p.registration_confidence AS registration_confidence, coalesce(a.accepted, 0) AS accepted, coalesce(a.mean_confidence, 0.0) AS mean_confidence,
+  coalesce(s.errors, 0) AS errors, coalesce(s.warnings, 0) AS warnings, coalesce(s.errors, 0) = 0 AS passed
+FROM {pages} p LEFT JOIN (SELECT page, count(*) AS accepted, avg(confidence) AS mean_confidence FROM {accepted} GROUP BY page) a ON a.page = p.page LEFT JOIN {summary} s ON s.page = p.page""")
+
+PLANS: dict[str, Plan] = {
+    "page_region_match_summary": Plan(MATCH_SUMMARY, pages=pages, accepted=accepted, summary=summary),
+    "region_pairs": Plan(R.PAIRS, **sides),
+    "region_pair_cost": costs,
+    "region_best_candidate_margin": best,
+    "region_top3": Plan(R.TOP3, costs=costs),
+    "region_mutual_matches": matches,
+    "accepted_matches": accepted,
+    "split_merge_candidates": splits,
+    "unmatched_regions": unmatched,
+    "point_in_region_assignment": Plan(R.ASSIGNED, blocks=target, regions=source),
+    "region_uncovered": Plan(R.UNCOVERED, source=target, target=source),
+    "region_range_query": Plan(R.RANGE_QUERY, regions=source, blocks=target),
+    "region_binding_query": Plan(R.BINDING_QUERY, regions=source, blocks=target),
+    "layout_authority": authority,
+    "candidate_decision": Plan(R.CANDIDATE_DECISION, authority=authority),
+    "white_completion": Plan(R.WHITE_COMPLETION, target=target, existing=Plan(A.HALF, regions=source)),
+    "review_completion": Plan(R.REVIEW_COMPLETION, target=target, review=source),
+    "grid_join_equivalence": Plan(R.GRID_PAIRS, **sides),
+    "reading_order_rank": Plan(R.READING_ORDER, regions=source),
+    "nearest_anchor": Plan(R.NEAREST_ANCHOR, regions=source),
+    "page_furniture": Plan(R.FURNITURE, regions=source),
+    "paired_id_matches": Plan(R.PAIRED_IDS, pages=pages, **sides),
+    "semantic_route": Plan(U.ROUTES, labels=Plan(U.PART_LABELS, part="part")),
+    "qa_issue_rows": issues,
+    "qa_page_summary": summary,
+    "qa_book_rollup": Plan(U.BOOK_ROLLUP, pages=pages, summary=summary),
+    "qa_code_rollup": Plan(U.CODE_CUBE, issues=issues),
+    "transfer_record_summary": Plan(U.RECORD_SUMMARY, records=triaged),
+    "transfer_reason_histogram": Plan(U.REASONS, records=records),
+    "transfer_triage": triaged,
+    "transfer_review_rows": Plan(U.REVIEW_ROWS, records=records),
+    "completion_needed": Plan(U.COMPLETION_NEEDED, pages=pages, records=records),
+    "page_triage": Plan(U.PAGE_TRIAGE, pages=pages, triaged=triaged),
+    "registration_gate_reason": Plan(U.REGISTRATION_GATE, pages=pages),
+    "registration_rank": Plan(U.REGISTRATION_RANK, pages=pages),
+    "source_evidence": evidence,
+    "source_arbitration": Plan(U.SELECTED_SOURCE, evidence=evidence),
+    "mode_violations": Plan(U.MODE_VIOLATIONS, orders="orders"),
+    "workspace_integrity": Plan(U.INTEGRITY, files=Plan(U.FILES, orders="orders")),
+    "page_marks": Plan(U.MARKS, orders="orders"),
+    "trace_sequence": Plan(S.TRACE_SEQUENCE, trace=trace),
+    "latest_run_state": Plan(S.LATEST_STATE, trace=trace),
+    "history_last50": history,
+    "history_counts": Plan(S.HISTORY_COUNTS, history=history),
+    "trace_windows_tumbling": Plan(S.TUMBLING, trace=trace),
+    "trace_windows_session": Plan(S.SESSIONS, trace=trace),
+    "retry_arbitration": Plan(S.RETRY, trace=trace),
+    "block_upsert": Plan(S.UPSERTED, trace=trace),
+    "cache_pruning": Plan(S.PRUNED, orders="orders"),
+    "output_names": Plan(S.OUTPUT_NAMES, orders="orders"),
+    "override_overlay": Plan(S.OVERLAID, source=source, matches=matches),
+    "replaced_regions": Plan(S.REPLACED_REGIONS, source=source, matches=matches, splits=splits),
+    "text_units": units,
+    "text_unit_ranks": Plan(S.UNIT_RANKS, units=units),
+    "stage_fingerprints": prints,
+    "resume_pending": Plan(S.PENDING, fingerprints=prints, finished=finished),
+    "legacy_props_normalised": Plan(S.LEGACY_PROPS, trace=trace),
+    "fingerprint_cost": fingerprint_costs,
+    "fingerprint_ratio_matches": Plan(S.RATIO_MATCHES, costs=fingerprint_costs),
+    "page_number_keys": numbers,
+    "unique_key_pairs": by_number,
+    "name_anchor_candidates": Plan(S.NAME_ANCHORS, exact=by_name, numbers=by_number),
+    "natural_order_pages": Plan(S.NATURAL_ORDER, numbers=numbers),
+    "clean_lines": Plan(S.CLEAN_LINES, documents="documents"),
+    "privacy_scan": Plan(S.SECRET_SCAN, documents="documents"),
+    "privacy_path_scan": Plan(S.PATH_SCAN, pages="pages"),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: p.query for k, p in PLANS.items()}
+ORACLES: dict[str, str] = {k: p.other() for k, p in PLANS.items()}
