@@ -12,9 +12,10 @@ Jaccard similarity.
 
 Signatures are cut into bands; documents equal in a band meet in a bucket.  Within a bucket all
 are compared with one centre, links are joined into components, and only documents of a bucket in
-different components are compared pair by pair, after exact bounds on their similarity.  So a large
-group of near copies costs a comparison for each member and bucket, not for each pair, and no link between different
-components is lost.  Every link is verified on the shingles of the whole texts.
+different components are compared with each other, after exact bounds on their similarity: those of small buckets
+as pairs, those of large ones in blocks of bounded size whose overlaps are one matrix product, so that no
+pairs are emitted but links.  No link between different components is lost.  Every link is verified on the shingles of the whole
+texts.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .graph import components
 SHINGLE = 5
 #: At a similarity of 0.8 a pair shares none of the 24 bands of 4 with a probability of 3e-6.
 BANDS, ROWS = 24, 4
+#: Buckets of at most so many documents are compared as pairs; blocks of larger ones hold about so many documents and shingles.
+PAIR_BUCKET, BLOCK_DOCS, BLOCK_SHINGLES = 48, 1024, 400_000
 
 _white = np.zeros(256, bool)
 _white[[ord(c) for c in WHITE_CHARS]] = True
@@ -187,6 +190,57 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def block_links(texts: list[str], components: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The pairs (one of ``left``, one of ``right``, as flags) of different components with a similarity of ``threshold`` or more."""
+    doc, value, count = weighted(*shingles(texts))
+    # The k-th occurrence of a shingle is an element of its own, so that overlaps of multisets are overlaps of sets.
+    doc, value = np.repeat(doc, count), np.repeat(value, count)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    totals = np.bincount(doc, minlength=len(texts)).astype(np.float32)
+    _, element, seen = np.unique(mix64(value + nth.astype(_U) * _U(_GOLDEN)), return_inverse=True, return_counts=True)
+    shared = seen[element] > 1
+    kept, element = np.unique(element[shared], return_inverse=True)
+    doc = doc[shared]
+    rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+    place_of_row, place_of_column = np.full(len(texts), -1), np.full(len(texts), -1)
+    place_of_row[rows], place_of_column[columns] = np.arange(len(rows)), np.arange(len(columns))
+    common = np.zeros((len(rows), len(columns)), np.float32)
+    order = np.argsort(element, kind="stable")
+    doc, element = doc[order], element[order]
+    for lo in range(0, len(kept), 4096):
+        part = slice(*np.searchsorted(element, (lo, lo + 4096)))
+        d, e = doc[part], element[part] - lo
+        a, b = np.zeros((len(rows), 4096), np.float32), np.zeros((len(columns), 4096), np.float32)
+        own = place_of_row[d] >= 0
+        a[place_of_row[d[own]], e[own]] = 1
+        own = place_of_column[d] >= 0
+        b[place_of_column[d[own]], e[own]] = 1
+        common += a @ b.T
+    union = totals[rows][:, None] + totals[columns][None, :] - common
+    near = (common >= threshold * union - 1e-3) & (components[rows][:, None] != components[columns][None, :])
+    found = [(int(rows[i]), int(columns[j])) for i, j in zip(*np.nonzero(near), strict=True) if rows[i] != columns[j]]
+    return [(i, j) for i, j in found if common[place_of_row[i], place_of_column[j]] / union[place_of_row[i], place_of_column[j]] >= np.float32(threshold)]
+
+
+def _in_blocks(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between documents of different components in large buckets: placed (bucket, node, size, component, chunks)."""
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    rows = placed.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
+
+    def block(pdf):
+        import pandas as pd
+
+        first = pdf.chunk.to_numpy() == pdf.i.to_numpy()
+        second = pdf.chunk.to_numpy() == pdf.j.to_numpy()
+        nodes = pdf.node.to_numpy()
+        found = block_links(pdf.text.tolist(), pdf.component.to_numpy(), first, second, threshold)
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"]).astype("int64")
+
+    joined = rows.join(texts, "node").select("bucket", "i", "j", "chunk", "node", "component", "text")
+    return joined.groupBy("bucket", "i", "j").applyInPandas(block, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The class of every row of ``docs`` (doc_id, text): doc_id, class_id, class_size, n_shingles, n_links, kept, g1, g2.
 
@@ -222,13 +276,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = placed.withColumn("least", F.min("component").over(bucket)).withColumn("most", F.max("component").over(bucket)).filter("least <> most")
     placed = placed.join(first.withColumnRenamed("a", "node").withColumnRenamed("b", "centre"), ["node", "centre"], "left")
-    placed = materialize(placed.filter("node <> centre").select("bucket", "node", "size", "component", (1 - F.col("similarity")).alias("distance")))
-    x, y = placed.alias("x"), placed.alias("y")
+    sized = placed.filter("node <> centre").select("bucket", "node", "size", "component", (1 - F.col("similarity")).alias("distance"))
+    chunks = F.greatest(F.ceil(F.count("*").over(bucket) / BLOCK_DOCS), F.ceil(F.sum("size").over(bucket) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    placed = materialize(sized.withColumn("members", F.count("*").over(bucket)).withColumn("chunks", chunks))
+    x, y = placed.filter(F.col("members") <= PAIR_BUCKET).alias("x"), placed.alias("y")
     # 1 - similarity is a metric, so two documents are at least as far apart as their distances from the centre differ.
     apart = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - threshold + 1e-9, F.lit(True))
     cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near(F.col("x.size"), F.col("y.size")) & apart)
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialize(_verified(cross, texts).filter(F.col("similarity") >= threshold).select("a", "b"))
+    more = _verified(cross, texts).filter(F.col("similarity") >= threshold).select("a", "b").unionByName(_in_blocks(placed.filter(F.col("members") > PAIR_BUCKET), texts, threshold))
+    more = materialize(more.distinct())
     every = links.unionByName(more)
     final = components(every)
     degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -57,7 +57,24 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(hits) - want) < 0.03
 
 
-def test_same_classes_as_brute_force(spark):
+def test_blocks_find_the_same_links():
+    rng = random.Random(5)
+    base = [rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = "zz" + rng.choice("abcdef")
+        texts.append(" ".join(t))
+    comp = np.array([i % 7 for i in range(60)])
+    left, right = np.arange(60) < 25, np.arange(60) >= 20
+    got = {tuple(sorted(p)) for p in N.block_links(texts, comp, left, right, 0.8)}
+    want = {(min(i, j), max(i, j)) for i in range(25) for j in range(20, 60) if i != j and comp[i] != comp[j] and jaccard(texts[i], texts[j]) >= 0.8}
+    assert got == want and want
+
+
+def test_same_classes_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIR_BUCKET", 3)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows, n = [], 0
