@@ -1,15 +1,18 @@
 """Operators over the ordered or optimal structure of one group: alignments, assignments, greedy passes, splits.
 
-Each works on one page or book at a time (``applyInPandas``); a group is one page's regions or one
+Each works on one page or book at a time; a group is one page's regions or one
 book's pages, never a whole table.  Rows are read by an explicit order column, so results don't
 depend on how they are dealt to tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Alignment limits and penalties (fixed values).
 GAP, MAX_PAIR_COST, FULL_CELLS, BAND = 0.52, 0.62, 250_000, 64
@@ -153,90 +156,138 @@ def two_groups(points: np.ndarray, improvement: float = 0.58, apart: float = 3.2
     return own if good else one
 
 
-_BOX = ["x0", "y0", "x1", "y1"]
+_BOX = ("x0", "y0", "x1", "y1")
+
+
+def per_group(df: DataFrame, key: str, fn: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str, order: Sequence[str] = ()) -> DataFrame:
+    """``fn`` of each group's columns, in order.
+
+    Rows are dealt and sorted by the key, and a task walks through its groups; it holds one Arrow batch and one group
+    at a time, and the cost of a call is that of slicing arrays, so very many small groups are cheap.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def groups(pdf: pd.DataFrame) -> pd.DataFrame:
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            keys = columns[key]
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else [0]
+            rows = [row for lo, hi in zip(cuts, cuts[1:]) for row in fn({c: v[lo:hi] for c, v in columns.items()})]
+            return pd.DataFrame(rows, columns=names).convert_dtypes()
+
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(pdf):
+                first = int(np.searchsorted(pdf[key].to_numpy(), pdf[key].iloc[-1]))
+                held = pdf.iloc[first:]
+                if first:
+                    yield groups(pdf.iloc[:first])
+        if held is not None and len(held):
+            yield groups(held)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def _boxes(group: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([group[c] for c in _BOX], axis=1).astype(float)
+
+
+def _both(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The rows of two sides with a column ``side``, 0 and 1."""
+    return source.withColumn("side", F.lit(0)).unionByName(target.withColumn("side", F.lit(1)))
+
+
+def _side(group: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    own = group["side"] == k
+    return {c: v[own] for c, v in group.items()}
 
 
 def match_units(costs: DataFrame, max_cost: float = 0.74) -> DataFrame:
     """costs (page, source, target, cost) to the optimal assignment of each page, with its margin and confidence."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="source", columns="target", values="cost", aggfunc="min").sort_index().sort_index(axis=1)
-        cost = table.to_numpy()
+    def page(g: dict[str, np.ndarray]) -> list[tuple]:
+        sources, i = np.unique(g["source"], return_inverse=True)
+        targets, j = np.unique(g["target"], return_inverse=True)
+        cost = np.full((len(sources), len(targets)), 1e6)
+        np.minimum.at(cost, (i, j), g["cost"])
         rows = []
-        for i, j in assign(np.where(np.isnan(cost), 1e6, cost)):
-            if cost[i, j] <= max_cost:
-                two = np.sort(cost[i][~np.isnan(cost[i])])[:2]
+        for r, c in assign(cost):
+            if cost[r, c] <= max_cost:
+                two = np.sort(cost[r])[:2]
                 margin = float(two[1] - two[0]) if len(two) > 1 else 1.0
-                confidence = min(1.0, max(0.0, 1 - cost[i, j] / max_cost)) * min(1.0, max(0.45, 0.45 + margin / 0.22))
-                rows.append((int(pdf.page.iloc[0]), int(table.index[i]), int(table.columns[j]), float(cost[i, j]), margin, confidence))
-        return pd.DataFrame(rows, columns=["page", "source", "target", "cost", "margin", "confidence"])
+                confidence = min(1.0, max(0.0, 1 - cost[r, c] / max_cost)) * min(1.0, max(0.45, 0.45 + margin / 0.22))
+                rows.append((int(g["page"][0]), int(sources[r]), int(targets[c]), float(cost[r, c]), margin, confidence))
+        return rows
 
-    return costs.groupBy("page").applyInPandas(page, "page long, source long, target long, cost double, margin double, confidence double")
+    return per_group(costs.select("page", "source", "target", "cost"), "page", page, "page long, source long, target long, cost double, margin double, confidence double")
 
 
 def align_pages(source: DataFrame, target: DataFrame) -> DataFrame:
     """The ordered pages (book, page, ord, value) of two editions, aligned by value and place."""
 
-    def book(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["ord", "page"]), b.sort_values(["ord", "page"])
-        x, y = a.value.to_numpy(float), b.value.to_numpy(float)
+    def book(g: dict[str, np.ndarray]) -> list[tuple]:
+        a, b = _side(g, 0), _side(g, 1)
+        x, y = a["value"].astype(float), b["value"].astype(float)
         place = lambda n: np.arange(n) / max(1, n - 1)
         cost = 0.84 * np.minimum(1, np.abs(x[:, None] - y[None, :])) + 0.16 * np.abs(place(len(x))[:, None] - place(len(y))[None, :])
         pairs = [(i, j) for i, j in aligned(cost) if cost[i, j] <= MAX_PAIR_COST] if len(x) and len(y) else []
-        name = int((a if len(a) else b).book.iloc[0])
-        rows = [(name, int(a.page.iloc[i]), int(b.page.iloc[j]), float(cost[i, j]), float(np.clip(1 - cost[i, j] / MAX_PAIR_COST, 0, 1))) for i, j in pairs]
-        rows += [(name, int(a.page.iloc[i]), None, None, None) for i in sorted(set(range(len(x))) - {i for i, _ in pairs})]
-        rows += [(name, None, int(b.page.iloc[j]), None, None) for j in sorted(set(range(len(y))) - {j for _, j in pairs})]
-        return pd.DataFrame(rows, columns=["book", "source", "target", "cost", "confidence"]).astype({"source": "Int64", "target": "Int64"})
+        name = int(g["book"][0])
+        rows = [(name, int(a["page"][i]), int(b["page"][j]), float(cost[i, j]), float(np.clip(1 - cost[i, j] / MAX_PAIR_COST, 0, 1))) for i, j in pairs]
+        rows += [(name, int(a["page"][i]), None, None, None) for i in sorted(set(range(len(x))) - {i for i, _ in pairs})]
+        return rows + [(name, None, int(b["page"][j]), None, None) for j in sorted(set(range(len(y))) - {j for _, j in pairs})]
 
-    return source.groupBy("book").cogroup(target.groupBy("book")).applyInPandas(book, "book long, source long, target long, cost double, confidence double")
+    columns = ["book", "page", "ord", "value"]
+    return per_group(_both(source.select(columns), target.select(columns)), "book", book, "book long, source long, target long, cost double, confidence double", ["side", "ord", "page"])
 
 
 def greedy_pairs(source: DataFrame, target: DataFrame, accept: float = 0.20) -> DataFrame:
     """Each target region in order takes the best source region not yet taken, if their IoU is ``accept`` or more."""
 
-    def page(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("rid"), b.sort_values("rid")
+    def page(g: dict[str, np.ndarray]) -> list[tuple]:
+        a, b = _side(g, 0), _side(g, 1)
         rows = []
-        if len(a) and len(b):
-            overlap = box_iou(a[_BOX].to_numpy(float), b[_BOX].to_numpy(float))
-            for j in range(len(b)):
+        if len(a["rid"]) and len(b["rid"]):
+            overlap = box_iou(_boxes(a), _boxes(b))
+            for j in range(overlap.shape[1]):
                 i = int(overlap[:, j].argmax())
                 if overlap[i, j] >= accept:
-                    rows.append((int(a.page.iloc[0]), int(a.rid.iloc[i]), int(b.rid.iloc[j]), float(overlap[i, j]), min(float(a.confidence.iloc[i]), float(b.confidence.iloc[j]), 0.45 + 0.55 * float(overlap[i, j]))))
+                    found = float(overlap[i, j])
+                    rows.append((int(g["page"][0]), int(a["rid"][i]), int(b["rid"][j]), found, min(float(a["confidence"][i]), float(b["confidence"][j]), 0.45 + 0.55 * found)))
                     overlap[i] = -1
-        return pd.DataFrame(rows, columns=["page", "source", "target", "iou", "confidence"])
+        return rows
 
-    return source.groupBy("page").cogroup(target.groupBy("page")).applyInPandas(page, "page long, source long, target long, iou double, confidence double")
+    columns = ["page", "rid", *_BOX, "confidence"]
+    return per_group(_both(source.select(columns), target.select(columns)), "page", page, "page long, source long, target long, iou double, confidence double", ["side", "rid"])
 
 
 def suppress(regions: DataFrame, limit: float = 0.62, strict: bool = False) -> DataFrame:
     """Regions by falling confidence, without those that overlap one kept before."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "rid"], ascending=[False, True])
-        return pdf.iloc[greedy_keep(pdf[_BOX].to_numpy(float), limit, strict)][["page", "rid", "confidence"]]
+    def page(g: dict[str, np.ndarray]) -> list[tuple]:
+        order = np.lexsort((g["rid"], -g["confidence"]))
+        kept = order[greedy_keep(_boxes(g)[order], limit, strict)]
+        return [(int(g["page"][i]), int(g["rid"][i]), float(g["confidence"][i])) for i in kept]
 
-    return regions.groupBy("page").applyInPandas(page, "page long, rid long, confidence double")
+    return per_group(regions.select("page", "rid", *_BOX, "confidence"), "page", page, "page long, rid long, confidence double")
 
 
 def split_compounds(regions: DataFrame) -> DataFrame:
     """The group, 0 or 1, of every region of a page by the centres of its regions."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid")
-        centres = np.stack([(pdf.x0 + pdf.x1) / 2, (pdf.y0 + pdf.y1) / 2], axis=1)
-        return pd.DataFrame({"page": pdf.page, "rid": pdf.rid, "part": two_groups(centres)})
+    def page(g: dict[str, np.ndarray]) -> list[tuple]:
+        boxes = _boxes(g)
+        parts = two_groups((boxes[:, :2] + boxes[:, 2:]) / 2)
+        return [(int(p), int(r), int(k)) for p, r, k in zip(g["page"], g["rid"], parts, strict=True)]
 
-    return regions.groupBy("page").applyInPandas(page, "page long, rid long, part long")
+    return per_group(regions.select("page", "rid", *_BOX), "page", page, "page long, rid long, part long", ["rid"])
 
 
 def monotone_anchors(pairs: DataFrame) -> DataFrame:
     """The anchors (book, source, target, how) that can stand together: exact names weigh 3, numbers 1."""
 
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source", "target"])
-        keep = increasing_subset([(s, t, 3.0 if h == "exact" else 1.0) for s, t, h in zip(pdf.source, pdf.target, pdf.how, strict=True)])
-        return pdf.iloc[keep][["book", "source", "target", "how"]]
+    def book(g: dict[str, np.ndarray]) -> list[tuple]:
+        keep = increasing_subset([(s, t, 3.0 if h == "exact" else 1.0) for s, t, h in zip(g["source"], g["target"], g["how"], strict=True)])
+        return [(int(g["book"][i]), int(g["source"][i]), int(g["target"][i]), g["how"][i]) for i in keep]
 
-    return pairs.groupBy("book").applyInPandas(book, "book long, source long, target long, how string")
+    return per_group(pairs.select("book", "source", "target", "how"), "book", book, "book long, source long, target long, how string", ["source", "target"])

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import geometry as geo
+from .functions import text as T
+from .operators import grouped as G
 from .operators import regions as R
 from .operators import rules as U
 from .operators import sequences as S
 from .plans import adapters as A
 from .plans.relation import Relation
+from .streaming import history as H
 
 
 class Plan:
@@ -135,3 +140,62 @@ PLANS: dict[str, Plan] = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: p.query for k, p in PLANS.items()}
 ORACLES: dict[str, str] = {k: p.other() for k, p in PLANS.items()}
+
+
+# Operators over the order or the optimum of a group, which SQL doesn't express; the tests hold them against brute force.
+
+
+def _ordered_pages(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    value = (F.col("o_totalprice").cast("long") % 997) / F.lit(997.0)
+    rows = docs.select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("page"), F.unix_date(F.col("o_orderdate").cast("date")).alias("ord"), value.alias("value"))
+    return rows if not shift else rows.filter(F.col("page") % 7 != 0).withColumn("value", F.col("value") + 0.01)
+
+
+def page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.align_pages(_ordered_pages(spark, sf_dir, 0), _ordered_pages(spark, sf_dir, 1))
+
+
+def unit_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.match_units(costs.frame(spark, sf_dir))
+
+
+def greedy_region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.greedy_pairs(source.frame(spark, sf_dir), target.frame(spark, sf_dir))
+
+
+def greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.suppress(source.frame(spark, sf_dir))
+
+
+def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.split_compounds(source.frame(spark, sf_dir))
+
+
+def monotone_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = Plan(S.NAME_ANCHORS, exact=by_name, numbers=by_number).frame(spark, sf_dir)
+    return G.monotone_anchors(pairs.select((F.col("source") % 8).alias("book"), "source", "target", "how"))
+
+
+def history_undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.replay(H.command_log(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("stem", T.normal_stem("url"))
+    return pages.select("page_id", "stem", T.name_key(F.col("stem")).alias("name_key"), T.number_key(F.col("stem")).alias("number_key"))
+
+
+def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = source.frame(spark, sf_dir).withColumn("polygon", F.expr(geo.box_polygon("")))
+    turned = boxes.withColumn("moved", F.expr(geo.transformed("polygon", "array(array(0.8D, -0.6D, 3D), array(0.6D, 0.8D, -2D))")))
+    return turned.select("page", "rid", F.expr(f"round({geo.polygon_area('moved')}, 6)").alias("area"), F.expr(f"round({geo.polygon_centroid('moved')}.x, 6)").alias("cx"), F.expr(f"round({geo.polygon_centroid('moved')}.y, 6)").alias("cy"))
+
+
+_REGION = source.other()
+QUERIES |= {
+    f.__name__: f
+    for f in (page_alignment, unit_assignment, greedy_region_pairs, greedy_suppression, compound_split, monotone_anchors, history_undo_redo, normalised_names, region_polygons)
+}
+ORACLES["region_polygons"] = f"""
+SELECT page, rid, round((x1 - x0) * (y1 - y0), 6) AS area, round(0.8 * (x0 + x1) / 2 - 0.6 * (y0 + y1) / 2 + 3, 6) AS cx, round(0.6 * (x0 + x1) / 2 + 0.8 * (y0 + y1) / 2 - 2, 6) AS cy FROM ({_REGION}) r"""
