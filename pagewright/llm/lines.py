@@ -37,23 +37,23 @@ def threshold(length: str) -> str:
 
 
 def bucket_keys(line: str = "line") -> Column:
-    """The array of (key, own) of a line: own segments, and substrings probed for partners no longer than it.
+    """The array of (key, own) of a line: own segments, and substrings probed for partners no longer than it; nulls where a case doesn't apply.
 
     For a partner of length l, t edits and segment i at p: between the segments before i at most i
     edits fall, and after it t - i, so its place x obeys |x - p| <= i and |x - p - (L - l)| <= t - i.
+    All cases are listed, so that the expression is compiled as a whole.
     """
-    size = f"length({line})"
-    t = threshold("l")
-    width = f"CAST((l + i) div ({t} + 1) AS INT)"  # later segments are longer by one where the length doesn't divide
-    place = f"CAST((CASE WHEN i > 0 THEN l div ({t} + 1) ELSE 0 END) + (CASE WHEN i > 1 THEN (l + 1) div ({t} + 1) ELSE 0 END) AS INT)"
-    low = f"greatest(0, p - i, p + ({size} - l) - ({t} - i))"
-    high = f"least({size} - w, p + i, p + ({size} - l) + ({t} - i))"
-    starts = f"CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE array() END"
-    one = f"transform({starts}, x -> struct(xxhash64(l, i, substring({line}, x + 1, w)) AS key, (l = {size} AND x = p) AS own))"
-    # Names for the segment's width and place, by a transform over one element each.
-    named = f"flatten(transform(array({width}), w -> flatten(transform(array({place}), p -> {one}))))"
-    lengths = f"filter(sequence(greatest({MIN_CHARS}, {size} - 2), {size}), l -> {size} - l <= {t})"
-    return F.expr(f"flatten(transform({lengths}, l -> flatten(transform(sequence(0, {t}), i -> {named}))))")
+    cases = []
+    for t, low, high in ((2, TWO_EDITS, 1 << 30), (1, MIN_CHARS, TWO_EDITS - 1)):
+        for shorter in range(t + 1):
+            length = f"(length({line}) - {shorter})"
+            for i in range(t + 1):
+                width = f"(({length} + {i}) div {t + 1})"  # later segments are longer by one where the length doesn't divide
+                place = " + ".join(f"(({length} + {k}) div {t + 1})" for k in range(i)) or "0"
+                for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
+                    piece = f"substring({line}, CAST({place} + {move + 1} AS INT), CAST({width} AS INT))"
+                    cases.append(f"CASE WHEN {length} BETWEEN {low} AND {high} THEN named_struct('key', xxhash64({length}, {i}, {piece}), 'own', {'true' if shorter == move == 0 else 'false'}) END")
+    return F.expr("array(" + ", ".join(cases) + ")")
 
 
 def bigram_parity(words: int = 4) -> list[Column]:
@@ -70,14 +70,14 @@ def edit_distance(a: str, b: str, t: str) -> str:
     last t columns follow the bottom row of the table instead.
     """
     match = " + ".join(f"(CASE WHEN i + {d} >= 0 AND i + {d} < size({a}) AND abs({d}) <= {t} AND {a}[greatest(0, least(i + {d}, size({a}) - 1))] = {b}[i] THEN shiftleft(1L, {_TOP} - {t} + ({d})) ELSE 0L END)" for d in range(-2, 3))
+    # Intermediate vectors are bound by transforms over one element, each being computed once for a character.
     d0 = f"((((m & s.vp) + s.vp) ^ s.vp) | m | s.vn) & {_MASK}L"
-    hp = f"((s.vn | ~(({d0}) | s.vp)) & {_MASK}L)"
-    hn = f"(({d0}) & s.vp)"
-    half = f"shiftright(({d0}), 1)"
-    diagonal = f"s.i < size({a}) - {t}"
-    edge = f"shiftleft(1L, {_TOP} - {t} + size({a}) - 1 - s.i)"
-    moved = f"CASE WHEN {diagonal} THEN (CASE WHEN (({d0}) & {1 << _TOP}L) = 0 THEN 1 ELSE 0 END) ELSE (CASE WHEN ({hp} & {edge}) <> 0 THEN 1 WHEN ({hn} & {edge}) <> 0 THEN -1 ELSE 0 END) END"
-    step = f"named_struct('vp', ({hn} | ~({half} | {hp})) & {_MASK}L, 'vn', {half} & {hp}, 'd', s.d + {moved}, 'i', s.i + 1)"
+    hp, hn, half = f"(s.vn | ~(d0 | s.vp)) & {_MASK}L", "d0 & s.vp", "shiftright(d0, 1)"
+    diagonal = f"CASE WHEN (d0 & {1 << _TOP}L) = 0 THEN 1 ELSE 0 END"
+    bottom = f"CASE WHEN (h.p & {{edge}}) <> 0 THEN 1 WHEN (h.n & {{edge}}) <> 0 THEN -1 ELSE 0 END".format(edge=f"shiftleft(1L, {_TOP} - {t} + size({a}) - 1 - s.i)")
+    moved = f"CASE WHEN s.i < size({a}) - {t} THEN {diagonal} ELSE {bottom} END"
+    state = f"named_struct('vp', (h.n | ~(h.r | h.p)) & {_MASK}L, 'vn', h.r & h.p, 'd', s.d + {moved}, 'i', s.i + 1)"
+    step = f"transform(array({d0}), d0 -> transform(array(named_struct('p', {hp}, 'n', {hn}, 'r', {half})), h -> {state})[0])[0]"
     start = f"named_struct('vp', shiftleft(shiftleft(1L, {t} + 1) - 1L, {_TOP} - {t}), 'vn', 0L, 'd', least({t}, size({a})), 'i', 0)"
     return f"CASE WHEN size({b}) = 0 THEN size({a}) ELSE aggregate(transform(sequence(0, size({b}) - 1), i -> {match}), {start}, (s, m) -> {step}, s -> s.d) END"
 
@@ -110,7 +110,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line")).filter(F.length("line") >= MIN_CHARS)
     distinct = lines.groupBy("line").agg(F.lit(1).alias("one"))
-    keyed = distinct.select(F.xxhash64("line").alias("h1"), F.explode(F.array_distinct(bucket_keys())).alias("k")).select("h1", "k.key", "k.own")
+    keyed = distinct.select(F.xxhash64("line").alias("h1"), F.explode(bucket_keys()).alias("k")).filter("k IS NOT NULL").select("h1", "k.key", "k.own")
     met = Window.partitionBy("key")
     keyed = keyed.withColumn("centre", F.min("h1").over(met)).withColumn("last", F.max("h1").over(met)).withColumn("any", F.max("own").over(met))
     members = materialize(keyed.filter("centre <> last AND any").select("key", "h1", "own", "centre"))
