@@ -137,13 +137,13 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def start_at_odds(p: dict, docs: list[list[int]], inputs: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray) -> None:
+def start_at_odds(p: dict, docs: list[np.ndarray], inputs: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray) -> None:
     """Set the first component of every embedding row to the log odds of meeting it in a text of class 1."""
     counts = {"word": np.zeros((2, WORD_ROWS)), "gram": np.zeros((2, GRAM_ROWS))}
     rows, grams, sizes = inputs
     starts = np.cumsum(sizes) - sizes
     for doc, y in zip(docs, labels.astype(int), strict=True):
-        seen = np.unique(np.array(doc, np.int64))
+        seen = np.unique(doc)
         counts["word"][y, np.unique(rows[seen])] += 1
         counts["gram"][y, np.unique(grams[spans(starts[seen], sizes[seen])])] += 1
     total = np.array([(labels == 0).sum(), (labels == 1).sum()])
@@ -198,17 +198,19 @@ def train(texts: list[str], labels: list[int], steps: int = 400, seed: int = 5,
         p["outf"][:] = p["outb"][:] = 0
         return p
     vocab: dict[str, int] = {}
-    docs = [[vocab.setdefault(w, len(vocab) + 1) for w in find_words(t.lower())] for t in texts]
-    inputs = word_inputs([" ", *vocab])
+    docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in find_words(t.lower())], np.int32) for t in texts]
+    listed = [" ", *vocab]
+    parts = [word_inputs(listed[lo : lo + 20_000]) for lo in range(0, len(listed), 20_000)]  # in parts, for the driver's memory
+    inputs = tuple(np.concatenate([part[k].astype(np.int32) for part in parts]) for k in range(3))
+    del listed, parts
     all_rows, all_grams, all_sizes = inputs
-    all_starts = np.cumsum(all_sizes) - all_sizes
+    all_starts = np.cumsum(all_sizes, dtype=np.int64) - all_sizes
     rng = np.random.default_rng(seed)
     y_all = np.array(labels, np.float32)
     weight = np.where(y_all == 1, 0.5 / y_all.mean(), 0.5 / (1 - y_all.mean())).astype(np.float32)
     start_at_odds(p, docs, inputs, y_all)
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    x_all = embed(p, inputs)
-    prior = x_all[:, 0] + x_all[:, WORD_DIM]
+    prior = p["word"][all_rows, 0] + np.add.reduceat(p["gram"][all_grams, 0], all_starts) / np.sqrt(all_sizes)
     prior[0] = 0
     candidates = []
     for doc in docs:
