@@ -6,9 +6,9 @@ from ..plans.relation import Relation
 
 #: Per-run sequence numbers and elapsed milliseconds of trace events.
 TRACE_SEQUENCE = Relation("""
-SELECT event_id, run, stage, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS sequence, (unix_micros(ts) - min(unix_micros(ts)) OVER (PARTITION BY run)) / 1000.0 AS elapsed_ms FROM {trace}""",
+SELECT event_id, run, stage, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS sequence, (unix_micros(ts) - min(unix_micros(ts)) OVER (PARTITION BY run)) / 1000.0E0 AS elapsed_ms FROM {trace}""",
 """
-SELECT event_id, run, stage, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS sequence, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY run)) / 1000.0 AS elapsed_ms FROM {trace}""")
+SELECT event_id, run, stage, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS sequence, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY run)) / 1000.0E0 AS elapsed_ms FROM {trace}""")
 
 LATEST_STATE = Relation("""
 SELECT run, event_id, stage, value, n FROM (SELECT run, event_id, stage, value, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY ts DESC, event_id DESC) AS turn FROM {trace}) t WHERE turn = 1""")
@@ -31,12 +31,12 @@ SELECT CAST(w AS BIGINT) AS hour, stage, count(*) AS n, sum(value) AS total FROM
 
 #: Sessions of a run: a gap of more than half an hour begins a new one.
 SESSIONS = Relation("""
-SELECT run, session, count(*) AS n, max(us) - min(us) AS length_us FROM (
+SELECT run, CAST(session AS BIGINT) AS session, count(*) AS n, max(us) - min(us) AS length_us FROM (
   SELECT run, us, sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
     SELECT run, event_id, unix_micros(ts) AS us, lag(unix_micros(ts)) OVER (PARTITION BY run ORDER BY ts, event_id) AS before FROM {trace}) a
 ) b GROUP BY run, session""",
 """
-SELECT run, session, count(*) AS n, max(us) - min(us) AS length_us FROM (
+SELECT run, CAST(session AS BIGINT) AS session, count(*) AS n, max(us) - min(us) AS length_us FROM (
   SELECT run, us, sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
     SELECT run, event_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY run ORDER BY ts, event_id) AS before FROM {trace}) a
 ) b GROUP BY run, session""")
@@ -106,12 +106,12 @@ SELECT event_id, CASE WHEN k IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS presen
 FINGERPRINT_COST = Relation("""
 SELECT a.vec_id AS source, b.vec_id AS target,
   round(0.58 * aggregate(sequence(0, 62), 0, (n, i) -> n + CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END) / 64.0
-    + 0.16 * least(1.0, sqrt(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> (CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)), 0.0D, (s, v) -> s + v)) / sqrt(2.0D)), 4) AS cost
+    + 0.16 * least(1.0, sqrt(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> (CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)), 0.0D, (s, v) -> s + v)) / sqrt(2.0D)), 8) AS cost
 FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id - 40 AND a.vec_id + 40 AND a.vec_id <> b.vec_id""",
 """
 SELECT a.vec_id AS source, b.vec_id AS target,
   round(0.58 * list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END)) / 64.0
-    + 0.16 * least(1.0, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(2.0)), 4) AS cost
+    + 0.16 * least(1.0, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(2.0)), 8) AS cost
 FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id - 40 AND a.vec_id + 40 AND a.vec_id <> b.vec_id""")
 
 #: The nearest by cost, where the second is clearly farther.

@@ -189,7 +189,7 @@ def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = source.frame(spark, sf_dir).withColumn("polygon", F.expr(geo.box_polygon("")))
     turned = boxes.withColumn("moved", F.expr(geo.transformed("polygon", "array(array(0.8D, -0.6D, 3D), array(0.6D, 0.8D, -2D))")))
-    return turned.select("page", "rid", F.expr(f"round({geo.polygon_area('moved')}, 6)").alias("area"), F.expr(f"round({geo.polygon_centroid('moved')}.x, 6)").alias("cx"), F.expr(f"round({geo.polygon_centroid('moved')}.y, 6)").alias("cy"))
+    return turned.select("page", F.col("rid").cast("long").alias("rid"), F.expr(f"round({geo.polygon_area('moved')}, 6)").alias("area"), F.expr(f"round({geo.polygon_centroid('moved')}.x, 6)").alias("cx"), F.expr(f"round({geo.polygon_centroid('moved')}.y, 6)").alias("cy"))
 
 
 _REGION = source.other()
