@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, lines, mixing, neardup, neighbours, pieces, quality, sharding, toxicity
+from . import extraction, lines, mixing, neardup, neighbours, pieces, quality, sharding, surrogates, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).drop("g1", "g2")
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -117,7 +121,7 @@ def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "dropped", "kept_in", "n_links")
 
 
-QUERIES = {"op1_bagminhash": op1_bagminhash, "op3_decision_list": op3_decision_list, "op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text, "op10_line_edit_join": op10_line_edit_join}
+QUERIES = {"op1_bagminhash": op1_bagminhash, "op2_surrogates": op2_surrogates, "op3_decision_list": op3_decision_list, "op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text, "op10_line_edit_join": op10_line_edit_join}
 
 OP4_SQL = """
 WITH v AS (
