@@ -133,7 +133,7 @@ SELECT r.page AS page, r.mode AS mode, concat_ws(',', CASE WHEN r.used_aligned A
 FROM (
   SELECT o_orderkey AS page, CASE o_orderkey % 7 WHEN 0 THEN 'direct_patch' WHEN 1 THEN 'mask_replace' WHEN 2 THEN 'aligned_overlay_reveal' WHEN 3 THEN 'transparent_bubble_reveal' WHEN 4 THEN 'hybrid' WHEN 5 THEN 'reletter' ELSE 'auto' END AS mode,
     o_custkey % 2 = 0 AS used_direct, o_custkey % 3 = 0 AS used_mask, o_custkey % 5 = 0 AS used_reletter, o_custkey % 7 = 0 AS used_transparent, o_custkey % 11 = 0 AS used_aligned,
-    CASE o_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'skipped_mode' WHEN 2 THEN ' NONE ' WHEN 3 THEN 'cache' WHEN 4 THEN 'geometry_only' ELSE 'paddle' END AS route FROM {{orders}}
+    CASE o_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'skipped_mode' WHEN 2 THEN ' NONE ' WHEN 3 THEN 'cache' WHEN 4 THEN 'geometry_only' ELSE 'engine' END AS route FROM {{orders}}
 ) r JOIN {MODES} m ON m.mode = r.mode""")
 
 #: The integrity of a page's files: rules over what is there.
