@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, words
+from .common import materialize, n_words, words
 
 #: A multiplicative generator: state * MULTIPLIER mod MODULUS (fixed values of the Lehmer generator).
 MULTIPLIER, MODULUS = 48271, 2147483647
@@ -88,11 +88,11 @@ def plan_blocks(docs: DataFrame, block: int = 1024, cell_rows: int = 50_000, see
     The words before a document are summed in two steps, over cells of about ``cell_rows`` documents
     of a source and inside a cell, so that no task holds all documents of a source.
     """
-    sized = docs
+    sized = materialize(docs)  # the texts are read and counted once
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = source_targets(per_source.select("source", "source_size"))
     info = targets.join(per_source.select(F.col("source").alias("s2"), "n_docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    info = info.withColumn("cells", F.ceil(F.col("n_docs") / cell_rows).cast("long"))
+    info = materialize(info.withColumn("cells", F.ceil(F.col("n_docs") / cell_rows).cast("long")))
     rows = sized.join(info.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "n_docs")
     rows = rows.withColumn("cell", F.expr(draw(f"abs(coalesce(CAST(doc_id AS BIGINT), 0L) % {MODULUS}L)", seed)) % F.col("cells"))
     cell_sums = rows.groupBy("rank", "cell").agg(F.sum("size").alias("cell_size"))
@@ -120,13 +120,13 @@ def plan_blocks(docs: DataFrame, block: int = 1024, cell_rows: int = 50_000, see
     mapped = F.when(F.col("slot") < F.col("whole"), permuted("slot", "whole", key)).otherwise(F.col("slot"))
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
     left = F.col("rest") - F.col("slot") * block
-    slots = (
+    slots = materialize(
         slots.withColumn("block", mapped)
         .withColumn("words", F.when(F.col("epoch") < F.col("epochs"), length).otherwise(F.least(length, left)))
         .withColumn("shard", (F.expr(draw("rank * 1000003L + at", seed + 1)) % n_shards).cast("int"))
         .select("rank", "epoch", "slot", "block", "words", "shard")
     )
-    return rows, slots
+    return materialize(rows), slots
 
 
 def taken_words(docs: DataFrame, block: int = 1024, **options) -> DataFrame:

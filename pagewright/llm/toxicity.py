@@ -13,6 +13,9 @@ matrix products for each step of a window.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 import zlib
@@ -311,6 +314,13 @@ class Scorer:
         return out.tolist()
 
 
+def release_memory() -> None:
+    """Give freed memory of the driver back to the system, where its C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out_column(doc_id: str = "doc_id"):
     """Whether crc32 of the id as text leaves 2 modulo 4."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -328,7 +338,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     short = docs.filter(F.length(text) <= train_chars).select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("h"))
     rows = short.join(F.broadcast(sample[0].union(sample[1])), "doc_id").orderBy("y", "h", "doc_id", "text").limit(4 * train_docs).collect()
-    return train([r["text"] for r in rows], [int(r["y"]) for r in rows], **options)
+    texts, labels = [r["text"] for r in rows], [int(r["y"]) for r in rows]
+    del rows
+    params = train(texts, labels, **options)
+    release_memory()
+    return params
 
 
 _scorers: dict[str, Scorer] = {}
