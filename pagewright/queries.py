@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +20,25 @@ from .streaming import history as H
 
 
 class Plan:
-    """An operator with the plans of its inputs; a plain string is a table of the data folder."""
+    """An operator with the plans of its inputs; a plain string is a table of the data folder.
 
-    def __init__(self, op: Relation, **inputs: Plan | str):
-        self.op, self.inputs = op, inputs
+    A ``shared`` plan feeds several operators of a query: its rows are kept (in memory, then on
+    disk) instead of being planned and computed once for each; a lost part is computed again.
+    """
 
-    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        def of(source: Plan | str) -> DataFrame:
-            return spark.read.parquet(f"{sf_dir}/{source}.parquet") if isinstance(source, str) else source.frame(spark, sf_dir)
+    def __init__(self, op: Relation, shared: bool = False, **inputs: Plan | str):
+        self.op, self.shared, self.inputs = op, shared, inputs
 
-        return self.op(**{k: of(v) for k, v in self.inputs.items()})
+    def frame(self, spark: SparkSession, sf_dir: str, made: dict[int, DataFrame] | None = None) -> DataFrame:
+        made = {} if made is None else made
+        if id(self) not in made:
+
+            def of(source: Plan | str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{source}.parquet") if isinstance(source, str) else source.frame(spark, sf_dir, made)
+
+            df = self.op(**{k: of(v) for k, v in self.inputs.items()})
+            made[id(self)] = df.persist(StorageLevel.MEMORY_AND_DISK) if self.shared else df
+        return made[id(self)]
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The frame with all whole numbers as long, as window functions give them in other engines."""
@@ -36,6 +46,7 @@ class Plan:
         return df.select(*(df[c].cast("long").alias(c) if t == "int" else df[c] for c, t in df.dtypes))
 
     def other(self) -> str:
+        """The nested text for another engine."""
         return self.op.text(**{k: v if isinstance(v, str) else v.other() for k, v in self.inputs.items()})
 
 
@@ -43,10 +54,10 @@ source, target, pages, trace = Plan(A.SOURCE_REGIONS, lineitem="lineitem"), Plan
 records = Plan(A.RECORDS, regions=source)
 sides = {"source": source, "target": target}
 costs = Plan(R.COSTS, **sides, pages=pages)
-best = Plan(R.BEST, costs=costs)
-matches = Plan(R.MUTUAL, best=best)
+best = Plan(R.BEST, shared=True, costs=costs)
+matches = Plan(R.MUTUAL, shared=True, best=best)
 accepted = Plan(R.ACCEPTED, matches=matches, pages=pages, **sides)
-splits = Plan(R.SPLITS, costs=costs, matches=matches, best=best)
+splits = Plan(R.SPLITS, shared=True, costs=costs, matches=matches, best=best)
 unmatched = Plan(R.UNMATCHED, matches=matches, **sides)
 lettering = Plan(U.LETTERING, target=target)
 issues = Plan(U.ISSUES, pages=pages, matches=matches, splits=splits, unmatched=unmatched, lettering=lettering, accepted=accepted, **sides)
