@@ -26,6 +26,7 @@ from .common import map_arrow, materialize
 
 #: Rows of the sample on which lists and probes are fitted, the most lists, rows of a chunk and queries of a block.
 SAMPLE, LISTS, CHUNK, BLOCK = 20_000, 1024, 4096, 16_384
+EXACT_ROWS = 4096  # up to so many rows there is one list
 COLUMNS = 16  # coordinates in a column block
 SLACK = 1e-9  # of squared distances, for rounding
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -76,7 +77,7 @@ def nearest_lists(x: np.ndarray, centres: np.ndarray, all_lists: bool = False) -
 
 def fit_index(sample: np.ndarray, n_rows: int, k: int, recall: float, lists: int = LISTS) -> tuple[np.ndarray, int]:
     """Centres of the lists and the number of lists to probe."""
-    count = int(min(lists, max(1, math.isqrt(n_rows) // 2), max(1, len(sample) // 20)))
+    count = int(min(lists, max(1, math.isqrt(n_rows) // 2), max(1, len(sample) // 20))) if n_rows > EXACT_ROWS else 1
     x = unit(sample)
     centres = kmeans(x, count)
     if count == 1:

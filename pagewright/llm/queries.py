@@ -123,16 +123,4 @@ def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_bagminhash": op1_bagminhash, "op2_surrogates": op2_surrogates, "op3_decision_list": op3_decision_list, "op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text, "op10_line_edit_join": op10_line_edit_join}
 
-OP4_SQL = """
-WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
 ORACLES: dict[str, str] = {"op6_block_mixing": OP6_SQL}
