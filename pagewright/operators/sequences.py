@@ -105,13 +105,13 @@ SELECT event_id, CASE WHEN k IS NULL THEN CAST(0 AS BIGINT) ELSE 1 END AS presen
 #: Nearest pages by fingerprint cost: 64 sign bits of neighbouring components, and the distance of the vectors.
 FINGERPRINT_COST = Relation("""
 SELECT a.vec_id AS source, b.vec_id AS target,
-  round(0.58 * aggregate(sequence(0, 62), 0, (n, i) -> n + CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END) / 64.0
-    + 0.16 * least(1.0, sqrt(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> (CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)), 0.0D, (s, v) -> s + v)) / sqrt(2.0D)), 8) AS cost
+  round(0.58E0 * aggregate(sequence(0, 62), 0, (n, i) -> n + CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END) / 64.0
+    + 0.16E0 * least(1.0E0, sqrt(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> (CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)), 0.0D, (s, v) -> s + v)) / sqrt(2.0D)), 8) AS cost
 FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id - 40 AND a.vec_id + 40 AND a.vec_id <> b.vec_id""",
 """
 SELECT a.vec_id AS source, b.vec_id AS target,
-  round(0.58 * list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END)) / 64.0
-    + 0.16 * least(1.0, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(2.0)), 8) AS cost
+  round(0.58E0 * list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (a.embedding[i] < a.embedding[i + 1]) = (b.embedding[i] < b.embedding[i + 1]) THEN 0 ELSE 1 END)) / 64.0
+    + 0.16E0 * least(1.0E0, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(2.0)), 8) AS cost
 FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id - 40 AND a.vec_id + 40 AND a.vec_id <> b.vec_id""")
 
 #: The nearest by cost, where the second is clearly farther.
