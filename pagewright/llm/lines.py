@@ -6,10 +6,14 @@ must occur unchanged in any line within the threshold, at a place that the lengt
 each line indexes its own segments and probes, for every length that a partner may have, the
 substrings at those places.  Lines meet in buckets by (length, segment, substring).
 
+Long lines may also be linked by words: one word in so many may be edited.  Of the words of the shorter line a run
+stays whole whose least length is known, so both lines have it; each line indexes the least hash of every window of
+word runs (winnowing), and lines that share a run of that length share such a hash, wherever it lies.
+
 Within a bucket all lines are compared with one centre; links are joined into components; then only
 lines of a bucket that are in different components are compared.  Pairs first pass a bitmap filter:
 an edit changes at most four bigrams, so the parities of the hashed bigrams differ in at most four times the
-threshold places.  What is left is verified by the banded bit-parallel edit distance.
+threshold places, and a word edit at most two words.  What is left is verified by the edit distance of characters or words.
 
 Of every class of linked lines one occurrence stays: the first in the document with the smallest id.
 """
@@ -24,6 +28,8 @@ from .graph import components
 
 #: Lines of fewer characters are never dropped; from the second length on two edits are allowed, before one.
 MIN_CHARS, TWO_EDITS = 20, 40
+#: Lines of so many words may differ in one of them, of twice as many in two, and so on.
+WORDS_PER_EDIT = 15
 #: Bits of the table that says whether a line met another, at most (16 MB when broadcast).
 MAX_BITS = 1 << 27
 
@@ -56,6 +62,34 @@ def bucket_keys(line: str = "line") -> Column:
     return F.expr("array(" + ", ".join(cases) + ")")
 
 
+def word_keys(per_edit: int, line: str = "line") -> Column:
+    """The array of (key, own) of a line by its words, null for one of fewer than ``per_edit`` words.
+
+    If t words of the shorter line's W are edited, t = W div per_edit, a run of (W - t) / (t + 1) words or more stays
+    whole, which is least where per_edit divides W.  Shorter lines with one edit have a length of run, and
+    keys, of their own.
+    """
+    cases = []
+    for t, low, high in ((1, per_edit, 2 * per_edit), (2, 2 * per_edit, 1 << 30)):
+        run = -(-t * (per_edit - 1) // (t + 1))
+        k = (run + 1) // 2
+        grams = f"transform(sequence(0, size(z) - {k}), i -> xxhash64({-t}, slice(z, i + 1, {k})))"
+        windows = f"transform(array({grams}), g -> transform(sequence(0, size(g) - {run + 1 - k}), i -> array_min(slice(g, i + 1, {run + 1 - k}))))[0]"
+        cases.append(f"CASE WHEN size(z) BETWEEN {low} AND {high} THEN transform(array_distinct({windows}), h -> named_struct('key', h, 'own', true)) ELSE array() END")
+    return F.expr(f"CASE WHEN length({line}) >= {2 * per_edit - 1} THEN transform(array(split({line}, ' ')), z -> concat({', '.join(cases)}))[0] END")
+
+
+def word_parity(bits: int = 128) -> list[Column]:
+    """64-bit words of the parities of the hashed words of ``__words``."""
+    return [F.expr(f"aggregate(filter(transform(__words, w -> pmod(xxhash64(w), {bits})), b -> b div 64 = {k}), 0L, (s, b) -> s ^ shiftleft(1L, CAST(b % 64 AS INT)))").alias(f"v{k}") for k in range(bits // 64)]
+
+
+def word_distance(a: str, b: str, t: str) -> str:
+    """SQL for the edit distance of two arrays of words if it is at most t, else -1: every word of the pair becomes a character."""
+    spell = lambda x: f"decode(unhex(array_join(transform({x}, w -> lpad(hex(array_position(d, w) + 65536), 8, '0')), '')), 'UTF-32')"
+    return f"transform(array(array_distinct(concat({a}, {b}))), d -> levenshtein({spell(a)}, {spell(b)}, {t}))[0]"
+
+
 def bigram_parity(words: int = 4) -> list[Column]:
     """64-bit words of the parities of the hashed bigrams of ``__chars``, the last character being one too."""
     pairs = "transform(sequence(0, greatest(size(__chars) - 2, 0)), i -> pmod(xxhash64(__chars[i], CASE WHEN i + 1 < size(__chars) THEN __chars[i + 1] END), %d))" % (64 * words)
@@ -82,26 +116,33 @@ def edit_distance(a: str, b: str, t: str) -> str:
     return f"CASE WHEN size({b}) = 0 THEN size({a}) ELSE aggregate(transform(sequence(0, size({b}) - 1), i -> {match}), {start}, (s, m) -> {step}, s -> s.d) END"
 
 
-def _pairs_within(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines are within the threshold."""
+def _pairs_within(pairs: DataFrame, lines: DataFrame, per_edit: int | None = None) -> DataFrame:
+    """The pairs (a, b) whose lines are within the threshold, of characters or, with ``per_edit``, of words."""
     side = lambda k: lines.select(F.col("h1").alias(k), F.col("line").alias(f"l{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    longer = F.length("la") >= F.length("lb")
-    both = both.select("a", "b", F.when(longer, F.col("la")).otherwise(F.col("lb")).alias("p"), F.when(longer, F.col("lb")).otherwise(F.col("la")).alias("q"))
-    both = both.withColumn("t", F.expr(threshold("length(q)"))).filter("length(p) - length(q) <= t")
-    # The characters are bound by a transform over one element, so that they are split once for a pair.
-    bound = f"transform(array(named_struct('p', split(p, ''), 'q', split(q, ''))), z -> {edit_distance('z.p', 'z.q', 't')})[0]"
-    return both.filter(F.expr(bound) <= F.col("t")).select("a", "b")
+    both = both.withColumn("t", F.expr(threshold("least(length(la), length(lb))")))
+    near = "(abs(length(la) - length(lb)) <= t AND levenshtein(la, lb, t) >= 0)"
+    if per_edit:
+        t = f"CAST(least(size(z.p), size(z.q)) div {per_edit} AS INT)"
+        near += f" OR transform(array(named_struct('p', split(la, ' '), 'q', split(lb, ' '))), z -> {t} > 0 AND abs(size(z.p) - size(z.q)) <= {t} AND {word_distance('z.p', 'z.q', t)} >= 0)[0]"
+    return both.filter(F.expr(near)).select("a", "b")
+
+
+def _flips(columns: list[str]) -> Column:
+    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in columns[1:]), F.bit_count(F.col(f"x.{columns[0]}").bitwiseXOR(F.col(f"y.{columns[0]}"))))
 
 
-def _alike() -> Column:
-    """The exact filter of a pair x, y: lengths and bigram parities."""
-    flips = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, 4)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+def _alike(per_edit: int | None = None) -> Column:
+    """The exact filter of a pair x, y: lengths and parities of bigrams or words."""
     t = F.expr(threshold("least(x.n, y.n)"))
-    return (F.abs(F.col("x.n") - F.col("y.n")) <= t) & (flips <= 4 * t)
+    near = (F.abs(F.col("x.n") - F.col("y.n")) <= t) & (_flips(["s0", "s1", "s2", "s3"]) <= 4 * t)
+    if per_edit:
+        t = F.floor(F.least("x.m", "y.m") / per_edit)
+        near = near | ((t > 0) & (F.abs(F.col("x.m") - F.col("y.m")) <= t) & (_flips(["v0", "v1"]) <= 2 * t))
+    return near
 
 
-def line_links(docs: DataFrame) -> DataFrame:
+def line_links(docs: DataFrame, per_edit: int | None = None) -> DataFrame:
     """The verified links (a, b) between different lines of ``docs`` (text), as their 64-bit hashes, that join all classes.
 
     Lines of a class need not all be linked to each other, but no class is cut.  A hash stands for a line with an error of about 2 ** -64 for each pair of
@@ -110,7 +151,8 @@ def line_links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line")).filter(F.length("line") >= MIN_CHARS)
     distinct = lines.groupBy("line").agg(F.lit(1).alias("one"))
-    keyed = distinct.select(F.xxhash64("line").alias("h1"), F.explode(bucket_keys()).alias("k")).filter("k IS NOT NULL").select("h1", "k.key", "k.own")
+    keys = F.concat(bucket_keys(), F.coalesce(word_keys(per_edit), F.array())) if per_edit else bucket_keys()
+    keyed = distinct.select(F.xxhash64("line").alias("h1"), F.explode(keys).alias("k")).filter("k IS NOT NULL").select("h1", "k.key", "k.own")
     met = Window.partitionBy("key")
     keyed = keyed.withColumn("centre", F.min("h1").over(met)).withColumn("last", F.max("h1").over(met)).withColumn("any", F.max("own").over(met))
     members = materialize(keyed.filter("centre <> last AND any").select("key", "h1", "own", "centre"))
@@ -128,24 +170,24 @@ def line_links(docs: DataFrame) -> DataFrame:
     spot = spot.join(F.broadcast(table), "part").filter(F.expr(bit_set) == 1)
     texts = spot.groupBy("h1", "line").agg(F.lit(1).alias("one")).select("h1", "line").join(ids, "h1", "left_semi")
     texts = materialize(texts)
-    traits = texts.select("h1", F.length("line").alias("n"), F.split("line", "").alias("__chars")).select("h1", "n", *bigram_parity())
+    traits = texts.select("h1", F.length("line").alias("n"), F.split("line", "").alias("__chars"), F.split("line", " ").alias("__words")).select("h1", "n", F.size("__words").alias("m"), *bigram_parity(), *word_parity())
     known = materialize(members.join(traits, "h1"))
     centres = materialize(traits)
-    star = known.filter("h1 <> centre").select("h1", "centre", "n", "s0", "s1", "s2", "s3").distinct()
+    star = known.filter("h1 <> centre").select("h1", "centre", *traits.columns[1:]).distinct()
     x, y = star.alias("x"), centres.alias("y")
-    first = x.join(y, F.col("x.centre") == F.col("y.h1")).filter(_alike()).select(F.col("x.h1").alias("a"), F.col("x.centre").alias("b")).distinct()
-    links = materialize(_pairs_within(first, texts))
+    first = x.join(y, F.col("x.centre") == F.col("y.h1")).filter(_alike(per_edit)).select(F.col("x.h1").alias("a"), F.col("x.centre").alias("b")).distinct()
+    links = materialize(_pairs_within(first, texts, per_edit))
     found = components(links)
     placed = known.join(found.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     placed = placed.withColumn("least", F.min("component").over(met)).withColumn("most", F.max("component").over(met)).filter("least <> most").drop("least", "most")
     placed = materialize(placed)
     x, y = placed.filter("own").alias("x"), placed.alias("y")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") != F.col("x.h1")) & (F.col("x.centre") != F.col("y.h1"))
-    cross = x.join(y, differ & _alike()).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
-    return links.unionByName(materialize(_pairs_within(cross, texts)))
+    cross = x.join(y, differ & _alike(per_edit)).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
+    return links.unionByName(materialize(_pairs_within(cross, texts, per_edit)))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, per_edit: int | None = None) -> DataFrame:
     """What line deduplication drops from every row of ``docs`` (doc_id, text).
 
     Returns doc_id, g1, g2 (hashes of doc_id and text), n_lines (\\n-split lines), n_dropped, dropped
@@ -153,7 +195,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     links of its lines to different lines).  Lines of fewer than 20 characters are
     always kept.  Of a class the first occurrence in the document of smallest id stays; documents
     without id come last, and repeated rows are documents of their own, one of which keeps the line.  A null text is one empty
-    line; an empty table gives an empty result.
+    line; an empty table gives an empty result.  ``per_edit``: also link lines of so many words or more by words, one edit
+for each so many words of the shorter.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -161,7 +204,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = materialize(
         own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("g1"), F.xxhash64(F.lit(1), "doc_id", F.col("text")).alias("g2"), hashes.alias("lines"))
     )
-    links = materialize(line_links(own))
+    links = materialize(line_links(own, per_edit))
     classes = materialize(components(links))
     degree = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("degree"))
     of_line = classes.withColumnRenamed("node", "h1").join(degree, "h1", "left")

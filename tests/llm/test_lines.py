@@ -105,3 +105,50 @@ def test_same_as_brute_force(spark):
     assert len(kept) == len(first) and len({find(x) for x in kept}) == len(first)
     assert {r.doc_id for r in left} >= {70, 71, 72}
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def linked(a, b, per_edit):
+    words = [x.split(" ") for x in (a, b)]
+    t = min(map(len, words)) // per_edit
+    near = abs(len(a) - len(b)) <= 2 and distance(a, b) <= allowed(a, b)
+    return near or (t > 0 and abs(len(words[0]) - len(words[1])) <= t and distance(*words) <= t)
+
+
+def word_pool(rng):
+    """Lines of 8 to 70 words and copies of them in which words are replaced, inserted or dropped."""
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    pool = []
+    for n in (8, 14, 15, 16, 29, 30, 31, 44, 45, 70):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        pool.append(" ".join(base))
+        for k in range(7):
+            own = list(base)
+            for _ in range(rng.randint(1, max(1, n // 15) + 1)):
+                at = rng.randrange(len(own))
+                own[at : at + 1] = rng.choice([["changedword"], [], [own[at], "another"], [rng.choice(vocabulary)]])
+            pool.append(" ".join(own))
+    return sorted(set(pool))
+
+
+def test_long_lines_with_changed_words(spark):
+    rng = random.Random(3)
+    pool = word_pool(rng)
+    docs = [(i, x) for i, x in enumerate(pool)]
+    parent = list(range(len(pool)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(pool):
+        for j in range(i):
+            if linked(a, pool[j], 15):
+                parent[find(i)] = find(j)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = L.dedup_lines(df, 15).collect()
+    first = {}
+    for i in range(len(pool)):
+        first.setdefault(find(i), i)
+    assert len(first) < len(pool) - 20
+    assert {r.doc_id: (r.n_dropped, r.kept_in) for r in out} == {i: (0, []) if first[find(i)] == i else (1, [first[find(i)]]) for i in range(len(pool))}
