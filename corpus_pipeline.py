@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has too, but for a few edits, are cut out of the texts; documents left without a word go."""
-    return lines.without_lines(docs, lines.dedup_lines(docs, lines.WORDS_PER_EDIT))
+    return lines.without_lines(docs, lines.dedup_lines(docs, lines.WORDS_PER_EDIT, short=True))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

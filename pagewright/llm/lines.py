@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .graph import components
 
-#: Lines of fewer characters are never dropped; from the second length on two edits are allowed, before one.
+#: Lines of fewer characters are linked only to equal ones, if at all; from the second length on two edits are allowed, before one.
 MIN_CHARS, TWO_EDITS = 20, 40
 #: Lines of so many words may differ in one of them, of twice as many in two, and so on.
 WORDS_PER_EDIT = 15
@@ -187,20 +187,22 @@ def line_links(docs: DataFrame, per_edit: int | None = None) -> DataFrame:
     return links.unionByName(materialize(_pairs_within(cross, texts, per_edit)))
 
 
-def dedup_lines(docs: DataFrame, per_edit: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, per_edit: int | None = None, short: bool = False) -> DataFrame:
     """What line deduplication drops from every row of ``docs`` (doc_id, text).
 
     Returns doc_id, g1, g2 (hashes of doc_id and text), n_lines (\\n-split lines), n_dropped, dropped
     (their positions from 0), kept_in (ids of the documents that keep a line of their classes) and n_links (verified
     links of its lines to different lines).  Lines of fewer than 20 characters are
-    always kept.  Of a class the first occurrence in the document of smallest id stays; documents
+    kept, or, with ``short``, classes of equal ones unless blank.  Of a class the first occurrence in the document of smallest id stays; documents
     without id come last, and repeated rows are documents of their own, one of which keeps the line.  A null text is one empty
     line; an empty table gives an empty result.  ``per_edit``: also link lines of so many words or more by words, one edit
 for each so many words of the shorter.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    hashes = F.expr(f"transform(split(text, '\\n'), l -> CASE WHEN length(l) >= {MIN_CHARS} THEN struct(xxhash64(l) AS h1, xxhash64(1, l) AS h2) END)")
+    counts = r"l RLIKE '[^\\x20\\x09-\\x0D]'" if short else "false"
+    counts = f"length(l) >= {MIN_CHARS} OR {counts}"
+    hashes = F.expr(f"transform(split(text, '\\n'), l -> CASE WHEN {counts} THEN struct(xxhash64(l) AS h1, xxhash64(1, l) AS h2) END)")
     rows = materialize(
         own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("g1"), F.xxhash64(F.lit(1), "doc_id", F.col("text")).alias("g2"), hashes.alias("lines"))
     )

@@ -152,3 +152,10 @@ def test_long_lines_with_changed_words(spark):
         first.setdefault(find(i), i)
     assert len(first) < len(pool) - 20
     assert {r.doc_id: (r.n_dropped, r.kept_in) for r in out} == {i: (0, []) if first[find(i)] == i else (1, [first[find(i)]]) for i in range(len(pool))}
+
+
+def test_short_lines_by_equality(spark):
+    docs = [(1, "short\nother\n\n \nshort"), (2, "Short\nshort\n\n\t\né"), (3, "é\nshorts\n \n" + "x" * 19), (4, "x" * 19 + "\n" + "x" * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: (r.n_lines, r.dropped, r.kept_in) for r in L.dedup_lines(df, 15, short=True).collect()}
+    assert out == {1: (5, [4], [1]), 2: (5, [1], [1]), 3: (4, [0], [2]), 4: (2, [0], [3])}
