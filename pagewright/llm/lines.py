@@ -142,10 +142,11 @@ def _alike(per_edit: int | None = None) -> Column:
     return near
 
 
-def line_links(docs: DataFrame, per_edit: int | None = None) -> DataFrame:
+def line_links(docs: DataFrame, per_edit: int | None = None, every: bool = False) -> DataFrame:
     """The verified links (a, b) between different lines of ``docs`` (text), as their 64-bit hashes, that join all classes.
 
-    Lines of a class need not all be linked to each other, but no class is cut.  A hash stands for a line with an error of about 2 ** -64 for each pair of
+    Lines of a class need not all be linked to each other, but no class is cut.  With ``every`` all
+    links there are are returned, in a time that grows with the square of a group of near lines.  A hash stands for a line with an error of about 2 ** -64 for each pair of
     lines.
     """
     spark = docs.sparkSession
@@ -172,6 +173,11 @@ def line_links(docs: DataFrame, per_edit: int | None = None) -> DataFrame:
     texts = materialize(texts)
     traits = texts.select("h1", F.length("line").alias("n"), F.split("line", "").alias("__chars"), F.split("line", " ").alias("__words")).select("h1", "n", F.size("__words").alias("m"), *bigram_parity(), *word_parity())
     known = materialize(members.join(traits, "h1"))
+    if every:
+        x, y = known.filter("own").alias("x"), known.alias("y")
+        once = (F.col("x.h1") < F.col("y.h1")) | (~F.col("y.own") & (F.col("x.h1") != F.col("y.h1")))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & once & _alike(per_edit)).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
+        return materialize(_pairs_within(pairs, texts, per_edit))
     centres = materialize(traits)
     star = known.filter("h1 <> centre").select("h1", "centre", *traits.columns[1:]).distinct()
     x, y = star.alias("x"), centres.alias("y")
@@ -187,12 +193,12 @@ def line_links(docs: DataFrame, per_edit: int | None = None) -> DataFrame:
     return links.unionByName(materialize(_pairs_within(cross, texts, per_edit)))
 
 
-def dedup_lines(docs: DataFrame, per_edit: int | None = None, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, per_edit: int | None = None, short: bool = False, every: bool = False) -> DataFrame:
     """What line deduplication drops from every row of ``docs`` (doc_id, text).
 
     Returns doc_id, g1, g2 (hashes of doc_id and text), n_lines (\\n-split lines), n_dropped, dropped
     (their positions from 0), kept_in (ids of the documents that keep a line of their classes) and n_links (verified
-    links of its lines to different lines).  Lines of fewer than 20 characters are
+    links of its lines to different lines: with ``every`` all there are, else as many as join the classes).  Lines of fewer than 20 characters are
     kept, or, with ``short``, classes of equal ones unless blank.  Of a class the first occurrence in the document of smallest id stays; documents
     without id come last, and repeated rows are documents of their own, one of which keeps the line.  A null text is one empty
     line; an empty table gives an empty result.  ``per_edit``: also link lines of so many words or more by words, one edit
@@ -206,7 +212,7 @@ for each so many words of the shorter.
     rows = materialize(
         own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("g1"), F.xxhash64(F.lit(1), "doc_id", F.col("text")).alias("g2"), hashes.alias("lines"))
     )
-    links = materialize(line_links(own, per_edit))
+    links = materialize(line_links(own, per_edit, every))
     classes = materialize(components(links))
     degree = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("degree"))
     of_line = classes.withColumnRenamed("node", "h1").join(degree, "h1", "left")

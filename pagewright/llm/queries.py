@@ -117,7 +117,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.WORDS_PER_EDIT, short=True)
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.WORDS_PER_EDIT, short=True, every=True)
     return found.select("doc_id", "n_lines", "n_dropped", "dropped", "kept_in", "n_links")
 
 

@@ -159,3 +159,13 @@ def test_short_lines_by_equality(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     out = {r.doc_id: (r.n_lines, r.dropped, r.kept_in) for r in L.dedup_lines(df, 15, short=True).collect()}
     assert out == {1: (5, [4], [1]), 2: (5, [1], [1]), 3: (4, [0], [2]), 4: (2, [0], [3])}
+
+
+def test_every_link_is_counted(spark):
+    rng = random.Random(5)
+    base = "a line of text " * 3
+    pool = sorted({*(edits(rng, base, 1) for _ in range(25)), *word_pool(rng)[:40]})
+    df = spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")
+    want = {i: sum(linked(a, b, 15) for b in pool if a != b) for i, a in enumerate(pool)}
+    assert max(want.values()) > 15
+    assert {r.doc_id: r.n_links for r in L.dedup_lines(df, 15, every=True).collect()} == want
