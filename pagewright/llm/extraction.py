@@ -20,7 +20,8 @@ from .common import map_arrow
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|iframe|title|object|math|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|noscript|template|svg|textarea|iframe|title|select|annotation-xml|annotation)\b"
+    r"(?:(?<=svg)(?:\"[^\"]*\"|'[^']*'|[^>\"'/]|/(?!>))*/>|(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>.*?(?:</\1\s*>|\Z)|\Z))"  # of these only svg can close itself
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|([^<]+|<)",

@@ -44,3 +44,11 @@ def test_table(spark):
     assert [r.page_id for r in rows].count(1) == 2 and all(r.n_chars == len(r.text) for r in rows)
     assert [r.text for r in rows if r.page_id == 2] == [""]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_self_closed_and_inline_elements():
+    for icon in ("<svg class='i'/>", '<svg/>', '<svg viewBox="0 0 > 1" data-u="/a/"/>', "<SVG a=/x/y />", "<math/>", '<math class="i"/>', "<svg><path d='M0'/><text>no</text></svg>", "<svg a=1></svg>"):
+        assert main_text(f"<article><p>Before {icon} after.</p><p>More text.</p></article>") == "Before after. More text.", icon
+    assert main_text("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>") == "Where x=2 holds."
+    assert main_text("<article><p>See <object data=a.pdf><b>the paper</b></object> here.</p></article>") == "See the paper here."
+    assert main_text("<article><p>t</p><script src='x'/>no</p></script><p>u</p></article>") == "t u"
