@@ -30,15 +30,26 @@ HIDDEN, WORD_ROWS, WORD_DIM, GRAM_ROWS, GRAM_DIM = 12, 8192, 8, 16384, 16
 #: Bounds of the labelled sample: documents of each class, and characters of a document that may be in it.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 
-find_words = re.compile(r"\w+").findall
+#: Longer runs of word characters are cut into pieces of so many, each beginning with the last ones of the piece before, so that no n-gram is lost.
+PIECE, OVERLAP = 40, 4
+
+_runs = re.compile(r"\w+").findall
+
+
+def find_words(text: str) -> list[str]:
+    """The words of a text: runs of word characters, long ones in pieces that are words of their own."""
+    runs = _runs(text)
+    if max(map(len, runs), default=0) <= PIECE:
+        return runs
+    return [w[i : i + PIECE] for w in runs for i in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
 
 
 def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The embedding row of each word, those of its character n-grams (all words' together), and how many grams each has.
 
-    Words are marked at both ends, so that a gram tells a beginning; of very long ones the first 40 characters count.
+    Words are marked at both ends, so that a gram tells a beginning.
     """
-    marked = [f"<{w[:40]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     rows = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % WORD_ROWS for w in words), np.int64, len(words))
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))

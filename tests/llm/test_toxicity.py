@@ -64,3 +64,21 @@ def test_learns_and_scores_tables(spark):
     assert [r for r in out if r.doc_id is None][0].predicted == 1
     assert T.score_documents(docs.limit(0), T.new_params()).count() == 0
     T.score_documents(docs, T.fit(docs, labels.limit(0))).count()
+
+
+def test_long_runs_are_read_to_their_end():
+    rng = np.random.default_rng(2)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    assert T.find_words("some_words " + "x" * 40 + " é") == ["some_words", "x" * 40, "é"]
+    for n in (41, 44, 45, 76, 77, 200, 2001):
+        run = "".join(rng.choice(letters, n))
+        pieces = T.find_words(run)
+        assert all(len(p) <= 40 for p in pieces)
+        assert {run[i : i + 5] for i in range(n - 4)} <= {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+    # What characters far into a run add reaches its score.
+    p, q = T.new_params(), T.new_params()
+    q["gram"][T.word_inputs(["abcde"])[1]] += 1
+    for at in (0, 38, 300, 1990):
+        run = "".join(rng.choice(letters, 2000))
+        texts = [run[:at] + "abcde" + run[at:]]
+        assert abs(T.Scorer(p).scores(texts)[0] - T.Scorer(q).scores(texts)[0]) > 1e-6, at
