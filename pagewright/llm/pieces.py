@@ -3,15 +3,15 @@
 A merge-type tokenizer replaces, again and again, the best-scored adjacent pair whose
 concatenation is a piece.  The result is the only sequence of pieces that spells the text and in
 which every two neighbours are *compatible*: merging their joint string again gives the same two
-pieces.  So it can be found from left to right.  An Aho-Corasick automaton gives the longest piece
-that starts at each position; where a piece does not fit its left neighbour the next shorter one is
+pieces.  So it can be found from left to right.  An Aho-Corasick automaton gives the longest match
+at each position that is reached; where a piece does not fit its left neighbour the next shorter one is
 tried, then the previous piece is taken back; a bitfield remembers positions from which no
 continuation exists, so each is tried once.
 
 A merge never crosses a place at which no piece continues: before a run of spaces that follows
 another character (no piece holds a space after another character; this is checked when the model
-is loaded), and around characters that are in no piece.  Texts are cut there, and the encodings of
-the parts are kept in a bounded cache.
+is loaded), around line ends (checked alike) and around characters that are in no piece.  Texts are
+cut there, and the encodings of the parts are kept in caches bounded by bytes.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ def read_model(path: str) -> dict:
         raise ValueError("user-defined and unused pieces aren't supported")
     if any(SPACE in p.lstrip(SPACE) for p in plain):
         raise ValueError("a piece holds a space after another character")
+    if any("\n" in p and p != "\n" for p in plain):
+        raise ValueError("a piece holds a line end beside another character")
     return {
         "plain": plain,
         "bytes": [next(i for i, p in enumerate(model.pieces) if p.type == 6 and p.piece == f"<0x{b:02X}>") for b in range(256)],
@@ -54,34 +56,51 @@ def read_model(path: str) -> dict:
 
 
 class _Kept(dict):
-    """A bounded cache of a function; it starts anew when it is full."""
+    """A cache of a function, bounded by bytes.
 
-    def __init__(self, fn, limit: int):
+    It has two generations: when the young one is full it becomes the old one, from which values
+    that are asked for again are taken back.  Long keys aren't kept.
+    """
+
+    def __init__(self, fn, limit: int, longest: int = 256):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.longest = fn, limit, longest
+        self.old: dict = {}
+        self.held = 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.fn(key)
+            if len(key) > self.longest:
+                return value
+        self.held += 200 + len(key) + (len(value) if isinstance(value, str) else 100)
+        if self.held > self.limit:
+            self.old = self.copy()
             self.clear()
-        value = self[key] = self.fn(key)
+            self.held = 0
+        self[key] = value
         return value
 
 
 class Encoder:
     """Encodes and decodes texts with the tables of ``read_model``."""
 
-    def __init__(self, model: dict, cache: int = 300_000):
+    def __init__(self, model: dict, cache: int = 1 << 26):
+        """``cache``: bytes of a generation of each cache."""
         self.plain, self.byte_ids, self.prefix = model["plain"], model["bytes"], model["prefix"]
         self.known = {c for p in self.plain for c in p}
         self.automaton = ahocorasick.Automaton()
         for piece in self.plain:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.plain), default=1)
         self.pieces = {i: p for p, (i, _) in self.plain.items()}
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.fits = _Kept(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], cache)
-        self.encoded = _Kept(self._ids_of_part, cache)
-        self.decoded = _Kept(self._text_of_ids, cache)
+        self.encoded = _Kept(self._ids_of_part, cache // 4)
+        self.spaced = _Kept(lambda word: self._ids_of_part(" " + word), cache)  # of a word after one space
+        self.decoded = _Kept(self._text_of_ids, cache, 1024)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by merging; it decides whether two pieces are compatible."""
@@ -99,15 +118,12 @@ class Encoder:
 
     def pieces_of(self, s: str) -> list[str]:
         """The pieces of a string of known characters, by backtracking."""
-        longest = [0] * len(s)
-        for end, n in self.automaton.iter(s):
-            if n > longest[end - n + 1]:
-                longest[end - n + 1] = n
-        plain, fits = self.plain, self.fits
+        plain, fits, longest, at_most = self.plain, self.fits, self.automaton.longest_prefix, self.longest
         out: list[str] = []
         failed = 0  # bit p: no continuation from position p
         pos, size = 0, len(s)
-        n = longest[0]
+        # The automaton gives the longest way from a position along its pieces; the longest piece is no longer.
+        n = longest(s[:at_most])
         while pos < size:
             while n:
                 end = pos + n
@@ -119,7 +135,7 @@ class Encoder:
             if n:
                 out.append(piece)
                 pos = end
-                n = longest[pos] if pos < size else 0
+                n = longest(s[pos : pos + at_most]) if pos < size else 0
             else:
                 if not out:
                     raise ValueError(f"no encoding of {s!r}")
@@ -167,7 +183,22 @@ class Encoder:
         if not text:
             return []
         text = text.replace(SPACE, " ")
-        return list(map(self.encoded.__getitem__, self._parts(" " + text if self.prefix else text)))
+        out: list[str] = []
+        encoded, spaced = self.encoded.__getitem__, self.spaced.__getitem__
+        for k, line in enumerate((" " + text if self.prefix else text).split("\n")):
+            if k:
+                out.append(encoded("\n"))
+            words = line.split(" ")
+            first = words[0]
+            words[0] = "x"
+            if "" in words:  # a run of spaces
+                out += map(encoded, self._parts(line))
+                continue
+            if first:
+                out.append(encoded(first))
+            del words[0]
+            out += map(spaced, words)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for part in self.encode_parts(text) for x in part.split(",")]
@@ -216,8 +247,8 @@ def encode_documents(
         sha = hashlib.sha256
         for batch in batches:
             ids, counts, id_sums, text_sums = [], [], [], []
-            for t in batch.column(source):
-                parts = encoder.encode_parts(t.as_py())
+            for t in batch.column(source).to_pylist():
+                parts = encoder.encode_parts(t)
                 joined = ",".join(parts)
                 if out_ids:
                     ids.append([int(x) for x in joined.split(",")] if joined else [])
