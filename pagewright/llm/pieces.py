@@ -74,7 +74,7 @@ class _Kept(dict):
             value = self.fn(key)
             if len(key) > self.longest:
                 return value
-        self.held += 200 + len(key) + (len(value) if isinstance(value, str) else 100)
+        self.held += 200 + len(key) + (sum(map(len, value)) if isinstance(value, tuple) else 100)
         if self.held > self.limit:
             self.old = self.copy()
             self.clear()
@@ -86,10 +86,12 @@ class _Kept(dict):
 class Encoder:
     """Encodes and decodes texts with the tables of ``read_model``."""
 
-    def __init__(self, model: dict, cache: int = 1 << 26):
+    def __init__(self, model: dict, cache: int = 1 << 27):
         """``cache``: bytes of a generation of each cache."""
         self.plain, self.byte_ids, self.prefix = model["plain"], model["bytes"], model["prefix"]
-        self.known = {c for p in self.plain for c in p}
+        known = sorted({c for p in self.plain for c in p})
+        self.unknown = re.compile(f"[^{re.escape(''.join(known))}]").search
+        self.id_of = {p: str(i) for p, (i, _) in self.plain.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in self.plain:
             self.automaton.add_word(piece, len(piece))
@@ -98,9 +100,9 @@ class Encoder:
         self.pieces = {i: p for p, (i, _) in self.plain.items()}
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.fits = _Kept(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], cache)
-        self.encoded = _Kept(self._ids_of_part, cache // 4)
-        self.spaced = _Kept(lambda word: self._ids_of_part(" " + word), cache)  # of a word after one space
-        self.decoded = _Kept(self._text_of_ids, cache, 1024)
+        # Ids joined by commas and the text they are decoded to: of a part, and of a word after one space.
+        self.encoded = _Kept(self._round_trip, cache // 4)
+        self.spaced = _Kept(lambda word: self._round_trip(" " + word), cache)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by merging; it decides whether two pieces are compatible."""
@@ -146,44 +148,44 @@ class Encoder:
         return out
 
     def _ids_of_part(self, part: str) -> str:
-        ids: list[int] = []
         part = part.replace(" ", SPACE)
+        if not self.unknown(part):
+            return ",".join(map(self.id_of.__getitem__, self.pieces_of(part)))
+        ids: list[str] = []
         at = 0
         for i, c in enumerate(part):
-            if c not in self.known:
-                if i > at:
-                    ids += [self.plain[p][0] for p in self.pieces_of(part[at:i])]
-                ids += [self.byte_ids[b] for b in c.encode("utf-8", "replace")]
+            if self.unknown(c):
+                ids += map(self.id_of.__getitem__, self.pieces_of(part[at:i]))
+                ids += [str(self.byte_ids[b]) for b in c.encode("utf-8", "replace")]
                 at = i + 1
-        if at < len(part):
-            ids += [self.plain[p][0] for p in self.pieces_of(part[at:])]
-        return ",".join(map(str, ids))
+        return ",".join([*ids, *map(self.id_of.__getitem__, self.pieces_of(part[at:]))])
 
-    def _text_of_ids(self, ids: str) -> str:
-        return self._text([int(x) for x in ids.split(",")])
+    def _round_trip(self, part: str) -> tuple[str, str]:
+        ids = self._ids_of_part(part)
+        return ids, self._text(map(int, ids.split(",")))
 
     def _text(self, ids: Iterable[int]) -> str:
-        out, held = [], bytearray()
+        out, held, pieces = [], bytearray(), self.pieces
         for i in ids:
-            if i in self.byte_of:
+            if i in pieces:
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                out.append(pieces[i])
+            elif i in self.byte_of:
                 held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(self.pieces.get(i, ""))
         if held:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out).replace(SPACE, " ")
 
     _parts = re.compile(r" *[^ \n]+| +|\n").findall
 
-    def encode_parts(self, text: str | None) -> list[str]:
-        """The ids of each part of a text, joined by commas."""
+    def encode_parts(self, text: str | None) -> list[tuple[str, str]]:
+        """The ids of each part of a text, joined by commas, with the text they are decoded to."""
         if not text:
             return []
         text = text.replace(SPACE, " ")
-        out: list[str] = []
+        out: list[tuple[str, str]] = []
         encoded, spaced = self.encoded.__getitem__, self.spaced.__getitem__
         for k, line in enumerate((" " + text if self.prefix else text).split("\n")):
             if k:
@@ -201,15 +203,15 @@ class Encoder:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for part in self.encode_parts(text) for x in part.split(",")]
+        return [int(x) for ids, _ in self.encode_parts(text) for x in ids.split(",")]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = self._text(ids)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def decode_parts(self, parts: list[str]) -> str:
+    def decode_parts(self, parts: list[tuple[str, str]]) -> str:
         """``decode`` of the ids of all parts: a part begins and ends between characters, so each stands alone."""
-        text = "".join(map(self.decoded.__getitem__, parts))
+        text = "".join([t for _, t in parts])
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -249,7 +251,7 @@ def encode_documents(
             ids, counts, id_sums, text_sums = [], [], [], []
             for t in batch.column(source).to_pylist():
                 parts = encoder.encode_parts(t)
-                joined = ",".join(parts)
+                joined = ",".join([i for i, _ in parts])
                 if out_ids:
                     ids.append([int(x) for x in joined.split(",")] if joined else [])
                 if out_digests:
