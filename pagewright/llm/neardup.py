@@ -10,12 +10,14 @@ is left as soon as its time exceeds every component, so a long document costs li
 draw for each shingle.  Two documents agree in a component with the probability of their weighted
 Jaccard similarity.
 
-Signatures are cut into bands; documents equal in a band meet in a bucket.  Within a bucket all
-are compared with one centre, links are joined into components, and only documents of a bucket in
-different components are compared with each other, after exact bounds on their similarity: those of small buckets
-as pairs, those of large ones in blocks of bounded size whose overlaps are one matrix product, so that no
-pairs are emitted but links.  No link between different components is lost.  Every link is verified on the shingles of the whole
-texts.
+Signatures are cut into bands; documents equal in a band meet in a bucket.  Classes are found in
+three passes, each of which only looks at what the one before left apart: within a bucket all are
+compared with one centre; then those outside the bucket's largest class with a few centres of that
+class; then every pair of different classes, pairs of small buckets one by one, those of large
+ones in blocks of bounded size whose overlaps are one matrix product.  A block returns a spanning
+forest of its links, so what is emitted grows with the documents, not with their pairs.  No two
+classes that a link joins stay apart.  Every link is verified on the shingles of the whole texts;
+both ways divide the same whole numbers.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 #: Buckets of at most so many documents are compared as pairs; blocks of larger ones hold about so many documents and shingles.
 PAIR_BUCKET, BLOCK_DOCS, BLOCK_SHINGLES = 48, 1024, 400_000
+#: Centres of the largest class that the rest of a bucket is compared with.
+CENTRES = 4
 
 _white = np.zeros(256, bool)
 _white[[ord(c) for c in WHITE_CHARS]] = True
@@ -166,14 +170,16 @@ def overlap(pairs: list[tuple[str, str]]) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
+    kept = ("doc_id", "text", "g1", "g2")
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 sizes, keys = sign([t or "" for t in batch.column("text").to_pylist()])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "g1", "g2")] + [pa.array(sizes, pa.int64()), flat], names=["doc_id", "g1", "g2", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(sizes, pa.int64()), flat], names=[*kept, "size", "keys"])
 
-    return docs.mapInArrow(run, "doc_id bigint, g1 bigint, g2 bigint, size bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text string, g1 bigint, g2 bigint, size bigint, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,13 +196,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def forest(joined: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    left = np.ones(len(joined), bool)
+    out = []
+    for start in range(len(joined)):
+        if left[start]:
+            left[start] = False
+            queue = [start]
+            while queue:
+                at = queue.pop()
+                new = np.flatnonzero(joined[at] & left)
+                left[new] = False
+                out += [(at, int(x)) for x in new]
+                queue += new.tolist()
+    return out
+
+
 def block_links(texts: list[str], components: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """The pairs (one of ``left``, one of ``right``, as flags) of different components with a similarity of ``threshold`` or more."""
+    """Pairs of components that join what the links between ``left`` and ``right`` (flags of texts) join.
+
+    A link is a similarity of ``threshold`` or more.  There are fewer pairs than components.
+    """
     doc, value, count = weighted(*shingles(texts))
     # The k-th occurrence of a shingle is an element of its own, so that overlaps of multisets are overlaps of sets.
     doc, value = np.repeat(doc, count), np.repeat(value, count)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    totals = np.bincount(doc, minlength=len(texts)).astype(np.float32)
+    totals = np.bincount(doc, minlength=len(texts)).astype(np.float64)
     _, element, seen = np.unique(mix64(value + nth.astype(_U) * _U(_GOLDEN)), return_inverse=True, return_counts=True)
     shared = seen[element] > 1
     kept, element = np.unique(element[shared], return_inverse=True)
@@ -204,7 +230,7 @@ def block_links(texts: list[str], components: np.ndarray, left: np.ndarray, righ
     rows, columns = np.flatnonzero(left), np.flatnonzero(right)
     place_of_row, place_of_column = np.full(len(texts), -1), np.full(len(texts), -1)
     place_of_row[rows], place_of_column[columns] = np.arange(len(rows)), np.arange(len(columns))
-    common = np.zeros((len(rows), len(columns)), np.float32)
+    common = np.zeros((len(rows), len(columns)), np.float32)  # whole numbers below 2 ** 24
     order = np.argsort(element, kind="stable")
     doc, element = doc[order], element[order]
     for lo in range(0, len(kept), 4096):
@@ -216,16 +242,25 @@ def block_links(texts: list[str], components: np.ndarray, left: np.ndarray, righ
         own = place_of_column[d] >= 0
         b[place_of_column[d[own]], e[own]] = 1
         common += a @ b.T
-    union = totals[rows][:, None] + totals[columns][None, :] - common
-    near = (common >= threshold * union - 1e-3) & (components[rows][:, None] != components[columns][None, :])
-    found = [(int(rows[i]), int(columns[j])) for i, j in zip(*np.nonzero(near), strict=True) if rows[i] != columns[j]]
-    return [(i, j) for i, j in found if common[place_of_row[i], place_of_column[j]] / union[place_of_row[i], place_of_column[j]] >= np.float32(threshold)]
+    exact = common.astype(np.float64)
+    union = np.maximum(totals[rows][:, None] + totals[columns][None, :] - exact, 1)
+    names, number = np.unique(components, return_inverse=True)
+    joined = np.zeros((len(names), len(names)), bool)
+    i, j = np.nonzero(exact / union >= threshold)
+    joined[number[rows[i]], number[columns[j]]] = True
+    joined |= joined.T
+    return [(int(names[i]), int(names[j])) for i, j in forest(joined)]
 
 
 def _in_blocks(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between documents of different components in large buckets: placed (bucket, node, size, component, chunks)."""
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    rows = placed.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    """Links (a, b) between the components of large buckets: placed (bucket, node, size, component, main, rest_chunks, main_chunks).
+
+    The rest of a bucket meets itself and the main component; the main component doesn't meet itself.
+    """
+    rest = F.col("component") != F.col("main")
+    own = F.when(rest, F.pmod(F.xxhash64("node"), F.col("rest_chunks"))).otherwise(F.col("rest_chunks") + F.pmod(F.xxhash64("node"), F.greatest("main_chunks", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(rest, F.col("rest_chunks") + F.col("main_chunks")).otherwise(F.col("rest_chunks")) - 1)
+    rows = placed.withColumn("chunk", own).withColumn("other", F.explode(others))
     rows = rows.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
 
     def block(pdf):
@@ -233,80 +268,87 @@ def _in_blocks(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
         first = pdf.chunk.to_numpy() == pdf.i.to_numpy()
         second = pdf.chunk.to_numpy() == pdf.j.to_numpy()
-        nodes = pdf.node.to_numpy()
         found = block_links(pdf.text.tolist(), pdf.component.to_numpy(), first, second, threshold)
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    joined = rows.join(texts, "node").select("bucket", "i", "j", "chunk", "node", "component", "text")
+    joined = rows.join(texts, "node").select("bucket", "i", "j", "chunk", "component", "text")
     return joined.groupBy("bucket", "i", "j").applyInPandas(block, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets whose documents are not all in one component, with ``component`` and the bucket's largest one, ``main``."""
+    placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = counted.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    return materialize(placed.join(main.select("bucket", "main"), "bucket"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The class of every row of ``docs`` (doc_id, text): doc_id, class_id, class_size, n_shingles, n_links, kept, g1, g2.
+    """The class of every row of ``docs`` (doc_id, text): doc_id, class_id, class_size, n_shingles, kept, g1, g2.
 
     Two texts are linked if they are equal, or if their five-word shingles (multisets) have a weighted
     Jaccard similarity of ``threshold`` or more; classes are the connected components.  ``class_id``
     is the smallest doc_id of the class, ``class_size`` its rows, and ``kept`` is true for one row of
-    each class, one with that id.  ``n_links`` counts the verified links of the text to different texts.  A text of fewer
+    each class, one with that id.  A text of fewer
     than five words has one shingle of all; texts without words (null counts as empty) are linked only if
     equal.  Rows without id are placed like others, and their class's id is null if none of it has one.
-    Repeated rows belong to one class.  g1 and g2 are hashes of the text.
+    Repeated rows belong to one class, and at most one of them is kept; ties between rows change nothing
+    else.  Other columns are not read.  An empty table gives an empty result.  g1 and g2 are hashes of the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     own = own.withColumn("g1", F.xxhash64("text")).withColumn("g2", F.xxhash64(F.lit(1), F.col("text")))
-    rows = materialize(_signed(own))
-    nodes = rows.groupBy("g1", "g2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
-    bucket = Window.partitionBy("bucket")
-    members = nodes.filter("size > 0").select("node", "size", F.explode("keys").alias("bucket"))
-    members = members.withColumn("centre", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).filter("centre <> last").drop("last")
-    members = materialize(members)
-    centre_size = nodes.select(F.col("node").alias("centre"), F.col("size").alias("centre_size"))
-    involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "g1", "g2")
-    texts = own.select("g1", "g2", "text").join(involved, ["g1", "g2"]).groupBy("g1", "g2", "node").agg(F.first("text").alias("text"))
-    texts = materialize(texts.select("node", "text"))
-    # A similarity is at most the smaller size over the larger.
-    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    stars = members.filter("node <> centre").select("node", "centre", "size").distinct().join(centre_size, "centre").filter(near(F.col("size"), F.col("centre_size")))
-    first = materialize(_verified(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts))
-    links = first.filter(F.col("similarity") >= threshold).select("a", "b")
-    found = materialize(components(links))
-    # Documents of a bucket in different components: every pair that no bound excludes.
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("least", F.min("component").over(bucket)).withColumn("most", F.max("component").over(bucket)).filter("least <> most")
-    placed = placed.join(first.withColumnRenamed("a", "node").withColumnRenamed("b", "centre"), ["node", "centre"], "left")
-    sized = placed.filter("node <> centre").select("bucket", "node", "size", "component", (1 - F.col("similarity")).alias("distance"))
-    chunks = F.greatest(F.ceil(F.count("*").over(bucket) / BLOCK_DOCS), F.ceil(F.sum("size").over(bucket) / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    placed = materialize(sized.withColumn("members", F.count("*").over(bucket)).withColumn("chunks", chunks))
-    x, y = placed.filter(F.col("members") <= PAIR_BUCKET).alias("x"), placed.alias("y")
-    # 1 - similarity is a metric, so two documents are at least as far apart as their distances from the centre differ.
-    apart = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - threshold + 1e-9, F.lit(True))
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near(F.col("x.size"), F.col("y.size")) & apart)
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = _verified(cross, texts).filter(F.col("similarity") >= threshold).select("a", "b").unionByName(_in_blocks(placed.filter(F.col("members") > PAIR_BUCKET), texts, threshold))
-    more = materialize(more.distinct())
-    every = links.unionByName(more)
-    final = components(every)
-    degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classed = nodes.join(final, "node", "left").join(degree, "node", "left").select("node", "g1", "g2", "first_id", "copies", "size", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classed = materialize(classed)
-    heads = classed.groupBy("component").agg(
-        F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node"))["node"].alias("head")
-    )
-    known = classed.join(heads, "component").select("g1", "g2", "class_id", "class_size", "size", "n_links", (F.col("node") == F.col("head")).alias("is_head"))
-    out = rows.select("doc_id", "g1", "g2").join(known, ["g1", "g2"])
-    chosen = F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    # Rows of a text with one id are repeats of a row, of which one is kept.
-    rank = F.row_number().over(Window.partitionBy("g1", "g2", "doc_id").orderBy("is_head"))
-    return out.withColumn("kept", chosen & (rank == 1)).select("doc_id", "class_id", "class_size", F.col("size").alias("n_shingles"), "n_links", "kept", "g1", "g2")
+    rows = materialize(_signed(own).withColumn("row", F.monotonically_increasing_id()))
+    # The first row of a text stands for it.
+    nodes = materialize(rows.groupBy("g1", "g2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+    heads = rows.filter("size > 0").withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
+    keyed = heads.select("node", "size", F.explode("keys").alias("bucket"))
+    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731  a similarity is at most the smaller size over the larger
+    met = keyed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("bucket", "centre")
+    members = materialize(keyed.join(met, "bucket"))
+    texts = materialize(rows.select(F.col("row").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"))
+    sizes = members.select(F.col("node").alias("centre"), F.col("size").alias("centre_size")).distinct()
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The verified links of (node, size, centre)."""
+        pairs = pairs.filter("node <> centre").distinct().join(sizes, "centre").filter(near(F.col("size"), F.col("centre_size")))
+        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        return _verified(pairs, texts).filter(F.col("similarity") >= threshold).select("a", "b")
+
+    links = materialize(compared(members.select("node", "size", "centre")))
+    placed = _apart(members, links)
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"c{k}") for k in range(CENTRES)]
+    centres = placed.filter("component = main").groupBy("bucket").agg(*picks)
+    centres = centres.select("bucket", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES))))).alias("centre"))
+    more = compared(placed.filter("component <> main").select("bucket", "node", "size").join(centres, "bucket").select("node", "size", "centre"))
+    links = materialize(links.unionByName(more))
+    # Every pair of different components in a bucket that no bound excludes.
+    placed = _apart(members.select("bucket", "node", "size"), links)
+    rest = F.col("component") != F.col("main")
+    chunks = lambda own: F.greatest(F.ceil(F.count(F.when(own, 1)) / BLOCK_DOCS), F.ceil(F.sum(F.when(own, F.col("size"))) / BLOCK_SHINGLES), F.lit(0)).cast("int")
+    shape = placed.groupBy("bucket").agg(F.count("*").alias("members"), chunks(rest).alias("rest_chunks"), chunks(~rest).alias("main_chunks"))
+    placed = materialize(placed.join(shape, "bucket"))
+    x, y = placed.filter((F.col("members") <= PAIR_BUCKET) & rest).alias("x"), placed.filter(F.col("members") <= PAIR_BUCKET).alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & once & (F.col("x.component") != F.col("y.component")) & near(F.col("x.size"), F.col("y.size")))
+    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    last = _verified(cross, texts).filter(F.col("similarity") >= threshold).select("a", "b")
+    last = last.unionByName(_in_blocks(placed.filter(F.col("members") > PAIR_BUCKET), texts, threshold))
+    final = components(links.unionByName(last))
+    classed = materialize(nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    known = classed.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    known = classed.join(known, "component").select("g1", "g2", "component", "class_id", "class_size")
+    out = materialize(rows.select("row", "doc_id", "size", "g1", "g2").join(known, ["g1", "g2"]))
+    chosen = out.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("row").alias("row"))
+    out = out.join(chosen.select("row", F.lit(True).alias("chosen")), "row", "left")
+    return out.select("doc_id", "class_id", "class_size", F.col("size").alias("n_shingles"), F.coalesce("chosen", F.lit(False)).alias("kept"), "g1", "g2")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``classes`` (of ``near_duplicates(docs)``) keeps: one for each class."""
+    names = [f"__{n}{'_' * max(map(len, docs.columns), default=0)}" for n in ("g1", "g2", "id")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.withColumn("__g1", F.xxhash64(text)).withColumn("__g2", F.xxhash64(F.lit(1), text)).withColumn("__id", F.xxhash64(F.col("doc_id").cast("long")))
-    kept = classes.filter("kept").select(F.col("g1").alias("__g1"), F.col("g2").alias("__g2"), F.xxhash64("doc_id").alias("__id")).distinct()
-    # A repeated row is kept once.
-    turn = F.row_number().over(Window.partitionBy("__g1", "__g2", "__id").orderBy("doc_id"))
-    return named.join(kept, ["__g1", "__g2", "__id"]).withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    own = (F.xxhash64(text), F.xxhash64(F.lit(1), text), F.xxhash64(F.col("doc_id").cast("long")))
+    kept = classes.filter("kept").select(*(c.alias(n) for c, n in zip((F.col("g1"), F.col("g2"), F.xxhash64("doc_id")), names, strict=True)))
+    # Repeated rows have equal names; one of them is kept.
+    return docs.withColumns(dict(zip(names, own, strict=True))).join(kept.distinct(), names, "left_semi").dropDuplicates(names).drop(*names)

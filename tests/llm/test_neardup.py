@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pagewright.llm import neardup as N
 
@@ -68,13 +69,29 @@ def test_blocks_find_the_same_links():
         texts.append(" ".join(t))
     comp = np.array([i % 7 for i in range(60)])
     left, right = np.arange(60) < 25, np.arange(60) >= 20
-    got = {tuple(sorted(p)) for p in N.block_links(texts, comp, left, right, 0.8)}
-    want = {(min(i, j), max(i, j)) for i in range(25) for j in range(20, 60) if i != j and comp[i] != comp[j] and jaccard(texts[i], texts[j]) >= 0.8}
-    assert got == want and want
+    parent = list(range(7))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def parts(links):
+        parent[:] = range(7)
+        for a, b in links:
+            parent[find(a)] = find(b)
+        return [{j for j in range(7) if find(j) == find(i)} for i in range(7)]
+
+    got = N.block_links(texts, comp, left, right, 0.8)
+    want = [(comp[i], comp[j]) for i in range(25) for j in range(20, 60) if i != j and jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(got) < 7 and parts(got) == parts(want) and want
+    assert len(N.block_links(texts, np.arange(60), left, right, 0.8)) < 60
 
 
-def test_same_classes_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(N, "PAIR_BUCKET", 3)
+@pytest.mark.parametrize("pair_bucket, block_docs", [(0, 7), (3, 1024), (48, 1024)])
+def test_same_classes_as_brute_force(spark, monkeypatch, pair_bucket, block_docs):
+    monkeypatch.setattr(N, "PAIR_BUCKET", pair_bucket)
+    monkeypatch.setattr(N, "BLOCK_DOCS", block_docs)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows, n = [], 0
