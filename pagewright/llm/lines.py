@@ -1,25 +1,26 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
 Two lines are linked if they are equal or if their edit distance is within a threshold that depends
-on the length of the shorter one.  If a line is cut into threshold-plus-one segments, one of them
-must occur unchanged in any line within the threshold, at a place that the lengths confine.  So
-each line indexes its own segments and probes, for every length that a partner may have, the
-substrings at those places.  Lines meet in buckets by (length, segment, substring).
-
-Long lines may also be linked by words: one word in so many may be edited.  Of the words of the shorter line a run
-stays whole whose least length is known, so both lines have it; each line indexes the least hash of every window of
-word runs (winnowing), and lines that share a run of that length share such a hash, wherever it lies.
-
-Within a bucket all lines are compared with one centre; links are joined into components; then only
-lines of a bucket that are in different components are compared.  Pairs first pass a bitmap filter:
-an edit changes at most four bigrams, so the parities of the hashed bigrams differ in at most four times the
-threshold places, and a word edit at most two words.  What is left is verified by the edit distance of characters or words.
+on the shorter one.  Edits of shorter lines are counted in characters; those of lines of enough words
+in words, and their number grows with the words.  If a line is cut into threshold-plus-one segments
+(of characters or words), one of them must occur unchanged in any line within the threshold, at a
+place that the lengths confine.  So each line indexes its own segments and probes, for every length
+that a partner may have, the substrings at those places.  Lines meet in buckets by (length, segment,
+substring).
+
+Within a bucket all lines are compared with its most frequent one; links are joined into components.
+Lines outside the largest component of a bucket are compared with a few of its lines, and what is
+still apart with all lines of the bucket in other components.  Pairs first pass exact filters (lengths,
+a banded table of distances, words that the other lacks) inside the join; what is left is verified by a banded
+bit-parallel edit distance, of characters or words.
 
 Of every class of linked lines one occurrence stays: the first in the document with the smallest id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,72 +29,74 @@ from .graph import components
 
 #: Lines of fewer characters are linked only to equal ones, if at all; from the second length on two edits are allowed, before one.
 MIN_CHARS, TWO_EDITS = 20, 40
-#: Lines of so many words may differ in one of them, of twice as many in two, and so on.
-WORDS_PER_EDIT = 15
+#: Word edits allowed from so many words on (the shorter line decides), in order.
+WORD_EDITS = ((15, 1), (30, 2), (90, 3))
+#: From so many words on only words count.
+LONG = 30
+#: Lines of the largest component that the others of a bucket are compared with.
+CENTRES = 4
 #: Bits of the table that says whether a line met another, at most (16 MB when broadcast).
 MAX_BITS = 1 << 27
 
 _TOP = 61  # bit of the lowest row of the band
 _MASK = (1 << (_TOP + 1)) - 1
+_ALL = 1 << 30
 
 
 def threshold(length: str) -> str:
-    """SQL for the edits allowed to a pair whose shorter line has this length."""
+    """SQL for the character edits allowed to a pair whose shorter line has this length."""
     return f"(CASE WHEN {length} >= {TWO_EDITS} THEN 2 ELSE 1 END)"
 
 
-def bucket_keys(line: str = "line") -> Column:
-    """The array of (key, own) of a line: own segments, and substrings probed for partners no longer than it; nulls where a case doesn't apply.
+def word_threshold(words: str) -> str:
+    """SQL for the word edits allowed to a pair whose shorter line has so many words."""
+    return "(CASE " + " ".join(f"WHEN {words} >= {low} THEN {t}" for low, t in reversed(WORD_EDITS)) + " ELSE 0 END)"
+
+
+def _segments(size: str, piece: Callable[[str, str], str], t: int, low: int, high: int, kind: int, sure: bool) -> list[str]:
+    """SQL for (key, own) of every segment that a line of ``size`` indexes or probes for a shorter partner of ``low`` to ``high``.
 
     For a partner of length l, t edits and segment i at p: between the segments before i at most i
     edits fall, and after it t - i, so its place x obeys |x - p| <= i and |x - p - (L - l)| <= t - i.
-    All cases are listed, so that the expression is compiled as a whole.
-    """
-    cases = []
-    for t, low, high in ((2, TWO_EDITS, 1 << 30), (1, MIN_CHARS, TWO_EDITS - 1)):
-        for shorter in range(t + 1):
-            length = f"(length({line}) - {shorter})"
-            for i in range(t + 1):
-                width = f"(({length} + {i}) div {t + 1})"  # later segments are longer by one where the length doesn't divide
-                place = " + ".join(f"(({length} + {k}) div {t + 1})" for k in range(i)) or "0"
-                for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
-                    piece = f"substring({line}, CAST({place} + {move + 1} AS INT), CAST({width} AS INT))"
-                    cases.append(f"CASE WHEN {length} BETWEEN {low} AND {high} THEN named_struct('key', xxhash64({length}, {i}, {piece}), 'own', {'true' if shorter == move == 0 else 'false'}) END")
-    return F.expr("array(" + ", ".join(cases) + ")")
-
-
-def word_keys(per_edit: int, line: str = "line") -> Column:
-    """The array of (key, own) of a line by its words, null for one of fewer than ``per_edit`` words.
-
-    If t words of the shorter line's W are edited, t = W div per_edit, a run of (W - t) / (t + 1) words or more stays
-    whole, which is least where per_edit divides W.  Shorter lines with one edit have a length of run, and
-    keys, of their own.
+    ``sure``: all these lengths are within the bounds, else a case outside them is null.
     """
     cases = []
-    for t, low, high in ((1, per_edit, 2 * per_edit), (2, 2 * per_edit, 1 << 30)):
-        run = -(-t * (per_edit - 1) // (t + 1))
-        k = (run + 1) // 2
-        grams = f"transform(sequence(0, size(z) - {k}), i -> xxhash64({-t}, slice(z, i + 1, {k})))"
-        windows = f"transform(array({grams}), g -> transform(sequence(0, size(g) - {run + 1 - k}), i -> array_min(slice(g, i + 1, {run + 1 - k}))))[0]"
-        cases.append(f"CASE WHEN size(z) BETWEEN {low} AND {high} THEN transform(array_distinct({windows}), h -> named_struct('key', h, 'own', true)) ELSE array() END")
-    return F.expr(f"CASE WHEN length({line}) >= {2 * per_edit - 1} THEN transform(array(split({line}, ' ')), z -> concat({', '.join(cases)}))[0] END")
-
+    for shorter in range(t + 1):
+        length = f"({size} - {shorter})"
+        for i in range(t + 1):
+            width = f"(({length} + {i}) div {t + 1})"  # later segments are longer by one where the length doesn't divide
+            place = " + ".join(f"(({length} + {k}) div {t + 1})" for k in range(i)) or "0"
+            for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
+                key = f"named_struct('key', xxhash64({kind}, {length}, {i}, {piece(f'({place} + {move})', width)}), 'own', {'true' if shorter == move == 0 else 'false'})"
+                cases.append(key if sure else f"CASE WHEN {length} BETWEEN {low} AND {high} THEN {key} END")
+    return cases
 
-def word_parity(bits: int = 128) -> list[Column]:
-    """64-bit words of the parities of the hashed words of ``__words``."""
-    return [F.expr(f"aggregate(filter(transform(__words, w -> pmod(xxhash64(w), {bits})), b -> b div 64 = {k}), 0L, (s, b) -> s ^ shiftleft(1L, CAST(b % 64 AS INT)))").alias(f"v{k}") for k in range(bits // 64)]
 
+def _all_segments(size: str, piece: Callable[[str, str], str], classes: list[tuple[int, int, int]], kind: int) -> str:
+    """SQL for the array of the segments for all classes (low, high, edits), the usual lengths first."""
+    branches = [f"WHEN {size} BETWEEN {low + t} AND {high} THEN array({', '.join(_segments(size, piece, t, low, high, kind, True))})" for low, high, t in classes]
+    rest = [c for low, high, t in classes for c in _segments(size, piece, t, low, high, kind, False)]
+    return f"CASE {' '.join(branches)} WHEN {size} >= {classes[0][0]} THEN array({', '.join(rest)}) ELSE array() END"
 
-def word_distance(a: str, b: str, t: str) -> str:
-    """SQL for the edit distance of two arrays of words if it is at most t, else -1: every word of the pair becomes a character."""
-    spell = lambda x: f"decode(unhex(array_join(transform({x}, w -> lpad(hex(array_position(d, w) + 65536), 8, '0')), '')), 'UTF-32')"
-    return f"transform(array(array_distinct(concat({a}, {b}))), d -> levenshtein({spell(a)}, {spell(b)}, {t}))[0]"
 
+def keyed_lines(lines: DataFrame) -> DataFrame:
+    """(h1, copies, key, own) for every segment that a line of ``lines`` (line, copies) indexes or probes.
 
-def bigram_parity(words: int = 4) -> list[Column]:
-    """64-bit words of the parities of the hashed bigrams of ``__chars``, the last character being one too."""
-    pairs = "transform(sequence(0, greatest(size(__chars) - 2, 0)), i -> pmod(xxhash64(__chars[i], CASE WHEN i + 1 < size(__chars) THEN __chars[i + 1] END), %d))" % (64 * words)
-    return [F.expr(f"aggregate(filter({pairs}, b -> b div 64 = {k}), 0L, (s, b) -> s ^ shiftleft(1L, CAST(b % 64 AS INT)))").alias(f"s{k}") for k in range(words)]
+    Pieces are cut from fixed-width codes, four bytes for a character, eight for the hash of a word, so
+    that a cut costs no walk along the line.
+    """
+    word = "substring(hex(xxhash64(w) | (-9223372036854775807L - 1)), 9, 8)"
+    coded = lines.select("copies", F.xxhash64("line").alias("h1"), F.expr("encode(line, 'UTF-32')").alias("u"), F.split("line", " ").alias("z"))
+    words = F.expr(f"CASE WHEN m >= {WORD_EDITS[0][0]} THEN CAST(array_join(transform(z, w -> {word}), '') AS BINARY) END")
+    coded = coded.withColumn("n", F.expr("length(u) div 4")).withColumn("m", F.size("z")).withColumn("v", words)
+    cut = lambda column, width: lambda place, size: f"substring({column}, CAST({width} * {place} + 1 AS INT), CAST({width} * {size} AS INT))"
+    of_chars = _all_segments("n", cut("u", 4), [(MIN_CHARS, TWO_EDITS - 1, 1), (TWO_EDITS, _ALL, 2)], 0)
+    ends = [*(low - 1 for low, _ in WORD_EDITS[1:]), _ALL]
+    of_words = _all_segments("m", cut("v", 8), [(low, high, t) for (low, t), high in zip(WORD_EDITS, ends, strict=True)], 1)
+    # A pair of which one line has fewer than LONG words and that is within two characters has at most two words more.
+    keys = F.concat(F.expr(f"CASE WHEN m < {LONG + 2} THEN {of_chars} ELSE array() END"), F.expr(of_words))
+    found = coded.select("h1", "copies", F.explode(keys).alias("k")).filter("k IS NOT NULL")
+    return found.select("h1", "copies", "k.key", "k.own")
 
 
 def edit_distance(a: str, b: str, t: str) -> str:
@@ -103,7 +106,7 @@ def edit_distance(a: str, b: str, t: str) -> str:
     character of b at a time: the lowest row of the band, t rows below the diagonal, is bit 61; the
     last t columns follow the bottom row of the table instead.
     """
-    match = " + ".join(f"(CASE WHEN i + {d} >= 0 AND i + {d} < size({a}) AND abs({d}) <= {t} AND {a}[greatest(0, least(i + {d}, size({a}) - 1))] = {b}[i] THEN shiftleft(1L, {_TOP} - {t} + ({d})) ELSE 0L END)" for d in range(-2, 3))
+    match = " + ".join(f"(CASE WHEN i + {d} >= 0 AND i + {d} < size({a}) AND abs({d}) <= {t} AND {a}[greatest(0, least(i + {d}, size({a}) - 1))] = {b}[i] THEN shiftleft(1L, {_TOP} - {t} + ({d})) ELSE 0L END)" for d in range(-3, 4))
     # Intermediate vectors are bound by transforms over one element, each being computed once for a character.
     d0 = f"((((m & s.vp) + s.vp) ^ s.vp) | m | s.vn) & {_MASK}L"
     hp, hn, half = f"(s.vn | ~(d0 | s.vp)) & {_MASK}L", "d0 & s.vp", "shiftright(d0, 1)"
@@ -116,49 +119,45 @@ def edit_distance(a: str, b: str, t: str) -> str:
     return f"CASE WHEN size({b}) = 0 THEN size({a}) ELSE aggregate(transform(sequence(0, size({b}) - 1), i -> {match}), {start}, (s, m) -> {step}, s -> s.d) END"
 
 
-def _pairs_within(pairs: DataFrame, lines: DataFrame, per_edit: int | None = None) -> DataFrame:
-    """The pairs (a, b) whose lines are within the threshold, of characters or, with ``per_edit``, of words."""
-    side = lambda k: lines.select(F.col("h1").alias(k), F.col("line").alias(f"l{k}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    both = both.withColumn("t", F.expr(threshold("least(length(la), length(lb))")))
-    near = "(abs(length(la) - length(lb)) <= t AND levenshtein(la, lb, t) >= 0)"
-    if per_edit:
-        t = f"CAST(least(size(z.p), size(z.q)) div {per_edit} AS INT)"
-        near += f" OR transform(array(named_struct('p', split(la, ' '), 'q', split(lb, ' '))), z -> {t} > 0 AND abs(size(z.p) - size(z.q)) <= {t} AND {word_distance('z.p', 'z.q', t)} >= 0)[0]"
-    return both.filter(F.expr(near)).select("a", "b")
+def maybe_near(a: str, b: str) -> Column:
+    """Whether two lines, structs of line, n (characters) and z (words), may be linked: false only for those that are not."""
+    n, m = f"least({a}.n, {b}.n)", f"least(size({a}.z), size({b}.z))"
+    chars = f"({m} < {LONG} AND abs({a}.n - {b}.n) <= {threshold(n)} AND levenshtein({a}.line, {b}.line, {threshold(n)}) >= 0)"
+    t = word_threshold(m)
+    lacks = lambda x, y: f"size(array_except({x}.z, {y}.z)) <= {t}"
+    return F.expr(f"{chars} OR (abs(size({a}.z) - size({b}.z)) <= {t} AND {t} > 0 AND {lacks(a, b)} AND {lacks(b, a)})")
 
 
-def _flips(columns: list[str]) -> Column:
-    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in columns[1:]), F.bit_count(F.col(f"x.{columns[0]}").bitwiseXOR(F.col(f"y.{columns[0]}"))))
+def near(a: str, b: str) -> Column:
+    """Whether two lines, structs like those of ``maybe_near``, are within the threshold."""
+    t, tw = "CAST(" + threshold("least(p.n, q.n)") + " AS INT)", "CAST(" + word_threshold("least(size(p.z), size(q.z))") + " AS INT)"
+    # The longer one comes first.
+    pair = lambda x, y, size: f"CASE WHEN {size(x)} >= {size(y)} THEN named_struct('p', {x}, 'q', {y}) ELSE named_struct('p', {y}, 'q', {x}) END"
+    chars = f"transform(array(split(p.line, '')), x -> transform(array(split(q.line, '')), y -> {edit_distance('x', 'y', t)} <= {t})[0])[0]"
+    chars = f"(least(size(p.z), size(q.z)) < {LONG} AND abs(p.n - q.n) <= {t} AND {chars})"
+    by_chars = f"transform(array({pair(a, b, lambda x: x + '.n')}), s -> transform(array(s.p), p -> transform(array(s.q), q -> {chars})[0])[0])[0]"
+    words = f"({tw} > 0 AND abs(size(p.z) - size(q.z)) <= {tw} AND {edit_distance('p.z', 'q.z', tw)} <= {tw})"
+    by_words = f"transform(array({pair(a, b, lambda x: f'size({x}.z)')}), s -> transform(array(s.p), p -> transform(array(s.q), q -> {words})[0])[0])[0]"
+    return F.expr(f"{by_words} OR {by_chars}")
 
 
-def _alike(per_edit: int | None = None) -> Column:
-    """The exact filter of a pair x, y: lengths and parities of bigrams or words."""
-    t = F.expr(threshold("least(x.n, y.n)"))
-    near = (F.abs(F.col("x.n") - F.col("y.n")) <= t) & (_flips(["s0", "s1", "s2", "s3"]) <= 4 * t)
-    if per_edit:
-        t = F.floor(F.least("x.m", "y.m") / per_edit)
-        near = near | ((t > 0) & (F.abs(F.col("x.m") - F.col("y.m")) <= t) & (_flips(["v0", "v1"]) <= 2 * t))
-    return near
+def _spelled(texts: DataFrame) -> DataFrame:
+    return texts.select("h1", F.struct("line", F.length("line").alias("n"), F.split("line", " ").alias("z")).alias("s"))
 
 
-def line_links(docs: DataFrame, per_edit: int | None = None, every: bool = False) -> DataFrame:
-    """The verified links (a, b) between different lines of ``docs`` (text), as their 64-bit hashes, that join all classes.
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines are within the threshold."""
+    side = lambda k: _spelled(texts).select(F.col("h1").alias(k), F.col("s").alias(f"s{k}"))
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.filter(maybe_near("sa", "sb")).filter(near("sa", "sb")).select("a", "b")
 
-    Lines of a class need not all be linked to each other, but no class is cut.  With ``every`` all
-    links there are are returned, in a time that grows with the square of a group of near lines.  A hash stands for a line with an error of about 2 ** -64 for each pair of
-    lines.
+
+def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h1, line) of ``lines`` (line) whose hash is in ``ids`` (h1).
+
+    A bitmap of bounded size tells which lines needn't be shuffled; it saves time only.
     """
-    spark = docs.sparkSession
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line")).filter(F.length("line") >= MIN_CHARS)
-    distinct = lines.groupBy("line").agg(F.lit(1).alias("one"))
-    keys = F.concat(bucket_keys(), F.coalesce(word_keys(per_edit), F.array())) if per_edit else bucket_keys()
-    keyed = distinct.select(F.xxhash64("line").alias("h1"), F.explode(keys).alias("k")).filter("k IS NOT NULL").select("h1", "k.key", "k.own")
-    met = Window.partitionBy("key")
-    keyed = keyed.withColumn("centre", F.min("h1").over(met)).withColumn("last", F.max("h1").over(met)).withColumn("any", F.max("own").over(met))
-    members = materialize(keyed.filter("centre <> last AND any").select("key", "h1", "own", "centre"))
-    # Which lines met another, as a bitmap of bounded size: the others needn't be shuffled to find their texts.
-    ids = members.select("h1").distinct()
+    spark = lines.sparkSession
     bits = 1 << 15
     wanted = min(MAX_BITS, 32 * max(1, ids.count()))
     while bits < wanted:
@@ -169,68 +168,81 @@ def line_links(docs: DataFrame, per_edit: int | None = None, every: bool = False
     spot = lines.select("line", F.xxhash64("line").alias("h1")).withColumn("x", slot + 1).withColumn("part", F.expr("bitmap_bucket_number(x)")).withColumn("bit", F.expr("bitmap_bit_position(x)"))
     bit_set = "shiftright(CAST(conv(hex(substring(bitmap, CAST(bit div 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(bit % 8 AS INT)) & 1"
     spot = spot.join(F.broadcast(table), "part").filter(F.expr(bit_set) == 1)
-    texts = spot.groupBy("h1", "line").agg(F.lit(1).alias("one")).select("h1", "line").join(ids, "h1", "left_semi")
-    texts = materialize(texts)
-    traits = texts.select("h1", F.length("line").alias("n"), F.split("line", "").alias("__chars"), F.split("line", " ").alias("__words")).select("h1", "n", F.size("__words").alias("m"), *bigram_parity(), *word_parity())
-    known = materialize(members.join(traits, "h1"))
-    if every:
-        x, y = known.filter("own").alias("x"), known.alias("y")
-        once = (F.col("x.h1") < F.col("y.h1")) | (~F.col("y.own") & (F.col("x.h1") != F.col("y.h1")))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & once & _alike(per_edit)).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
-        return materialize(_pairs_within(pairs, texts, per_edit))
-    centres = materialize(traits)
-    star = known.filter("h1 <> centre").select("h1", "centre", *traits.columns[1:]).distinct()
-    x, y = star.alias("x"), centres.alias("y")
-    first = x.join(y, F.col("x.centre") == F.col("y.h1")).filter(_alike(per_edit)).select(F.col("x.h1").alias("a"), F.col("x.centre").alias("b")).distinct()
-    links = materialize(_pairs_within(first, texts, per_edit))
-    found = components(links)
-    placed = known.join(found.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    placed = placed.withColumn("least", F.min("component").over(met)).withColumn("most", F.max("component").over(met)).filter("least <> most").drop("least", "most")
-    placed = materialize(placed)
-    x, y = placed.filter("own").alias("x"), placed.alias("y")
-    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") != F.col("x.h1")) & (F.col("x.centre") != F.col("y.h1"))
-    cross = x.join(y, differ & _alike(per_edit)).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
-    return links.unionByName(materialize(_pairs_within(cross, texts, per_edit)))
-
-
-def dedup_lines(docs: DataFrame, per_edit: int | None = None, short: bool = False, every: bool = False) -> DataFrame:
+    return spot.groupBy("h1", "line").agg(F.lit(1).alias("one")).select("h1", "line").join(ids, "h1", "left_semi")
+
+
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets whose lines are not all in one component, with ``component`` and the bucket's largest one, ``main``."""
+    placed = members.join(components(links).withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = counted.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    return materialize(placed.join(main.select("key", "main"), "key"))
+
+
+def line_links(docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different lines of ``docs`` (text), as their 64-bit hashes, that join all classes.
+
+    Lines of a class need not all be linked to each other, but no class is cut.  A hash stands for a line with an error of
+    about 2 ** -64 for each pair of lines.
+    """
+    lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line")).filter(F.length("line") >= MIN_CHARS)
+    keyed = keyed_lines(lines.groupBy("line").agg(F.count("*").alias("copies")))
+    met = Window.partitionBy("key")
+    keyed = keyed.withColumn("centre", F.max(F.struct("copies", "h1")).over(met)["h1"]).withColumn("first", F.min("h1").over(met)).withColumn("last", F.max("h1").over(met)).withColumn("any", F.max("own").over(met))
+    members = materialize(keyed.filter("first <> last AND any").select("key", "h1", "own", "centre"))
+    texts = materialize(_texts_of(lines, members.select("h1").distinct()))
+    links = materialize(_linked(members.filter("h1 <> centre").select(F.col("h1").alias("a"), F.col("centre").alias("b")), texts))
+    placed = _apart(members.select("key", "h1", "own"), links)
+    picks = [F.min(F.struct(F.xxhash64("h1", F.lit(k)), "h1"))["h1"].alias(f"c{k}") for k in range(CENTRES)]
+    centres = placed.filter("component = main").groupBy("key").agg(*picks)
+    centres = centres.select("key", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES))))).alias("b"))
+    links = materialize(links.unionByName(_linked(placed.filter("component <> main").select("key", F.col("h1").alias("a")).join(centres, "key"), texts)))
+    placed = _apart(members.select("key", "h1", "own"), links)
+    spelled = materialize(placed.join(_spelled(texts), "h1"))
+    x, y = spelled.filter("component <> main").alias("x"), spelled.alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.h1") < F.col("y.h1"))
+    met = (F.col("x.key") == F.col("y.key")) & once & (F.col("x.component") != F.col("y.component")) & (F.col("x.own") | F.col("y.own"))
+    cross = x.join(y, met & maybe_near("x.s", "y.s"))
+    cross = cross.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b"))
+    return links.unionByName(_linked(cross, texts))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """What line deduplication drops from every row of ``docs`` (doc_id, text).
 
     Returns doc_id, g1, g2 (hashes of doc_id and text), n_lines (\\n-split lines), n_dropped, dropped
-    (their positions from 0), kept_in (ids of the documents that keep a line of their classes) and n_links (verified
-    links of its lines to different lines: with ``every`` all there are, else as many as join the classes).  Lines of fewer than 20 characters are
-    kept, or, with ``short``, classes of equal ones unless blank.  Of a class the first occurrence in the document of smallest id stays; documents
-    without id come last, and repeated rows are documents of their own, one of which keeps the line.  A null text is one empty
-    line; an empty table gives an empty result.  ``per_edit``: also link lines of so many words or more by words, one edit
-for each so many words of the shorter.
+    (their positions from 0), kept_in (ids of the documents that keep a line of their classes) and shared: (pos, class_id) of
+    every line that has an equal or linked one, by position; class_id is the least 64-bit hash of the class's lines.
+
+    Blank lines are kept.  Lines of fewer than 20 characters are linked to equal ones.  Of a class the first
+    occurrence in the document of smallest id stays; documents without id come last, and repeated rows are
+    documents of their own, one of which keeps the line.  A null text is one empty line; an empty table gives an
+    empty result.  Very long lines are read whole.  Other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    counts = r"l RLIKE '[^\\x20\\x09-\\x0D]'" if short else "false"
-    counts = f"length(l) >= {MIN_CHARS} OR {counts}"
-    hashes = F.expr(f"transform(split(text, '\\n'), l -> CASE WHEN {counts} THEN struct(xxhash64(l) AS h1, xxhash64(1, l) AS h2) END)")
+    hashes = F.expr(r"transform(split(text, '\n'), l -> CASE WHEN l RLIKE '[^\\x20\\x09-\\x0D]' THEN struct(xxhash64(l) AS h1, xxhash64(1, l) AS h2) END)")
     rows = materialize(
         own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("g1"), F.xxhash64(F.lit(1), "doc_id", F.col("text")).alias("g2"), hashes.alias("lines"))
     )
-    links = materialize(line_links(own, per_edit, every))
-    classes = materialize(components(links))
-    degree = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("degree"))
-    of_line = classes.withColumnRenamed("node", "h1").join(degree, "h1", "left")
+    classes = components(line_links(own)).withColumnRenamed("node", "h1")
     spread = rows.select("row", "doc_id", F.posexplode("lines").alias("pos", "l")).filter("l IS NOT NULL").select("row", "doc_id", "pos", "l.h1", "l.h2")
-    spread = spread.join(of_line, "h1", "left").select(
-        "row", "doc_id", "pos", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"), F.coalesce("degree", F.lit(0)).alias("degree")
-    )
+    # Lines without links are told by both hashes.
+    spread = spread.join(classes, "h1", "left").select("row", "doc_id", "pos", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"))
     spread = materialize(spread)
     repeated = spread.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    within = Window.partitionBy("k1", "k2", "doc_id").orderBy("row", "pos")
-    marked = spread.join(repeated, ["k1", "k2"]).withColumn("turn", F.row_number().over(within))
-    gone = marked.filter(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("turn") == 1)))
-    per_row = gone.groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("dropped"), F.array_sort(F.collect_set("first_doc")).alias("kept_in"))
-    linked = spread.filter("degree > 0").groupBy("row").agg(F.sum("degree").alias("n_links"))
-    out = rows.select("row", "doc_id", "g1", "g2", F.size("lines").cast("long").alias("n_lines")).join(per_row, "row", "left").join(linked, "row", "left")
+    marked = materialize(spread.join(repeated, ["k1", "k2"]))
+    stays = marked.filter(F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("k1", "k2").agg(F.min(F.struct("row", "pos")).alias("at"))
+    marked = marked.join(stays.select("at.row", "at.pos", F.lit(True).alias("stays")), ["row", "pos"], "left").withColumn("gone", F.col("stays").isNull())
+    gone = lambda c: F.when(F.col("gone"), F.col(c))
+    per_row = marked.groupBy("row").agg(
+        F.array_sort(F.collect_list(gone("pos"))).alias("dropped"), F.array_sort(F.collect_set(gone("first_doc"))).alias("kept_in"), F.array_sort(F.collect_list(F.struct("pos", F.col("k1").alias("class_id")))).alias("shared")
+    )
+    out = rows.select("row", "doc_id", "g1", "g2", F.size("lines").cast("long").alias("n_lines")).join(per_row, "row", "left")
+    filled = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select(
-        "doc_id", "g1", "g2", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "g1", "g2", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"), filled("kept_in", "array<bigint>"), filled("shared", "array<struct<pos:int,class_id:bigint>>")
     )
 
 

@@ -117,8 +117,8 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.WORDS_PER_EDIT, short=True, every=True)
-    return found.select("doc_id", "n_lines", "n_dropped", "dropped", "kept_in", "n_links")
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", "dropped", "kept_in", "shared")
 
 
 QUERIES = {"op1_bagminhash": op1_bagminhash, "op2_surrogates": op2_surrogates, "op3_decision_list": op3_decision_list, "op4_adaptive_scan": op4_adaptive_scan, "op5_vector_sharding": op5_vector_sharding, "op6_block_mixing": op6_block_mixing, "op7_piece_encoding": op7_piece_encoding, "op8_toxicity": op8_toxicity, "op9_main_text": op9_main_text, "op10_line_edit_join": op10_line_edit_join}
