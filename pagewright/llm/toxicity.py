@@ -3,8 +3,8 @@
 A word enters the network as its own hashed embedding beside the scaled sum of the hashed embeddings of
 its character 3-, 4- and 5-grams.  A text is read in overlapping windows of words; each window is run through a
 gated recurrent network in both directions, attention pools the states, and the score of the text is
-that of its highest window.  Training is by numpy on the driver: a text's label is carried by its
-highest window, out of the four with the highest log odds and two others.
+that of its highest window.  Training is by numpy in one task, whose result is the parameters: a text's
+label is carried by its highest window, out of the four with the highest log odds and two others.
 
 Where scoring is concerned, what a word adds to the gates depends on the word alone, so these
 projections are kept in a bounded table for each worker, and a batch is one gather and a few small
@@ -13,9 +13,6 @@ matrix products for each step of a window.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import re
 import uuid
 import zlib
@@ -27,8 +24,8 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_ROWS, WORD_DIM, GRAM_ROWS, GRAM_DIM = 12, 8192, 8, 16384, 16
-#: Bounds of the labelled sample: documents of each class, and characters of a document that may be in it.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
+#: Bound of the labelled sample: documents of each class.
+TRAIN_DOCS = 1500
 
 #: Longer runs of word characters are cut into pieces of so many, each beginning with the last ones of the piece before, so that no n-gram is lost.
 PIECE, OVERLAP = 40, 4
@@ -214,7 +211,7 @@ def train(texts: list[str], labels: list[int], steps: int = 400, seed: int = 5,
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in find_words(t.lower())], np.int32) for t in texts]
     listed = [" ", *vocab]
-    parts = [word_inputs(listed[lo : lo + 20_000]) for lo in range(0, len(listed), 20_000)]  # in parts, for the driver's memory
+    parts = [word_inputs(listed[lo : lo + 20_000]) for lo in range(0, len(listed), 20_000)]  # in parts, to bound memory
     inputs = tuple(np.concatenate([part[k].astype(np.int32) for part in parts]) for k in range(3))
     del listed, parts
     all_rows, all_grams, all_sizes = inputs
@@ -325,35 +322,37 @@ class Scorer:
         return out.tolist()
 
 
-def release_memory() -> None:
-    """Give freed memory of the driver back to the system, where its C library can."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def held_out_column(doc_id: str = "doc_id"):
     """Whether crc32 of the id as text leaves 2 modulo 4."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, **options) -> dict[str, np.ndarray]:
-    """Learn from a bounded sample: of each class the ``train_docs`` ids first by a hash, less the texts of more than ``train_chars`` characters.
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, **options) -> dict[str, np.ndarray]:
+    """Learn from a bounded sample: of each class the ``train_docs`` ids first by a hash, with their whole texts.
 
-    Rows held out, without label or without id are never in it; a row labelled twice counts with its highest label.
+    Rows held out, without label or without id are never in it; a row labelled twice counts with its highest label,
+    and of rows with one id the text first in order.  One task trains; the driver gets the parameters, of a fixed size.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(~held_out_column()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = [known.filter(F.col("y") == y).orderBy(*order).limit(train_docs) for y in (0, 1)]
-    # The sample has at most 2 * train_docs ids, so it can be broadcast; the texts aren't shuffled.
+    # The sample has at most 2 * train_docs ids, so it can be broadcast; no other text is shuffled.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    short = docs.filter(F.length(text) <= train_chars).select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("h"))
-    rows = short.join(F.broadcast(sample[0].union(sample[1])), "doc_id").orderBy("y", "h", "doc_id", "text").limit(4 * train_docs).collect()
-    texts, labels = [r["text"] for r in rows], [int(r["y"]) for r in rows]
-    del rows
-    params = train(texts, labels, **options)
-    release_memory()
-    return params
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample[0].union(sample[1])), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y"))
+    rows = rows.select("y", F.xxhash64("doc_id").alias("h"), "doc_id", "text").repartition(1).sortWithinPartitions("y", "h", "doc_id")
+
+    def learn(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("y").to_pylist()
+        if texts:
+            for name, value in train(texts, labels, **options).items():
+                yield pa.RecordBatch.from_pydict({"name": [name], "shape": pa.array([list(value.shape)], pa.list_(pa.int32())), "value": [value.astype(np.float32).tobytes()]})
+
+    found = rows.select("y", "text").mapInArrow(learn, "name string, shape array<int>, value binary").collect()
+    return {r["name"]: np.frombuffer(bytes(r["value"]), np.float32).reshape(r["shape"]) for r in found} or train([], [], **options)
 
 
 _scorers: dict[str, Scorer] = {}
@@ -362,14 +361,14 @@ _scorers: dict[str, Scorer] = {}
 def score_documents(docs: DataFrame, params: dict[str, np.ndarray], threshold: float = 0.3) -> DataFrame:
     """Adds held_out, score and predicted to ``docs`` (doc_id, text, ...); columns with these names are replaced.
 
-    Whole texts are scored.  A null text counts as an empty one, which has a score of its own.  Equal texts
-    get equal scores.  There is no shuffle; the parameters (about 1.4 MB, a fixed size) are broadcast.
+    Whole texts are scored, however long.  A null text counts as an empty one, which has a score of its own.  Equal texts
+    get equal scores, repeated rows and ids too.  An empty table gives an empty result.  There is no shuffle; the parameters (about 1.4 MB, a fixed size) are broadcast.
     """
     added = ("held_out", "score", "predicted")
     keep = [c for c in docs.columns if c not in added]
     held, token = docs.sparkSession.sparkContext.broadcast(params), uuid.uuid4().hex
     fields = {c: docs.schema[c].dataType.simpleString() for c in keep}
-    schema = ", ".join(f"`{c}` {t}" for c, t in fields.items()) + ", `__score` double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in fields.items()) + ", score double"
     docs = docs.select(*keep)
 
     def run(batches):
@@ -379,9 +378,9 @@ def score_documents(docs: DataFrame, params: dict[str, np.ndarray], threshold: f
         scorer = _scorers[token]
         for batch in batches:
             scores = scorer.scores(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     scored = docs.mapInArrow(run, schema)
     return scored.select(
-        *(f"`{c}`" for c in keep), held_out_column().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")
+        *(f"`{c}`" for c in keep), held_out_column().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

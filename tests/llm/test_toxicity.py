@@ -82,3 +82,48 @@ def test_long_runs_are_read_to_their_end():
         run = "".join(rng.choice(letters, 2000))
         texts = [run[:at] + "abcde" + run[at:]]
         assert abs(T.Scorer(p).scores(texts)[0] - T.Scorer(q).scores(texts)[0]) > 1e-6, at
+
+
+def plain_score(p, text):
+    """A text's score, one word and one unit at a time."""
+    words = T.find_words((text or "").lower())
+    h = T.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    inputs = []
+    for w in words:
+        rows, grams, sizes = T.word_inputs([w])
+        gram = sum(p["gram"][g].astype(np.float64) for g in grams) / np.sqrt(sizes[0])
+        inputs.append(np.concatenate([p["word"][rows[0]].astype(np.float64), gram]))
+    best = -np.inf
+    for start in T.windows_of(len(words)):
+        window = inputs[start : start + T.WINDOW]
+        score, value = np.zeros(len(window)), np.zeros(len(window))
+        for k in "fb":
+            state = np.zeros(h)
+            for t in range(len(window)) if k == "f" else reversed(range(len(window))):
+                gate, rec = window[t] @ p[f"W{k}"] + p[f"c{k}"], state @ p[f"U{k}"]
+                r, z = sig(gate[:h] + rec[:h]), sig(gate[h : 2 * h] + rec[h : 2 * h])
+                new = np.tanh(gate[2 * h :] + r * rec[2 * h :])
+                state = (1 - z) * new + z * state
+                score[t] += state @ p[f"att{k}"]
+                value[t] += state @ p[f"out{k}"]
+        weight = np.exp(score - score.max()) if len(window) else np.zeros(0)
+        best = max(best, (weight @ value / weight.sum() if len(window) else 0.0) + p["bias"][0])
+    return sig(best)
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(8)
+    p = {k: v * 3 for k, v in T.new_params(4).items()}
+    vocabulary = [f"wörd{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 31, 32, 33, 56, 57, 140)] + [None, "", "\n \t", "x" * 95]
+    rows = T.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p).collect()
+    assert all(abs(r.score - plain_score(p, r.text)) < 1e-4 for r in rows) and len({r.score for r in rows}) > 8
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = [(i, f"clean words here {i}") for i in range(60)] + [(i, f"nasty words here {i}") for i in range(60, 90)] + [(61, "another nasty text")] * 400
+    labels = [(i, int(i >= 60)) for i in range(90)]
+    params = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), train_docs=30, steps=60)
+    a, b = T.Scorer(params).scores(["clean words here", "nasty words here"])
+    assert a < 0.3 < b
