@@ -2,11 +2,13 @@
 
 The words of each source, its documents laid end to end, are cut into blocks of a fixed length.  A
 source's target is its weighted share of the whole, at most ``limit`` times its own size; what is
-cut off is reshared by weight.  A source whose target is T takes its blocks in epochs: all of them
-``T div size`` times, and then the first blocks of a pseudorandom permutation, the last of these in
-part, until the target is reached to the word.  Each of these slots is drawn to one of the output
-shards, all alike, so the counts of a source over the shards are multinomial, given its target.
-Slots are mapped to blocks by the permutation and joined to the blocks by source and index.
+cut off is reshared by weight.  Targets are cut into slots of a block each, the last one in part, and
+all slots are dealt to the output shards by a pseudorandom permutation, so every shard has as many
+slots as any other (the last may have fewer) and its counts of the sources are a multinomial draw without
+replacement: targets are met to the word, whatever the draw.  The draw is made first; then a source's
+slots are numbered shard by shard, by the counts drawn, and mapped to its blocks: in epochs of all
+blocks, each in an order of its own, a pseudorandom permutation of the block numbers.  Slots are
+joined to the blocks by source and index.
 
 All numbers are drawn by integer arithmetic that any SQL engine repeats, so the same table always
 gives the same mix.
@@ -23,23 +25,22 @@ from .common import materialize, n_words, words
 MULTIPLIER, MODULUS = 48271, 2147483647
 
 
-def draw(x: str, seed: int, suffix: str = "L") -> str:
+def draw(x: str, seed: int) -> str:
     """SQL for a pseudorandom integer in [0, MODULUS) from an integer that isn't negative, by three Lehmer steps.
 
-    With an empty ``suffix`` it is DuckDB's SQL, else Spark's.
     """
-    v = f"(({x}) % {MODULUS}{suffix})"
+    v = f"(({x}) % {MODULUS}L)"
     for k in range(3):
-        v = f"((({v} + {(seed + 1) * (k + 1) * 7919}{suffix}) * {MULTIPLIER}{suffix}) % {MODULUS}{suffix})"
+        v = f"((({v} + {(seed + 1) * (k + 1) * 7919}L) * {MULTIPLIER}L) % {MODULUS}L)"
     return v
 
 
-def rounds(x: str, a: str, b: str, key: str, suffix: str = "L", div: str = "div") -> str:
+def rounds(x: str, a: str, b: str, key: str) -> str:
     """SQL for one pass of a two-digit Feistel network over [0, a * b)."""
-    left, right = f"({x} % {a})", f"({x} {div} {a})"
+    left, right = f"({x} % {a})", f"({x} div {a})"
     for k in range(3):
-        left = f"(({left} + {draw(f'{right} + {key}', k, suffix)}) % {a})"
-        right = f"(({right} + {draw(f'{left} + {key}', 10 + k, suffix)}) % {b})"
+        left = f"(({left} + {draw(f'{right} + {key}', k)}) % {a})"
+        right = f"(({right} + {draw(f'{left} + {key}', 10 + k)}) % {b})"
     return f"({left} + {a} * {right})"
 
 
@@ -77,13 +78,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return own.select("source", "source_size", F.when(F.col("at_cap"), F.col("cap").cast("double")).otherwise(first * F.col("weight")).alias("target"), "rank")
 
 
-def plan_blocks(docs: DataFrame, block: int = 1024, cell_rows: int = 50_000, seed: int = 7, n_shards: int = 64) -> tuple[DataFrame, DataFrame]:
+def plan_blocks(docs: DataFrame, block: int = 1024, cell_rows: int = 4096, seed: int = 7, n_shards: int = 64, shard_slots: int = 8192) -> tuple[DataFrame, DataFrame]:
     """The spans of documents in blocks, and the slots that take blocks.
 
     ``docs`` has doc_id, source, size and g1, g2, a hash of the row.  Returns (rows, slots): rows are
     the documents with source_size, target, rank (of the source) and start (words of the source
-    before it); slots are (rank, epoch, slot, block, words, shard), ``words`` being how many of the
-    block's words the slot takes.
+    before it); slots are (rank, epoch, slot, block, words, shard, place), ``words`` being how many of the
+    block's words the slot takes.  There are ``n_shards`` shards, or as many more as hold ``shard_slots`` each.
 
     The words before a document are summed in two steps, over cells of about ``cell_rows`` documents
     of a source and inside a cell, so that no task holds all documents of a source.
@@ -109,12 +110,22 @@ def plan_blocks(docs: DataFrame, block: int = 1024, cell_rows: int = 50_000, see
     src = info.filter(F.col("source_size") > 0).select("rank", "source_size", whole.alias("whole"), F.ceil(size / block).cast("long").alias("blocks"), F.round("target").cast("long").alias("words"))
     src = src.withColumn("epochs", F.floor(F.col("words") / F.col("source_size")).cast("long")).withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
     src = src.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
+    by_rank = Window.orderBy("rank")  # over sources
+    src = src.withColumn("first", F.sum("slots").over(by_rank) - F.col("slots")).withColumn("all", F.sum("slots").over(Window.partitionBy()))
+    src = src.withColumn("shard_size", F.ceil(F.col("all") / F.greatest(F.lit(n_shards), F.ceil(F.col("all") / shard_slots))).cast("long"))
     # Slots are made in runs, so that a source with very many blocks is not unrolled in one row.
     run = 4096
     runs = src.filter(F.col("slots") > 0).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run).cast("long"))))
-    spread = runs.repartition("rank", "run")
+    spread = runs.repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rank", "run")
     slots = spread.withColumn("at", F.explode(F.sequence(F.col("run") * run, F.least(F.col("run") * run + run, F.col("slots")) - 1)))
-    slots = slots.withColumn("epoch", F.floor(F.col("at") / F.col("blocks")).cast("long")).withColumn("slot", F.col("at") - F.col("epoch") * F.col("blocks"))
+    slots = slots.withColumn("dealt", permuted("(first + at)", "all", f"{seed + 1}L"))
+    slots = materialize(slots.withColumn("shard", F.floor(F.col("dealt") / F.col("shard_size")).cast("long")).withColumn("place", F.col("dealt") - F.col("shard") * F.col("shard_size")).drop("run", "at", "dealt", "first", "all", "shard_size"))
+    # The counts drawn for each shard and source, and where the source's slots of the shard begin.
+    counts = slots.groupBy("rank", "shard").agg(F.count("*").alias("drawn"))
+    begins = counts.select("rank", "shard", (F.sum("drawn").over(Window.partitionBy("rank").orderBy("shard")) - F.col("drawn")).alias("begin"))
+    turn = F.row_number().over(Window.partitionBy("rank", "shard").orderBy("place")) - 1
+    slots = slots.join(begins, ["rank", "shard"]).withColumn("number", F.col("begin") + turn)
+    slots = slots.withColumn("epoch", F.floor(F.col("number") / F.col("blocks")).cast("long")).withColumn("slot", F.col("number") - F.col("epoch") * F.col("blocks"))
     # The short block at the end of a source keeps its place; the others are permuted.
     key = f"(rank * 1009L + epoch * 9176L + {seed}L)"
     mapped = F.when(F.col("slot") < F.col("whole"), permuted("slot", "whole", key)).otherwise(F.col("slot"))
@@ -123,20 +134,19 @@ def plan_blocks(docs: DataFrame, block: int = 1024, cell_rows: int = 50_000, see
     slots = materialize(
         slots.withColumn("block", mapped)
         .withColumn("words", F.when(F.col("epoch") < F.col("epochs"), length).otherwise(F.least(length, left)))
-        .withColumn("shard", (F.expr(draw("rank * 1000003L + at", seed + 1)) % n_shards).cast("int"))
-        .select("rank", "epoch", "slot", "block", "words", "shard")
+        .select("rank", "epoch", "slot", "block", "words", "shard", "place")
     )
     return materialize(rows), slots
 
 
 def taken_words(docs: DataFrame, block: int = 1024, **options) -> DataFrame:
-    """doc_id, source, g1, g2, size, source_size, target, taken and spans for every row of ``docs`` (doc_id, source, text).
+    """doc_id, source, g1, g2, size, source_size, target, taken, shards and spans for every row of ``docs`` (doc_id, source, text).
 
     g1 and g2 are hashes of doc_id, source and text.
 
-    ``spans`` lists what is taken of the document as (epoch, lo, hi): word positions from 0, ``hi``
-    excluded.  A null or blank text has size 0 and gives nothing; a null source is a source of its
-    own, the last; repeated rows are documents of their own.  No word is taken more often than the
+    ``spans`` lists what is taken of the document as (epoch, lo, hi, shard, place): word positions from 0, ``hi``
+    excluded, and where the slot stands in the mix; ``shards`` are the shards, in order, that get words of it.  A null or blank text has size 0 and gives nothing; a null source is a source of its
+    own, the last; repeated rows are documents of their own, and rows alike in id, size and source may change places.  No word is taken more often than the
     limit of ``source_targets``, so no document gives more than that many times its size.  An empty table gives an
     empty result.
     """
@@ -159,14 +169,15 @@ def taken_words(docs: DataFrame, block: int = 1024, **options) -> DataFrame:
     base = F.col("block") * block - F.col("start")
     per_doc = hits.groupBy("rank", "start").agg(
         F.sum(hi - F.col("lo")).alias("taken"),
-        F.array_sort(F.collect_list(F.struct("epoch", (base + F.col("lo")).alias("lo"), (base + hi).alias("hi")))).alias("spans"),
+        F.array_sort(F.collect_list(F.struct("epoch", (base + F.col("lo")).alias("lo"), (base + hi).alias("hi"), "shard", "place"))).alias("spans"),
+        F.array_sort(F.collect_set("shard")).alias("shards"),
     )
-    empty = F.array().cast("array<struct<epoch:bigint,lo:bigint,hi:bigint>>")
+    empty = F.array().cast("array<struct<epoch:bigint,lo:bigint,hi:bigint,shard:bigint,place:bigint>>")
     key = F.when(F.col("size") > 0, F.col("start")).otherwise(-1)
     return (
         rows.withColumn("key", key)
         .join(per_doc.withColumnRenamed("start", "key"), ["rank", "key"], "left")
-        .select("doc_id", "source", "g1", "g2", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("spans", empty).alias("spans"))
+        .select("doc_id", "source", "g1", "g2", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"), F.coalesce("spans", empty).alias("spans"))
     )
 
 
