@@ -1,11 +1,12 @@
 """Sharding by vector bin packing.
 
-Equal texts form a group that stays on one shard.  Groups are hashed into a bounded number of
-cells; a cell's vector is its bytes, tokens and rows.  The cells (bounded in number, whatever the
-size of the table) are placed on the driver, largest first: each goes to the shard at which the dot
-product of its vector with the shard's residual capacity is highest, every dimension being measured
-in shares of the whole.  A group larger than ``split_share`` of one shard's capacity in any
-dimension cannot be balanced whole, so its rows are dealt over pieces, which are cells of their own.
+Equal texts form a group that stays on one shard.  A group's vector is its bytes, tokens and rows.
+Groups that hold a thousandth or so of the table are packed by name; all smaller ones are hashed into a
+bounded number of cells, which are packed as one group each.  Groups and cells (bounded in number,
+whatever the size of the table) are placed on the driver, largest first: each goes to the shard at
+which the dot product of its vector with the shard's residual capacity is highest, every dimension being measured
+in shares of the whole.  A group that is more than a whole shard in any dimension cannot be kept
+together, so its rows are dealt over pieces, which are placed like groups.
 
 The place of a row in its shard is the offset of its cell plus its rank in the cell; large cells
 are ranked in parts, so that no task holds more than about ``1 / parts`` of the rows.
@@ -13,14 +14,14 @@ are ranked in parts, so that no task holds more than about ``1 / parts`` of the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, n_words
 
-#: No more cells than this are collected to the driver, besides the pieces and parts below.
-CELLS = 8192
-PARTS = 1024
+#: Cells of small groups, the share of the table (one part in so many) above which a group has a name, and parts.
+CELLS, NAMED, PARTS = 8192, 4096, 1024
 
 
 def place(vectors: list[tuple[float, ...]], n_shards: int) -> list[int]:
@@ -30,31 +31,33 @@ def place(vectors: list[tuple[float, ...]], n_shards: int) -> list[int]:
     Where all dot products are negative (the shards are over-full) the same rule takes the least
     full one.  Ties go to the first shard; vectors are taken by size, then position.
     """
-    dims = len(vectors[0]) if vectors else 0
-    totals = [sum(v[d] for v in vectors) or 1 for d in range(dims)]
-    shares = [[v[d] / totals[d] for d in range(dims)] for v in vectors]
-    left = [[1.0 / n_shards] * dims for _ in range(n_shards)]
+    if not vectors:
+        return []
+    shares = np.array(vectors, np.float64)
+    totals = shares.sum(axis=0)
+    shares /= np.where(totals > 0, totals, 1)
+    left = np.full((n_shards, shares.shape[1]), 1.0 / n_shards)
     out = [0] * len(vectors)
-    for i in sorted(range(len(vectors)), key=lambda i: (-max(shares[i], default=0.0), i)):
-        v = shares[i]
-        best = max(range(n_shards), key=lambda s: (sum(a * b for a, b in zip(v, left[s], strict=True)), -s))
-        out[i] = best
-        for d in range(dims):
-            left[best][d] -= v[d]
+    for i in np.argsort(-shares.max(axis=1), kind="stable"):
+        out[i] = best = int((left @ shares[i]).argmax())
+        left[best] -= shares[i]
     return out
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.25, cells: int = CELLS, parts: int = PARTS) -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int = 8, cells: int = CELLS, named: int = NAMED, parts: int = PARTS) -> DataFrame:
     """Place every row of ``docs`` (doc_id, text) on a shard: doc_id, size, text_crc32, tokens, shard, slot, split.
 
-    ``size`` is the text's UTF-8 bytes plus 1, a null text counts as an empty one.  ``slot`` numbers
-    a shard's rows from 0 without gaps.  ``split`` tells rows of a group too large for one shard:
-    one with more than ``split_share`` of a shard's equal share of bytes, tokens or rows.  Repeated
-    rows are separate rows of one group.  An empty table gives an empty result.
+    ``size`` is the text's UTF-8 bytes plus 1, a null text counts as an empty one, and empty and very long texts
+    are groups like others.  ``slot`` numbers a shard's rows from 0 without gaps.  ``split`` tells rows of a
+    group too large for one shard: one with more than a shard's equal share of bytes, tokens or rows.  Repeated
+    rows, and rows with equal or null ids, are separate rows of one group; which of them gets which slot isn't
+    fixed.  Other columns are not read.  An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = materialize(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -64,35 +67,34 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, split_share: float = 0.25,
         )
     )
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    totals = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
-    if not totals[2]:
-        return rows.select("doc_id", "size", "text_crc32", "tokens", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(False).alias("split"))
-    cap = [max(1, t or 0) * split_share / n_shards for t in totals]
-    # At most 3 * n_shards / split_share groups are that large, so this list is bounded.
-    large = groups.filter((F.col("bytes") > cap[0]) | (F.col("tokens") > cap[1]) | (F.col("rows") > cap[2])).select(
-        "g1", "g2", F.ceil(F.greatest(F.col("bytes") / cap[0], F.col("tokens") / cap[1], F.col("rows") / cap[2])).cast("int").alias("pieces")
-    )
-    cell = F.when(F.col("pieces").isNull(), F.pmod(F.col("g1"), F.lit(cells))).otherwise(
-        cells + F.pmod(F.xxhash64("g1", "g2", F.pmod(F.xxhash64("doc_id", "g1"), F.col("pieces") * 4)), F.lit(cells))
-    )
-    placed = rows.join(F.broadcast(large), ["g1", "g2"], "left").withColumn("cell", cell)
+    totals = [max(1, t or 0) for t in rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()]
+    share = F.greatest(*(F.col(c) / t for c, t in zip(("bytes", "tokens", "rows"), totals, strict=True)))
+    # In each dimension fewer than ``named`` groups are that large, so this list is bounded.
+    large = groups.withColumn("share", share).filter(F.col("share") > 1 / named).select("g1", "g2", "share").collect()
+    spec, at = [], cells
+    for r in sorted(large, key=lambda r: (-r["share"], r["g1"], r["g2"])):
+        pieces = int(np.ceil(r["share"] * n_shards * 4)) if r["share"] * n_shards > 1 else 1
+        spec.append((r["g1"], r["g2"], at, pieces))
+        at += pieces
+    names = spark.createDataFrame(spec, "g1 long, g2 long, first long, pieces int")
+    cell = F.coalesce(F.col("first") + F.pmod(F.xxhash64("row"), F.col("pieces")), F.pmod(F.col("g1"), F.lit(cells)))
+    placed = rows.join(F.broadcast(names), ["g1", "g2"], "left").withColumn("cell", cell)
     sums = placed.groupBy("cell").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("cell").collect()
     shard_of = place([(r["bytes"], r["tokens"], r["rows"]) for r in sums], n_shards)
     step = max(1, totals[2] // parts)
-    spec = [(int(r["cell"]), s, -(-r["rows"] // step)) for r, s in zip(sums, shard_of, strict=True)]
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(spec, "cell long, shard int, parts int")
-    placed = placed.join(F.broadcast(plan), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts")))
+    plan = [(int(r["cell"]), s, -(-r["rows"] // step)) for r, s in zip(sums, shard_of, strict=True)]
+    cut = spark.createDataFrame(plan, "cell long, shard int, parts int")
+    placed = placed.join(F.broadcast(cut), "cell").withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")))
     counts = {(r["cell"], r["part"]): r["n"] for r in placed.groupBy("cell", "part").agg(F.count("*").alias("n")).collect()}
     starts, used = [], [0] * n_shards
-    at = {c: s for c, s, _ in spec}
+    shards = {c: s for c, s, _ in plan}
     for (c, p), n in sorted(counts.items()):
-        starts.append((int(c), int(p), used[at[c]]))
-        used[at[c]] += n
+        starts.append((int(c), int(p), used[shards[c]]))
+        used[shards[c]] += n
     offsets = spark.createDataFrame(starts, "cell long, part long, start long")
-    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("row"))
     return (
         placed.withColumn("rank", rank)
         .join(F.broadcast(offsets), ["cell", "part"])
-        .select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), F.col("pieces").isNotNull().alias("split"))
+        .select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), (F.coalesce("pieces", F.lit(1)) > 1).alias("split"))
     )

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import public_tokenizers
 import sentencepiece
@@ -90,19 +91,67 @@ def test_mixing_reaches_its_targets(spark):
     assert mixing.taken_words(docs.limit(0)).count() == 0
 
 
-def test_sharding(spark):
-    rng = random.Random(2)
-    rows = [(i, "t" * rng.randint(0, 300)) for i in range(900)] + [(1000 + i, "hot " * 20) for i in range(500)] + [(7, None), (7, None), (None, "")]
-    out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), cells=512).collect()
-    assert len(out) == len(rows)
-    slots, sizes, where = {}, [0] * 8, {}
-    texts = {i: t for i, t in rows}
+def packed(vectors, n_shards):
+    """Vector bin packing in plain loops."""
+    totals = [sum(v[d] for v in vectors) or 1 for d in range(3)]
+    left = [[1 / n_shards] * 3 for _ in range(n_shards)]
+    out = {}
+    for v, name in sorted(((tuple(x / t for x, t in zip(v, totals)), i) for i, v in enumerate(vectors)), key=lambda p: (-max(p[0]), p[1])):
+        out[name] = max(range(n_shards), key=lambda s: (sum(a * b for a, b in zip(v, left[s])), -s))
+        left[out[name]] = [a - b for a, b in zip(left[out[name]], v)]
+    return [out[i] for i in range(len(vectors))]
+
+
+def held(docs, out, n_shards=8):
+    """Checks what must hold of any sharding; returns the shards of every text and the sizes of shards."""
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in out) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
+    slots, sizes, where = {}, [0] * n_shards, {}
     for r in out:
         slots.setdefault(r.shard, []).append(r.slot)
         sizes[r.shard] += r.size
-        where.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
-        assert r.size == len(texts[r.doc_id] or "") + 1
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 8
-    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot"))
-    assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+        where.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    return where, sizes
+
+
+def test_packing_is_that_of_plain_loops():
+    rng = random.Random(6)
+    for n in (1, 7, 8, 90):
+        vectors = [(rng.randint(1, 500), rng.randint(0, 90), rng.randint(1, 9)) for _ in range(n)]
+        assert sharding.place(vectors, 8) == packed(vectors, 8)
+    assert sharding.place([(1, 0, 1)] * 5, 3) == packed([(1, 0, 1)] * 5, 3)
+
+
+def test_sharding(spark):
+    rng = random.Random(2)
+    docs = [(i, "t" * rng.randint(0, 300)) for i in range(900)] + [(1000 + i, "hot " * 20) for i in range(500)] + [(7, None), (7, None), (None, "")]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, row string")
+    where, sizes = held(docs, sharding.assign_shards(frame).collect())
+    assert max(sizes) < 1.05 * sum(sizes) / 8
+    hot = (zlib.crc32(b"hot " * 20), 81)
+    assert len(where.pop(hot)) > 1 and all(len(s) == 1 for s in where.values())
+    # Without names all but the hot group are dealt by cells.
+    where, sizes = held(docs, sharding.assign_shards(frame, cells=64, named=9).collect())
+    assert max(sizes) < 1.3 * sum(sizes) / 8 and len(where.pop(hot)) > 1 and all(len(s) == 1 for s in where.values())
+    assert sharding.assign_shards(frame.limit(0)).count() == 0
+
+
+def test_groups_by_name_are_packed_as_in_plain_loops(spark):
+    rng = random.Random(9)
+    counts = rng.sample(range(1, 200), 40)  # different sizes, so that the order is one
+    docs = [(i, "same text " + f"{g:03d}" * 9) for i, g in enumerate(g for g, n in enumerate(counts) for _ in range(n))]
+    # The largest has less than a shard's share.
+    assert max(counts) < sum(counts) / 8
+    where, _ = held(docs, sharding.assign_shards(spark.createDataFrame(docs, "doc_id long, text string"), cells=1).collect())
+    got = [where[zlib.crc32(t.encode()), len(t) + 1] for t in (f"same text {f'{g:03d}' * 9}" for g in range(40))]
+    assert got == [{s} for s in packed([(38 * n, 3 * n, n) for n in counts], 8)]
+
+
+def test_a_hot_group_of_one_id_is_split_and_a_fitting_one_is_not(spark):
+    small = [(i, "s" * (i % 200) + str(i)) for i in range(400)]
+    for docs in (small + [(5, "repeated row " * 6)] * 600, small + [(None, "no id " * 9)] * 600):
+        where, sizes = held(docs, sharding.assign_shards(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+        assert max(sizes) < 1.1 * sum(sizes) / 8
+    docs = small + [(1000 + i, "fortycopiesfitashard") for i in range(40)]
+    where, sizes = held(docs, sharding.assign_shards(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert all(len(s) == 1 for s in where.values()) and max(sizes) < 1.05 * sum(sizes) / 8
