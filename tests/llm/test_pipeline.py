@@ -97,7 +97,7 @@ def packed(vectors, n_shards):
     left = [[1 / n_shards] * 3 for _ in range(n_shards)]
     out = {}
     for v, name in sorted(((tuple(x / t for x, t in zip(v, totals)), i) for i, v in enumerate(vectors)), key=lambda p: (-max(p[0]), p[1])):
-        out[name] = max(range(n_shards), key=lambda s: (sum(a * b for a, b in zip(v, left[s])), -s))
+        out[name] = max(range(n_shards), key=lambda s: (sum(a * b * w for a, b, w in zip(v, left[s], sharding.WEIGHTS)), -s))
         left[out[name]] = [a - b for a, b in zip(left[out[name]], v)]
     return [out[i] for i in range(len(vectors))]
 
