@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
 
-#: Rows of the sample on which lists and probes are fitted, the most lists, rows of a chunk and queries of a block.
-SAMPLE, LISTS, CHUNK, BLOCK = 20_000, 1024, 4096, 16_384
-EXACT_ROWS = 4096  # up to so many rows there is one list
+#: Rows of the sample on which lists and probes are fitted (or 20 for each list), the most lists, rows of a chunk and queries of a block.
+#: Lists grow with the root of the rows, up to 67 million rows; beyond that each list grows.
+SAMPLE, LISTS, CHUNK, BLOCK = 20_000, 4096, 4096, 16_384
 COLUMNS = 16  # coordinates in a column block
 SLACK = 1e-9  # of squared distances, for rounding
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -75,9 +75,13 @@ def nearest_lists(x: np.ndarray, centres: np.ndarray, all_lists: bool = False) -
     return np.concatenate(out) if out else np.zeros((0, 1), np.int64)
 
 
+def n_lists(n_rows: int, lists: int = LISTS) -> int:
+    return min(lists, max(1, math.isqrt(n_rows) // 2))
+
+
 def fit_index(sample: np.ndarray, n_rows: int, k: int, recall: float, lists: int = LISTS) -> tuple[np.ndarray, int]:
     """Centres of the lists and the number of lists to probe."""
-    count = int(min(lists, max(1, math.isqrt(n_rows) // 2), max(1, len(sample) // 20))) if n_rows > EXACT_ROWS else 1
+    count = min(n_lists(n_rows, lists), max(1, len(sample) // 20))
     x = unit(sample)
     centres = kmeans(x, count)
     if count == 1:
@@ -151,7 +155,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     Nearness is the cosine in double precision, ties go to the smaller vec_id, and rows with the query's
     own vec_id are no candidates.  Rows with a null id, and vectors null, zero, of another length
     than most, or holding null or non-finite components take no part.  Fewer than k candidates are
-    all returned.  A repeated query row gives its answers once.
+    all returned, none give none.  Query rows with one id are one query, with the vector first in order; rows of
+    ``vectors`` with one id are candidates each for itself, so an id may be found twice.  Other columns are not read;
+    an empty table gives an empty result.
     """
     spark = vectors.sparkSession
 
@@ -166,8 +172,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim, n_rows = sizes
     base = base.filter(F.size("embedding") == dim)
-    asked = proper(queries).filter(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"])
-    rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    asked = proper(queries).filter(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, 20 * n_lists(n_rows))).select("embedding").toArrow()
     centres, probes = fit_index(matrix(rows.column("embedding"), dim), n_rows, k, recall)
     turn = rotation(dim)
     fixed = spark.sparkContext.broadcast((centres, turn))
