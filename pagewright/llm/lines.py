@@ -67,7 +67,7 @@ def _segments(size: str, piece: Callable[[str, str], str], t: int, low: int, hig
             width = f"(({length} + {i}) div {t + 1})"  # later segments are longer by one where the length doesn't divide
             place = " + ".join(f"(({length} + {k}) div {t + 1})" for k in range(i)) or "0"
             for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
-                key = f"named_struct('key', xxhash64({kind}, {length}, {i}, {piece(f'({place} + {move})', width)}), 'own', {'true' if shorter == move == 0 else 'false'})"
+                key = f"named_struct('key', xxhash64({kind}, {length}, {i}, {piece(f'({place} + {move})', width)}), 'own', {'1L' if shorter == move == 0 else '0L'})"
                 cases.append(key if sure else f"CASE WHEN {length} BETWEEN {low} AND {high} THEN {key} END")
     return cases
 
@@ -79,24 +79,29 @@ def _all_segments(size: str, piece: Callable[[str, str], str], classes: list[tup
     return f"CASE {' '.join(branches)} WHEN {size} >= {classes[0][0]} THEN array({', '.join(rest)}) ELSE array() END"
 
 
+def line_hash(line: str = "line") -> Column:
+    """The hash that names a line; its lowest bit is free for a flag."""
+    return F.xxhash64(line).bitwiseAND(F.lit(-2).cast("long"))
+
+
 def keyed_lines(lines: DataFrame) -> DataFrame:
-    """(h1, copies, key, own) for every segment that a line of ``lines`` (line, copies) indexes or probes.
+    """(key, v) for every segment that a line of ``lines`` (line) indexes or probes: v is its hash, plus one for its own segments.
 
-    Pieces are cut from fixed-width codes, four bytes for a character, eight for the hash of a word, so
-    that a cut costs no walk along the line.
+    Pieces are cut from fixed-width codes, four bytes for a character, one for the hash of a word, so
+    that a cut costs no walk along the line.  Codes that agree by chance only make lines meet for nothing.
     """
-    word = "substring(hex(xxhash64(w) | (-9223372036854775807L - 1)), 9, 8)"
-    coded = lines.select("copies", F.xxhash64("line").alias("h1"), F.expr("encode(line, 'UTF-32')").alias("u"), F.split("line", " ").alias("z"))
-    words = F.expr(f"CASE WHEN m >= {WORD_EDITS[0][0]} THEN CAST(array_join(transform(z, w -> {word}), '') AS BINARY) END")
-    coded = coded.withColumn("n", F.expr("length(u) div 4")).withColumn("m", F.size("z")).withColumn("v", words)
+    coded = lines.select(line_hash().alias("h1"), "line", F.split("line", " ").alias("z")).withColumn("m", F.size("z"))
+    chars = F.expr(f"CASE WHEN m < {LONG + 2} THEN encode(line, 'UTF-32') END")
+    words = F.expr(f"CASE WHEN m >= {WORD_EDITS[0][0]} THEN CAST(array_join(transform(z, w -> chr(pmod(hash(w), 95) + 32)), '') AS BINARY) END")
+    coded = coded.select("h1", "m", chars.alias("u"), words.alias("v")).withColumn("n", F.expr("length(u) div 4"))
     cut = lambda column, width: lambda place, size: f"substring({column}, CAST({width} * {place} + 1 AS INT), CAST({width} * {size} AS INT))"
     of_chars = _all_segments("n", cut("u", 4), [(MIN_CHARS, TWO_EDITS - 1, 1), (TWO_EDITS, _ALL, 2)], 0)
     ends = [*(low - 1 for low, _ in WORD_EDITS[1:]), _ALL]
-    of_words = _all_segments("m", cut("v", 8), [(low, high, t) for (low, t), high in zip(WORD_EDITS, ends, strict=True)], 1)
+    of_words = _all_segments("m", cut("v", 1), [(low, high, t) for (low, t), high in zip(WORD_EDITS, ends, strict=True)], 1)
     # A pair of which one line has fewer than LONG words and that is within two characters has at most two words more.
     keys = F.concat(F.expr(f"CASE WHEN m < {LONG + 2} THEN {of_chars} ELSE array() END"), F.expr(of_words))
-    found = coded.select("h1", "copies", F.explode(keys).alias("k")).filter("k IS NOT NULL")
-    return found.select("h1", "copies", "k.key", "k.own")
+    found = coded.select("h1", F.explode(keys).alias("k")).filter("k IS NOT NULL")
+    return found.select("k.key", F.col("h1").bitwiseOR(F.col("k.own")).alias("v"))
 
 
 def edit_distance(a: str, b: str, t: str) -> str:
@@ -153,7 +158,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(h1, line) of ``lines`` (line) whose hash is in ``ids`` (h1).
+    """(h1, line, copies) of ``lines`` (line) whose hash is in ``ids`` (h1).
 
     A bitmap of bounded size tells which lines needn't be shuffled; it saves time only.
     """
@@ -162,13 +167,13 @@ def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = min(MAX_BITS, 32 * max(1, ids.count()))
     while bits < wanted:
         bits *= 2
-    slot = F.pmod(F.col("h1"), F.lit(bits).cast("long"))
+    slot = F.pmod(F.shiftright("h1", 1), F.lit(bits).cast("long"))
     table = ids.select((slot + 1).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bitmap"))
     table = spark.createDataFrame(table.collect(), table.schema)
-    spot = lines.select("line", F.xxhash64("line").alias("h1")).withColumn("x", slot + 1).withColumn("part", F.expr("bitmap_bucket_number(x)")).withColumn("bit", F.expr("bitmap_bit_position(x)"))
+    spot = lines.select("line", line_hash().alias("h1")).withColumn("x", slot + 1).withColumn("part", F.expr("bitmap_bucket_number(x)")).withColumn("bit", F.expr("bitmap_bit_position(x)"))
     bit_set = "shiftright(CAST(conv(hex(substring(bitmap, CAST(bit div 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(bit % 8 AS INT)) & 1"
     spot = spot.join(F.broadcast(table), "part").filter(F.expr(bit_set) == 1)
-    return spot.groupBy("h1", "line").agg(F.lit(1).alias("one")).select("h1", "line").join(ids, "h1", "left_semi")
+    return spot.groupBy("h1", "line").agg(F.count("*").alias("copies")).join(ids, "h1", "left_semi")
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -180,24 +185,26 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between different lines of ``docs`` (text), as their 64-bit hashes, that join all classes.
+    """Verified links (a, b) between different lines of ``docs`` (text), as their hashes, that join all classes.
 
     Lines of a class need not all be linked to each other, but no class is cut.  A hash stands for a line with an error of
-    about 2 ** -64 for each pair of lines.
+    about 2 ** -63 for each pair of lines.
     """
     lines = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line")).filter(F.length("line") >= MIN_CHARS)
-    keyed = keyed_lines(lines.groupBy("line").agg(F.count("*").alias("copies")))
+    keyed = keyed_lines(lines.groupBy("line").agg(F.lit(1).alias("one")))
     met = Window.partitionBy("key")
-    keyed = keyed.withColumn("centre", F.max(F.struct("copies", "h1")).over(met)["h1"]).withColumn("first", F.min("h1").over(met)).withColumn("last", F.max("h1").over(met)).withColumn("any", F.max("own").over(met))
-    members = materialize(keyed.filter("first <> last AND any").select("key", "h1", "own", "centre"))
+    keyed = keyed.withColumn("first", F.min("v").over(met)).withColumn("last", F.max("v").over(met)).withColumn("all", F.bit_or("v").over(met))
+    # Two lines at least, and an own segment.
+    members = materialize(keyed.filter("shiftright(first, 1) <> shiftright(last, 1) AND (all & 1) = 1").select("key", F.expr("v & -2L").alias("h1"), F.expr("(v & 1) = 1").alias("own")))
     texts = materialize(_texts_of(lines, members.select("h1").distinct()))
-    links = materialize(_linked(members.filter("h1 <> centre").select(F.col("h1").alias("a"), F.col("centre").alias("b")), texts))
-    placed = _apart(members.select("key", "h1", "own"), links)
+    ranked = members.join(texts.select("h1", "copies"), "h1").groupBy("key").agg(F.max(F.struct("copies", "h1"))["h1"].alias("b"))
+    links = materialize(_linked(members.select("key", F.col("h1").alias("a")).join(ranked, "key").filter("a <> b"), texts))
+    placed = _apart(members, links)
     picks = [F.min(F.struct(F.xxhash64("h1", F.lit(k)), "h1"))["h1"].alias(f"c{k}") for k in range(CENTRES)]
     centres = placed.filter("component = main").groupBy("key").agg(*picks)
     centres = centres.select("key", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES))))).alias("b"))
     links = materialize(links.unionByName(_linked(placed.filter("component <> main").select("key", F.col("h1").alias("a")).join(centres, "key"), texts)))
-    placed = _apart(members.select("key", "h1", "own"), links)
+    placed = _apart(members, links)
     spelled = materialize(placed.join(_spelled(texts), "h1"))
     x, y = spelled.filter("component <> main").alias("x"), spelled.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.h1") < F.col("y.h1"))
@@ -212,7 +219,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, g1, g2 (hashes of doc_id and text), n_lines (\\n-split lines), n_dropped, dropped
     (their positions from 0), kept_in (ids of the documents that keep a line of their classes) and shared: (pos, class_id) of
-    every line that has an equal or linked one, by position; class_id is the least 64-bit hash of the class's lines.
+    every line that has an equal or linked one, by position; class_id is the least hash of the class's lines.
 
     Blank lines are kept.  Lines of fewer than 20 characters are linked to equal ones.  Of a class the first
     occurrence in the document of smallest id stays; documents without id come last, and repeated rows are
@@ -221,7 +228,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    hashes = F.expr(r"transform(split(text, '\n'), l -> CASE WHEN l RLIKE '[^\\x20\\x09-\\x0D]' THEN struct(xxhash64(l) AS h1, xxhash64(1, l) AS h2) END)")
+    hashes = F.expr(r"transform(split(text, '\n'), l -> CASE WHEN l RLIKE '[^\\x20\\x09-\\x0D]' THEN struct(xxhash64(l) & -2L AS h1, xxhash64(1, l) AS h2) END)")
     rows = materialize(
         own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("g1"), F.xxhash64(F.lit(1), "doc_id", F.col("text")).alias("g2"), hashes.alias("lines"))
     )
