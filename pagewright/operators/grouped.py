@@ -19,69 +19,93 @@ GAP, MAX_PAIR_COST, FULL_CELLS, BAND = 0.52, 0.62, 250_000, 64
 
 
 def increasing_subset(candidates: list[tuple[int, int, float]]) -> list[int]:
-    """The positions of a heaviest subset of (source, target, weight), sorted by source, in which targets increase strictly."""
-    best, back = [], []
-    for i, (s, t, w) in enumerate(candidates):
-        top, at = 0.0, -1
-        for j in range(i):
-            if candidates[j][0] < s and candidates[j][1] < t and best[j] > top:
-                top, at = best[j], j
-        best.append(top + w)
-        back.append(at)
+    """The positions, in candidates sorted by source, of a largest subset of (source, target, weight) whose targets increase strictly.
+
+    Of the largest ones the heaviest; of equals the one found first.  Targets are compared by a tree of
+    best (size, weight) for lower ones, so the work grows as n log n.
+    """
+    places = {t: k + 1 for k, t in enumerate(sorted({c[1] for c in candidates}))}
+    tree: list[tuple[int, float, int, int]] = [(0, 0.0, 0, -1)] * (len(places) + 1)  # size, weight, minus position, position
+    best: list[tuple[int, float]] = []
+    back: list[int] = []
+    for i, (_, target, weight) in enumerate(candidates):
+        at = places[target] - 1
+        top = tree[0]
+        while at:
+            top = max(top, tree[at])
+            at &= at - 1
+        best.append((top[0] + 1, top[1] + weight))
+        back.append(top[3])
+        at = places[target]
+        while at < len(tree):
+            tree[at] = max(tree[at], (*best[i], -i, i))
+            at += at & -at
     if not best:
         return []
-    i, out = int(np.argmax(best)), []
+    i, out = max(range(len(best)), key=lambda k: (best[k], -k)), []
     while i >= 0:
         out.append(i)
         i = back[i]
     return out[::-1]
 
 
-def align(cost: np.ndarray, gap: float = GAP, band: int | None = None) -> list[tuple[int, int]] | None:
-    """The cheapest order-preserving pairing of rows and columns; what is left out costs ``gap``.
+def align(n: int, m: int, cost: Callable[[np.ndarray, np.ndarray], np.ndarray], gap: float = GAP, band: int | None = None) -> list[tuple[int, int]] | None:
+    """The cheapest order-preserving pairing of n rows and m columns; what is left out costs ``gap``.
 
-    With a band only cells near the diagonal are used; None if the path comes within two cells of its edge.
-    Ties prefer, in order, a pair, an omitted row, an omitted column; with a band an omitted row, an omitted column, a pair.
+    ``cost`` gives the costs of pairs of row and column numbers.  The table is filled by diagonals, of which the last two are
+    kept; moves take a byte for each cell.  With a band only cells near the diagonal are used; None if
+    the path comes within two cells of its edge.  Ties prefer, in order, a pair, an omitted row, an
+    omitted column; with a band an omitted row, an omitted column, a pair.
     """
-    n, m = cost.shape
-    total = np.full((n + 1, m + 1), np.inf)
-    move = np.zeros((n + 1, m + 1), np.int8)
-    total[0, 0] = 0
     width = None if band is None else max(8, band, abs(n - m) + 8)
-    for i in range(n + 1):
-        centre = i * m / max(n, 1)
-        lo, hi = (0, m) if width is None else (max(0, int(centre - width)), min(m, int(centre + width)))
-        for j in range(lo, hi + 1):
-            if i == j == 0:
-                continue
-            pair = (total[i - 1, j - 1] + cost[i - 1, j - 1], 0) if i and j else (np.inf, 0)
-            row = (total[i - 1, j] + gap, 1) if i else (np.inf, 1)
-            column = (total[i, j - 1] + gap, 2) if j else (np.inf, 2)
-            total[i, j], move[i, j] = min((pair, row, column) if width is None else (row, column, pair), key=lambda x: x[0])
-    if not np.isfinite(total[n, m]):
+    rows = np.arange(n + 1)
+    centre = rows * m / max(n, 1)
+    low = np.zeros(n + 1, np.int64) if width is None else np.maximum(0, (centre - width).astype(np.int64))
+    high = np.full(n + 1, m, np.int64) if width is None else np.minimum(m, (centre + width).astype(np.int64))
+    move = np.full((n + 1, int((high - low).max()) + 1), 3, np.int8)
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # by row: two diagonals ago, and the last one
+    last[0] = 0.0
+    order = (0, 1, 2) if width is None else (1, 2, 0)
+    for d in range(1, n + m + 1):
+        i = rows[max(0, d - m) : min(n, d) + 1]
+        i = i[(low[i] <= d - i) & (d - i <= high[i])]
+        j = d - i
+        options = np.full((3, len(i)), np.inf)
+        both = (i > 0) & (j > 0)
+        options[0, both] = before[i[both] - 1] + cost(i[both] - 1, j[both] - 1)
+        options[1, i > 0] = last[i[i > 0] - 1] + gap
+        options[2, j > 0] = last[i[j > 0]] + gap
+        options = options[list(order)]
+        pick = options.argmin(axis=0)
+        now = np.full(n + 1, np.inf)
+        now[i] = options[pick, np.arange(len(i))]
+        move[i, j - low[i]] = np.array(order, np.int8)[pick]
+        before, last = last, now
+    if not np.isfinite(last[n]):
         return None
     i, j, out = n, m, []
     while i or j:
         if width is not None and i and j and abs(j - i * m / max(n, 1)) >= width - 2:
             return None
-        if move[i, j] == 0:
+        step = move[i, j - low[i]]
+        if step == 0:
             out.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-        elif move[i, j] == 1:
+        elif step == 1:
             i -= 1
         else:
             j -= 1
     return out[::-1]
 
 
-def aligned(cost: np.ndarray) -> list[tuple[int, int]]:
+def aligned(n: int, m: int, cost: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """``align`` in full, or banded for large tables (in full again where the band is too narrow)."""
-    if not cost.size:
+    if not n or not m:
         return []
-    if cost.size <= FULL_CELLS:
-        return align(cost)
-    banded = align(cost, band=BAND)
-    return align(cost) if banded is None else banded
+    if n * m <= FULL_CELLS:
+        return align(n, m, cost)
+    banded = align(n, m, cost, band=BAND)
+    return align(n, m, cost) if banded is None else banded
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -175,16 +199,21 @@ def per_group(df: DataFrame, key: str, fn: Callable[[dict[str, np.ndarray]], lis
             rows = [row for lo, hi in zip(cuts, cuts[1:]) for row in fn({c: v[lo:hi] for c, v in columns.items()})]
             return pd.DataFrame(rows, columns=names).convert_dtypes()
 
-        held = None
+        held: list[pd.DataFrame] = []  # pieces of the last group so far
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if len(pdf):
-                first = int(np.searchsorted(pdf[key].to_numpy(), pdf[key].iloc[-1]))
-                held = pdf.iloc[first:]
-                if first:
-                    yield groups(pdf.iloc[:first])
-        if held is not None and len(held):
-            yield groups(held)
+            if not len(pdf):
+                continue
+            keys = pdf[key].to_numpy()
+            if held and keys[0] != held[0][key].iloc[0]:
+                yield groups(pd.concat(held, ignore_index=True))
+                held = []
+            first = int(np.searchsorted(keys, keys[-1]))
+            if first:
+                yield groups(pd.concat([*held, pdf.iloc[:first]], ignore_index=True))
+                held = []
+            held.append(pdf.iloc[first:])
+        if held:
+            yield groups(pd.concat(held, ignore_index=True))
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
@@ -203,24 +232,46 @@ def _side(group: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
     return {c: v[own] for c, v in group.items()}
 
 
-def match_units(costs: DataFrame, max_cost: float = 0.74) -> DataFrame:
-    """costs (page, source, target, cost) to the optimal assignment of each page, with its margin and confidence."""
+def matched(cost: np.ndarray, overlap: np.ndarray, max_cost: float = 0.74, review: float = 0.60, split: float = 0.58, merge: float = 0.60) -> list[tuple[int, int, float, float, str]]:
+    """(row, column, cost, confidence, relation) of one page: the assignment, then splits and merges in the order of the rows."""
+    rows, used_columns, assigned = [], set(), set()
+    for r, c in assign(cost):
+        if cost[r, c] <= max_cost:
+            two = np.sort(cost[r])[:2]
+            margin = float(two[1] - two[0]) if len(two) > 1 else 1.0
+            confidence = min(1.0, max(0.0, 1 - cost[r, c] / max_cost)) * min(1.0, max(0.45, 0.45 + margin / 0.22))
+            rows.append((r, c, float(cost[r, c]), confidence, "one_to_one"))
+            assigned.add(r)
+            used_columns.add(c)
+    for r in range(len(cost)):
+        if r in assigned:
+            for c in range(cost.shape[1]):
+                if c not in used_columns and overlap[r, c] >= split:
+                    rows.append((r, c, float(1 - overlap[r, c]), min(0.55, float(overlap[r, c]) * 0.65), "one_to_many"))
+                    used_columns.add(c)
+        else:
+            c = int(cost[r].argmin())
+            if c in used_columns and cost[r, c] <= min(max_cost, merge):
+                rows.append((r, c, float(cost[r, c]), 0.48, "many_to_one"))
+    return rows
+
+
+def match_units(costs: DataFrame, max_cost: float = 0.74, review: float = 0.60) -> DataFrame:
+    """costs (page, source, target, cost, overlap) of all pairs to the matches of each page: cost, confidence, relation, ambiguous.
+
+    The order of a side is that of its ids.  A source is ambiguous if a match of it is split, merged or less sure than ``review``.
+    """
 
     def page(g: dict[str, np.ndarray]) -> list[tuple]:
         sources, i = np.unique(g["source"], return_inverse=True)
         targets, j = np.unique(g["target"], return_inverse=True)
-        cost = np.full((len(sources), len(targets)), 1e6)
-        np.minimum.at(cost, (i, j), g["cost"])
-        rows = []
-        for r, c in assign(cost):
-            if cost[r, c] <= max_cost:
-                two = np.sort(cost[r])[:2]
-                margin = float(two[1] - two[0]) if len(two) > 1 else 1.0
-                confidence = min(1.0, max(0.0, 1 - cost[r, c] / max_cost)) * min(1.0, max(0.45, 0.45 + margin / 0.22))
-                rows.append((int(g["page"][0]), int(sources[r]), int(targets[c]), float(cost[r, c]), margin, confidence))
-        return rows
+        cost, overlap = np.full((len(sources), len(targets)), 1e6), np.zeros((len(sources), len(targets)))
+        cost[i, j], overlap[i, j] = g["cost"], g["overlap"]
+        rows = matched(cost, overlap, max_cost, review)
+        doubtful = {r for r, _, _, confidence, relation in rows if relation != "one_to_one" or confidence < review}
+        return [(int(g["page"][0]), int(sources[r]), int(targets[c]), x, confidence, relation, r in doubtful) for r, c, x, confidence, relation in rows]
 
-    return per_group(costs.select("page", "source", "target", "cost"), "page", page, "page long, source long, target long, cost double, margin double, confidence double")
+    return per_group(costs.select("page", "source", "target", "cost", "overlap"), "page", page, "page long, source long, target long, cost double, confidence double, relation string, ambiguous boolean")
 
 
 def align_pages(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -230,10 +281,11 @@ def align_pages(source: DataFrame, target: DataFrame) -> DataFrame:
         a, b = _side(g, 0), _side(g, 1)
         x, y = a["value"].astype(float), b["value"].astype(float)
         place = lambda n: np.arange(n) / max(1, n - 1)
-        cost = 0.84 * np.minimum(1, np.abs(x[:, None] - y[None, :])) + 0.16 * np.abs(place(len(x))[:, None] - place(len(y))[None, :])
-        pairs = [(i, j) for i, j in aligned(cost) if cost[i, j] <= MAX_PAIR_COST] if len(x) and len(y) else []
+        p, q = place(len(x)), place(len(y))
+        cost = lambda i, j: 0.84 * np.minimum(1, np.abs(x[i] - y[j])) + 0.16 * np.abs(p[i] - q[j])
+        pairs = [(i, j) for i, j in aligned(len(x), len(y), cost) if cost(i, j) <= MAX_PAIR_COST]
         name = int(g["book"][0])
-        rows = [(name, int(a["page"][i]), int(b["page"][j]), float(cost[i, j]), float(np.clip(1 - cost[i, j] / MAX_PAIR_COST, 0, 1))) for i, j in pairs]
+        rows = [(name, int(a["page"][i]), int(b["page"][j]), float(cost(i, j)), float(np.clip(1 - cost(i, j) / MAX_PAIR_COST, 0, 1))) for i, j in pairs]
         rows += [(name, int(a["page"][i]), None, None, None) for i in sorted(set(range(len(x))) - {i for i, _ in pairs})]
         return rows + [(name, None, int(b["page"][j]), None, None) for j in sorted(set(range(len(y))) - {j for _, j in pairs})]
 
@@ -284,7 +336,7 @@ def split_compounds(regions: DataFrame) -> DataFrame:
 
 
 def monotone_anchors(pairs: DataFrame) -> DataFrame:
-    """The anchors (book, source, target, how) that can stand together: exact names weigh 3, numbers 1."""
+    """The anchors (book, source, target, how) that can stand together: as many as possible, then exact names (3) before numbers (1)."""
 
     def book(g: dict[str, np.ndarray]) -> list[tuple]:
         keep = increasing_subset([(s, t, 3.0 if h == "exact" else 1.0) for s, t, h in zip(g["source"], g["target"], g["how"], strict=True)])

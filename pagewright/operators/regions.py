@@ -48,35 +48,13 @@ SELECT page, source, target, cost, place FROM (
   SELECT page, source, target, cost, row_number() OVER (PARTITION BY page, source ORDER BY cost, target) AS place FROM {costs}
 ) r WHERE place <= 3""")
 
-#: Mutual best candidates within the cost limit: the part of the assignment that needs no optimiser.
+#: Targets given to the cheapest of the sources they are the best candidate of: what needs no optimiser.
 MUTUAL = Relation(f"""
-SELECT page, source, target, cost, confidence, CASE WHEN confidence < {REVIEW_CONFIDENCE} THEN 'review' ELSE 'one_to_one' END AS relation
+SELECT page, source, target, cost, confidence
 FROM (
   SELECT b.page, b.source, b.target, b.cost, b.confidence, row_number() OVER (PARTITION BY b.page, b.target ORDER BY b.cost, b.source) AS turn FROM {{best}} b WHERE b.cost <= {MAX_COST}
 ) m WHERE turn = 1""")
 
-#: The nine gates of automatic application.
-ACCEPTED = Relation(f"""
-SELECT m.page AS page, m.source AS source, m.target AS target, m.confidence AS confidence
-FROM {{matches}} m JOIN {{pages}} p ON p.page = m.page JOIN {{source}} s ON s.page = m.page AND s.rid = m.source JOIN {{target}} t ON t.page = m.page AND t.rid = m.target
-WHERE p.pair_confidence >= {PAIR_FLOOR} AND p.registration_confidence >= {REGISTRATION_FLOOR} AND m.relation = 'one_to_one' AND m.confidence >= {REVIEW_CONFIDENCE}
-  AND s.confidence >= {TEXT_FLOOR} AND t.confidence >= {TEXT_FLOOR} AND s.kind IN ('speech', 'narration') AND t.kind IN ('speech', 'narration') AND s.text_len > 0""")
-
-#: One source region over a second target, and several sources in one target, beside the matches.
-SPLITS = Relation(f"""
-SELECT c.page AS page, c.source AS source, c.target AS target, 'one_to_many' AS relation, least(0.55, c.overlap * 0.65) AS confidence
-FROM {{costs}} c JOIN {{matches}} m ON m.page = c.page AND m.source = c.source LEFT JOIN {{matches}} u ON u.page = c.page AND u.target = c.target
-WHERE u.target IS NULL AND c.overlap >= {SPLIT_OVERLAP}
-UNION ALL
-SELECT b.page, b.source, b.target, 'many_to_one', 0.48
-FROM {{best}} b JOIN {{matches}} u ON u.page = b.page AND u.target = b.target LEFT JOIN {{matches}} m ON m.page = b.page AND m.source = b.source
-WHERE m.source IS NULL AND b.cost <= {MERGE_COST}""")
-
-UNMATCHED = Relation("""
-SELECT s.page AS page, 'source' AS side, s.rid AS rid FROM {source} s LEFT JOIN {matches} m ON m.page = s.page AND m.source = s.rid WHERE m.source IS NULL
-UNION ALL
-SELECT t.page, 'target', t.rid FROM {target} t LEFT JOIN {matches} m ON m.page = t.page AND m.target = t.rid WHERE m.target IS NULL""")
-
 #: Each block (its centre) to the region that holds it, the first of several; its kind follows where it is unknown.
 ASSIGNED = Relation(f"""
 SELECT page, block, region, CASE WHEN block_kind <> 'unknown' THEN block_kind WHEN region IS NULL THEN 'free_text' ELSE region_kind END AS kind

@@ -30,24 +30,6 @@ SELECT id, label, strategy, semantic_type, action, action = 'PROCESS' AS process
 #: Labels for parts: a fixed one for each type number.
 PART_LABELS = Relation("SELECT p_partkey AS id, lower(trim(CASE p_partkey % 26 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(LABELS)) + " ELSE ' Text ' END)) AS label, CAST(p_size AS DOUBLE) / 50 AS confidence, CASE p_size % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'strict' WHEN 2 THEN 'loose' ELSE 'analysis_only' END AS strategy FROM {part}")
 
-#: The issues of a page: one row for each rule that is met.
-ISSUES = Relation("""
-SELECT page, CAST(NULL AS BIGINT) AS unit, 'page_pair_low_confidence' AS code, 'error' AS severity, pair_confidence AS value, 0.45E0 AS threshold FROM {pages} WHERE pair_confidence < 0.45E0
-UNION ALL SELECT page, NULL, 'registration_low_confidence', 'error', registration_confidence, 0.55E0 FROM {pages} WHERE registration_confidence < 0.55E0
-UNION ALL SELECT page, rid, 'source_ocr_low_confidence', 'error', confidence, 0.66E0 FROM {source} WHERE confidence < 0.66E0
-UNION ALL SELECT page, rid, 'target_detection_low_confidence', 'warning', confidence, 0.66E0 FROM {target} WHERE confidence < 0.66E0
-UNION ALL SELECT m.page, m.source, 'art_text_review', 'warning', NULL, NULL FROM {matches} m JOIN {source} s ON s.page = m.page AND s.rid = m.source JOIN {target} t ON t.page = m.page AND t.rid = m.target
-  WHERE s.kind IN ('sfx', 'free_text') OR t.kind IN ('sfx', 'free_text')
-UNION ALL SELECT page, source, 'match_low_confidence', 'error', confidence, 0.60E0 FROM {matches} WHERE confidence < 0.60E0
-UNION ALL SELECT page, source, 'split_merge_match', 'error', NULL, NULL FROM {splits}
-UNION ALL SELECT page, source, 'source_mapped_multiple_times', 'warning', CAST(count(*) AS DOUBLE), NULL FROM (SELECT page, source, target FROM {matches} UNION ALL SELECT page, source, target FROM {splits}) a GROUP BY page, source HAVING count(*) > 1
-UNION ALL SELECT page, target, 'target_receives_multiple_sources', 'warning', CAST(count(*) AS DOUBLE), NULL FROM (SELECT page, source, target FROM {matches} UNION ALL SELECT page, source, target FROM {splits}) b GROUP BY page, target HAVING count(*) > 1
-UNION ALL SELECT page, rid, 'source_unmatched', 'error', NULL, NULL FROM {unmatched} WHERE side = 'source'
-UNION ALL SELECT page, rid, 'lettering_overflow', 'error', coverage, 0.997E0 FROM {lettering} WHERE success AND coverage < 0.997E0
-UNION ALL SELECT page, rid, 'lettering_failed', 'error', NULL, NULL FROM {lettering} WHERE NOT success
-UNION ALL SELECT page, rid, 'font_too_small', 'warning', CAST(font_size AS DOUBLE), 10.0E0 FROM {lettering} WHERE success AND font_size < 10
-UNION ALL SELECT m.page, m.target, 'lettering_missing', 'error', NULL, NULL FROM {accepted} m LEFT JOIN {lettering} l ON l.page = m.page AND l.rid = m.target WHERE l.rid IS NULL""")
-
 #: Lettering results of the second edition's regions.
 LETTERING = Relation("SELECT page, rid, rid % 11 <> 0 AS success, CASE WHEN rid % 4 = 0 THEN 0.99 ELSE 0.999 END AS coverage, 8 + CAST(text_len AS INT) % 9 AS font_size FROM {target} WHERE rid % 8 <> 7")
 

@@ -77,11 +77,13 @@ SELECT s.page AS page, s.rid AS rid, CASE WHEN (m.source IS NOT NULL OR a.act =
 FROM {source} s LEFT JOIN {matches} m ON m.page = s.page AND m.source = s.rid
 LEFT JOIN (SELECT page, rid, CASE WHEN page % 3 = 0 THEN 'force_match' ELSE 'skip_unit' END AS act, CASE WHEN page % 3 = 0 THEN rid END AS target FROM {source} WHERE rid % 4 = 1 AND page % 2 = 0) a ON a.page = s.page AND a.rid = s.rid""")
 
-#: The match of most confidence for each source region, with its overlap.
+#: The match of most confidence for each source region, with its overlap to three places (one that is split has none).
 REPLACED_REGIONS = Relation("""
-SELECT s.page AS page, s.rid AS source, c.target AS target, c.confidence AS confidence, coalesce(c.confidence >= 0.30, false) AS usable
-FROM {source} s LEFT JOIN (SELECT page, source, target, confidence, row_number() OVER (PARTITION BY page, source ORDER BY confidence DESC, target) AS turn FROM (
-  SELECT page, source, target, confidence FROM {matches} UNION ALL SELECT page, source, target, confidence FROM {splits}) a) c ON c.page = s.page AND c.source = s.rid AND c.turn = 1""")
+SELECT s.page AS page, s.rid AS source, c.target AS target, coalesce(c.relation, 'unmatched') AS relation, coalesce(c.confidence, 0.0) AS confidence, coalesce(c.cost, 1.0) AS cost, coalesce(c.overlap, 0.0) AS overlap, coalesce(c.overlap >= 0.30, false) AS matched
+FROM {source} s LEFT JOIN (
+  SELECT m.page AS page, m.source AS source, m.target AS target, m.relation AS relation, m.confidence AS confidence, m.cost AS cost, CASE WHEN m.relation = 'one_to_many' THEN 0.0 ELSE round(k.overlap, 3) END AS overlap,
+    row_number() OVER (PARTITION BY m.page, m.source ORDER BY m.confidence DESC, m.target) AS turn
+  FROM {matches} m JOIN {costs} k ON k.page = m.page AND k.source = m.source AND k.target = m.target) c ON c.page = s.page AND c.source = s.rid AND c.turn = 1""")
 
 #: Turns of a conversation as blocks of one text unit for each role: texts in order, mean length, first place.
 TEXT_UNITS = Relation("""
@@ -119,11 +121,11 @@ RATIO_MATCHES = Relation("""
 SELECT source, target, cost FROM (SELECT source, target, cost, lead(cost) OVER (PARTITION BY source ORDER BY cost, target) AS second, row_number() OVER (PARTITION BY source ORDER BY cost, target) AS turn FROM {costs}) r
 WHERE turn = 1 AND cost < 0.99 * second""")
 
-#: Pages of two folders joined on keys that are unique on both sides.
+#: Pages of two folders joined on keys that are unique on both sides; no key never joins.
 UNIQUE_KEYS = Relation("""
 SELECT a.page_id AS source, b.page_id AS target, a.key AS key FROM
-  (SELECT page_id, key FROM (SELECT page_id, key, count(*) OVER (PARTITION BY key) AS n FROM {source} WHERE key IS NOT NULL AND key <> '') x WHERE n = 1) a
-  JOIN (SELECT page_id, key FROM (SELECT page_id, key, count(*) OVER (PARTITION BY key) AS n FROM {target} WHERE key IS NOT NULL AND key <> '') y WHERE n = 1) b ON a.key = b.key""")
+  (SELECT min(page_id) AS page_id, key FROM {source} WHERE key IS NOT NULL AND key <> '' GROUP BY key HAVING count(*) = 1) a
+  JOIN (SELECT min(page_id) AS page_id, key FROM {target} WHERE key IS NOT NULL AND key <> '' GROUP BY key HAVING count(*) = 1) b ON a.key = b.key""")
 _PATH = "regexp_replace(regexp_replace(url, '[?#].*', ''), '^https?://', '')"
 PAGE_NUMBERS = Relation(
     "SELECT page_id, url, CASE WHEN d = '' THEN NULL WHEN regexp_replace(d, '^0+', '') = '' THEN '0' ELSE regexp_replace(d, '^0+', '') END AS key FROM (SELECT page_id, url, regexp_extract(" + _PATH + ", '([0-9]+)[^0-9]*$', 1) AS d FROM {pages}) p"
@@ -135,8 +137,9 @@ SELECT source, target, 'exact' AS how FROM {exact}
 UNION ALL
 SELECT n.source, n.target, 'number' FROM {numbers} n LEFT JOIN {exact} e ON e.source = n.source LEFT JOIN {exact} f ON f.target = n.target WHERE e.source IS NULL AND f.target IS NULL""")
 
+#: The place of a page in its folder (the host) by natural order: numbers in names compare as numbers.
 NATURAL_ORDER = Relation("""
-SELECT page_id, row_number() OVER (ORDER BY host, CASE WHEN key IS NULL THEN 1 ELSE 0 END, length(key), key, page_id) - 1 AS place FROM (
+SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN key IS NULL THEN 1 ELSE 0 END, length(key), key, page_id) - 1 AS place FROM (
   SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, key FROM {numbers}) n""")
 
 #: Lines of documents made even: line ends, outer white space and blank lines.

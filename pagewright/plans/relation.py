@@ -8,9 +8,15 @@ dialect differs, ``other`` has the text for it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 
+def nested(sql: str, inputs: dict[str, str]) -> str:
+    return sql.format(**{k: f"({v})" if " " in v.strip() else v for k, v in inputs.items()})
+
+
 class Relation:
     def __init__(self, sql: str, other: str | None = None):
         self.sql, self.other = sql, other or sql
@@ -20,4 +26,19 @@ class Relation:
         return spark.sql(self.sql, **inputs)
 
     def text(self, **inputs: str) -> str:
-        return self.other.format(**{k: f"({v})" if " " in v.strip() else v for k, v in inputs.items()})
+        return nested(self.other, inputs)
+
+
+class Operator:
+    """A function of DataFrames, with the text another engine has for it (none: there is no such text)."""
+
+    def __init__(self, fn: Callable[..., DataFrame], other: str | None = None):
+        self.fn, self.other = fn, other
+
+    def __call__(self, **inputs: DataFrame) -> DataFrame:
+        return self.fn(**inputs)
+
+    def text(self, **inputs: str) -> str:
+        if self.other is None:
+            raise ValueError("no text for another engine")
+        return nested(self.other, inputs)

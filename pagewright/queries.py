@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import text as T
 from .operators import grouped as G
+from .operators import matching as M
 from .operators import regions as R
 from .operators import rules as U
 from .operators import sequences as S
@@ -54,13 +55,13 @@ source, target, pages, trace = Plan(A.SOURCE_REGIONS, lineitem="lineitem"), Plan
 records = Plan(A.RECORDS, regions=source)
 sides = {"source": source, "target": target}
 costs = Plan(R.COSTS, **sides, pages=pages)
-best = Plan(R.BEST, shared=True, costs=costs)
-matches = Plan(R.MUTUAL, shared=True, best=best)
-accepted = Plan(R.ACCEPTED, matches=matches, pages=pages, **sides)
-splits = Plan(R.SPLITS, shared=True, costs=costs, matches=matches, best=best)
-unmatched = Plan(R.UNMATCHED, matches=matches, **sides)
+best = Plan(R.BEST, costs=costs)
+matches = Plan(M.MATCHES, costs=costs)
+sure = Plan(M.ONE_TO_ONE, matches=matches)
 lettering = Plan(U.LETTERING, target=target)
-issues = Plan(U.ISSUES, pages=pages, matches=matches, splits=splits, unmatched=unmatched, lettering=lettering, accepted=accepted, **sides)
+findings = Plan(M.FINDINGS, pages=pages, matches=matches, lettering=lettering, **sides)
+issues = Plan(M.ISSUES, findings=findings)
+accepted = Plan(M.ACCEPTED, findings=findings)
 summary = Plan(U.SUMMARY, issues=issues)
 authority = Plan(R.AUTHORITY, regions=source, items=target)
 triaged = Plan(U.TRIAGED, records=records)
@@ -75,21 +76,18 @@ prints = Plan(S.FINGERPRINTS, documents="documents")
 finished = Plan(S.FINISHED, fingerprints=prints)
 fingerprint_costs = Plan(S.FINGERPRINT_COST, embeddings="embeddings")
 
-MATCH_SUMMARY = Relation("""
-SELECT p.page AS page, p.pair_confidence AS pair_confidence, p.registration_confidence AS registration_confidence, coalesce(a.accepted, 0) AS accepted, coalesce(a.mean_confidence, 0.0) AS mean_confidence,
-  coalesce(s.errors, 0) AS errors, coalesce(s.warnings, 0) AS warnings, coalesce(s.errors, 0) = 0 AS passed
-FROM {pages} p LEFT JOIN (SELECT page, count(*) AS accepted, avg(confidence) AS mean_confidence FROM {accepted} GROUP BY page) a ON a.page = p.page LEFT JOIN {summary} s ON s.page = p.page""")
-
 PLANS: dict[str, Plan] = {
-    "page_region_match_summary": Plan(MATCH_SUMMARY, pages=pages, accepted=accepted, summary=summary),
+    "page_region_match_summary": Plan(M.MATCH_SUMMARY, pages=pages, findings=findings),
     "region_pairs": Plan(R.PAIRS, **sides),
     "region_pair_cost": costs,
     "region_best_candidate_margin": best,
     "region_top3": Plan(R.TOP3, costs=costs),
-    "region_mutual_matches": matches,
+    "region_mutual_matches": Plan(R.MUTUAL, best=best),
+    "unit_matches": matches,
+    "candidate_diagnostics": Plan(M.TOP_CANDIDATES, costs=costs, matches=matches),
     "accepted_matches": accepted,
-    "split_merge_candidates": splits,
-    "unmatched_regions": unmatched,
+    "split_merge_candidates": Plan(M.SPLIT_OR_MERGED, matches=matches),
+    "unmatched_regions": Plan(M.UNMATCHED, matches=matches, **sides),
     "point_in_region_assignment": Plan(R.ASSIGNED, blocks=target, regions=source),
     "region_uncovered": Plan(R.UNCOVERED, source=target, target=source),
     "region_range_query": Plan(R.RANGE_QUERY, regions=source, blocks=target),
@@ -131,8 +129,8 @@ PLANS: dict[str, Plan] = {
     "block_upsert": Plan(S.UPSERTED, trace=trace),
     "cache_pruning": Plan(S.PRUNED, orders="orders"),
     "output_names": Plan(S.OUTPUT_NAMES, orders="orders"),
-    "override_overlay": Plan(S.OVERLAID, source=source, matches=matches),
-    "replaced_regions": Plan(S.REPLACED_REGIONS, source=source, matches=matches, splits=splits),
+    "override_overlay": Plan(S.OVERLAID, source=source, matches=sure),
+    "replaced_regions": Plan(S.REPLACED_REGIONS, source=source, matches=matches, costs=costs),
     "text_units": units,
     "text_unit_ranks": Plan(S.UNIT_RANKS, units=units),
     "stage_fingerprints": prints,
@@ -167,10 +165,6 @@ def page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.align_pages(_ordered_pages(spark, sf_dir, 0), _ordered_pages(spark, sf_dir, 1))
 
 
-def unit_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.match_units(costs.frame(spark, sf_dir))
-
-
 def greedy_region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.greedy_pairs(source.frame(spark, sf_dir), target.frame(spark, sf_dir))
 
@@ -206,7 +200,7 @@ def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGION = source.other()
 QUERIES |= {
     f.__name__: f
-    for f in (page_alignment, unit_assignment, greedy_region_pairs, greedy_suppression, compound_split, monotone_anchors, history_undo_redo, normalised_names, region_polygons)
+    for f in (page_alignment, greedy_region_pairs, greedy_suppression, compound_split, monotone_anchors, history_undo_redo, normalised_names, region_polygons)
 }
 ORACLES["region_polygons"] = f"""
 SELECT page, rid, round((x1 - x0) * (y1 - y0), 6) AS area, round(0.8 * (x0 + x1) / 2 - 0.6 * (y0 + y1) / 2 + 3, 6) AS cx, round(0.6 * (x0 + x1) / 2 + 0.8 * (y0 + y1) / 2 - 2, 6) AS cy FROM ({_REGION}) r"""

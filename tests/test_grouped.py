@@ -35,7 +35,7 @@ def test_alignment_is_cheapest():
     for n, m in [(0, 3), (3, 0), (1, 1), (4, 5), (5, 5), (5, 3)]:
         cost = rng.random((n, m)) * 1.4
         for band in (None, 8):
-            pairs = G.align(cost, band=band)
+            pairs = G.align(n, m, lambda i, j: cost[i, j], band=band)
             if pairs is None:
                 continue
             total = sum(cost[i, j] for i, j in pairs) + (n + m - 2 * len(pairs)) * G.GAP
@@ -45,8 +45,12 @@ def test_alignment_is_cheapest():
 
 def test_small_pieces():
     assert G.increasing_subset([]) == []
-    assert G.increasing_subset([(0, 5, 1.0), (1, 1, 1.0), (2, 2, 1.0), (3, 0, 3.0)]) == [3]
-    assert G.increasing_subset([(0, 0, 1.0), (1, 3, 3.0), (2, 1, 1.0), (3, 2, 1.0)]) == [0, 1]
+    # More anchors come before heavier ones; of as many the heavier, of equals the first.
+    assert G.increasing_subset([(0, 5, 3.0), (1, 1, 1.0), (2, 2, 1.0)]) == [1, 2]
+    assert G.increasing_subset([(0, 5, 1.0), (1, 1, 1.0), (2, 2, 1.0), (3, 0, 3.0)]) == [1, 2]
+    assert G.increasing_subset([(0, 0, 1.0), (1, 3, 3.0), (2, 1, 1.0), (3, 2, 1.0)]) == [0, 2, 3]
+    assert G.increasing_subset([(0, 2, 1.0), (1, 1, 3.0)]) == [1]
+    assert G.increasing_subset([(0, 2, 1.0), (1, 1, 1.0)]) == [0]
     boxes = np.array([[0, 0, 10, 10], [0, 0, 10, 9], [20, 0, 30, 10], [0, 0, 0, 0]], float)
     assert G.greedy_keep(boxes, 0.62, False) == [0, 2, 3]
     points = np.array([[i % 3, i % 2] for i in range(8)] + [[50 + i % 3, 40 + i % 2] for i in range(8)], float)
