@@ -19,8 +19,7 @@ Of every class of linked lines one occurrence stays: the first in the document w
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,30 +52,26 @@ def word_threshold(words: str) -> str:
     return "(CASE " + " ".join(f"WHEN {words} >= {low} THEN {t}" for low, t in reversed(WORD_EDITS)) + " ELSE 0 END)"
 
 
-def _segments(size: str, piece: Callable[[str, str], str], t: int, low: int, high: int, kind: int, sure: bool) -> list[str]:
-    """SQL for (key, own) of every segment that a line of ``size`` indexes or probes for a shorter partner of ``low`` to ``high``.
+def _segments(kind: int, t: int, low: int, high: int) -> str:
+    """SQL for the array of segments that a line indexes or probes for a shorter partner of ``low`` to ``high``, with t edits.
 
-    For a partner of length l, t edits and segment i at p: between the segments before i at most i
+    For a partner of length l and segment i at p: between the segments before i at most i
     edits fall, and after it t - i, so its place x obeys |x - p| <= i and |x - p - (L - l)| <= t - i.
-    ``sure``: all these lengths are within the bounds, else a case outside them is null.
     """
-    cases = []
+    rows = []
     for shorter in range(t + 1):
-        length = f"({size} - {shorter})"
         for i in range(t + 1):
-            width = f"(({length} + {i}) div {t + 1})"  # later segments are longer by one where the length doesn't divide
-            place = " + ".join(f"(({length} + {k}) div {t + 1})" for k in range(i)) or "0"
             for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
-                key = f"named_struct('key', xxhash64({kind}, {length}, {i}, {piece(f'({place} + {move})', width)}), 'own', {'1L' if shorter == move == 0 else '0L'})"
-                cases.append(key if sure else f"CASE WHEN {length} BETWEEN {low} AND {high} THEN {key} END")
-    return cases
+                own = int(shorter == move == 0)
+                rows.append(f"named_struct('kind', {kind}, 'parts', {t + 1}, 'low', {low}, 'high', {high}, 'shorter', {shorter}, 'i', {i}, 'move', {move}, 'own', {own}L)")
+    return f"array({', '.join(rows)})"
 
 
-def _all_segments(size: str, piece: Callable[[str, str], str], classes: list[tuple[int, int, int]], kind: int) -> str:
-    """SQL for the array of the segments for all classes (low, high, edits), the usual lengths first."""
-    branches = [f"WHEN {size} BETWEEN {low + t} AND {high} THEN array({', '.join(_segments(size, piece, t, low, high, kind, True))})" for low, high, t in classes]
-    rest = [c for low, high, t in classes for c in _segments(size, piece, t, low, high, kind, False)]
-    return f"CASE {' '.join(branches)} WHEN {size} >= {classes[0][0]} THEN array({', '.join(rest)}) ELSE array() END"
+def _all_segments(kind: int, size: str, classes: list[tuple[int, int, int]]) -> str:
+    """SQL for the array of the segments for all classes (low, high, edits) that a line of ``size`` may need."""
+    branches = [f"WHEN {size} BETWEEN {low + t} AND {high} THEN {_segments(kind, t, low, high)}" for low, high, t in classes]
+    every = ", ".join(_segments(kind, t, low, high) for low, high, t in classes)
+    return f"(CASE {' '.join(branches)} WHEN {size} >= {classes[0][0]} THEN concat({every}) ELSE array() END)"
 
 
 def line_hash(line: str = "line") -> Column:
@@ -92,16 +87,21 @@ def keyed_lines(lines: DataFrame) -> DataFrame:
     """
     coded = lines.select(line_hash().alias("h1"), "line", F.split("line", " ").alias("z")).withColumn("m", F.size("z"))
     chars = F.expr(f"CASE WHEN m < {LONG + 2} THEN encode(line, 'UTF-32') END")
-    words = F.expr(f"CASE WHEN m >= {WORD_EDITS[0][0]} THEN CAST(array_join(transform(z, w -> chr(pmod(hash(w), 95) + 32)), '') AS BINARY) END")
+    words = F.expr(f"CASE WHEN m >= {WORD_EDITS[0][0]} THEN CAST(array_join(transform(z, w -> chr(hash(w) & 127)), '') AS BINARY) END")
     coded = coded.select("h1", "m", chars.alias("u"), words.alias("v")).withColumn("n", F.expr("length(u) div 4"))
-    cut = lambda column, width: lambda place, size: f"substring({column}, CAST({width} * {place} + 1 AS INT), CAST({width} * {size} AS INT))"
-    of_chars = _all_segments("n", cut("u", 4), [(MIN_CHARS, TWO_EDITS - 1, 1), (TWO_EDITS, _ALL, 2)], 0)
     ends = [*(low - 1 for low, _ in WORD_EDITS[1:]), _ALL]
-    of_words = _all_segments("m", cut("v", 1), [(low, high, t) for (low, t), high in zip(WORD_EDITS, ends, strict=True)], 1)
+    of_chars = _all_segments(0, "n", [(MIN_CHARS, TWO_EDITS - 1, 1), (TWO_EDITS, _ALL, 2)])
+    of_words = _all_segments(1, "m", [(low, high, t) for (low, t), high in zip(WORD_EDITS, ends, strict=True)])
     # A pair of which one line has fewer than LONG words and that is within two characters has at most two words more.
-    keys = F.concat(F.expr(f"CASE WHEN m < {LONG + 2} THEN {of_chars} ELSE array() END"), F.expr(of_words))
-    found = coded.select("h1", F.explode(keys).alias("k")).filter("k IS NOT NULL")
-    return found.select("k.key", F.col("h1").bitwiseOR(F.col("k.own")).alias("v"))
+    listed = F.expr(f"CASE WHEN m < {WORD_EDITS[0][0]} THEN {of_chars} WHEN m >= {LONG + 2} THEN {of_words} ELSE concat({of_chars}, {of_words}) END")
+    # The segments are unrolled first, so that cutting one is a small expression.
+    spread = coded.select("h1", "u", "v", "n", "m", F.explode(listed).alias("s")).withColumn("size", F.expr("CASE WHEN s.kind = 0 THEN n ELSE m END - s.shorter"))
+    spread = spread.filter("size BETWEEN s.low AND s.high")
+    # Later segments are longer by one where the size doesn't divide.
+    place = F.expr("CAST(s.i * (size div s.parts) + greatest(0, s.i - s.parts + size % s.parts) + s.move AS INT)")
+    cut = spread.select("h1", "u", "v", "s", "size", place.alias("place"), F.expr("CAST((size + s.i) div s.parts AS INT)").alias("width"))
+    piece = "CASE WHEN s.kind = 0 THEN substring(u, 4 * place + 1, 4 * width) ELSE substring(v, place + 1, width) END"
+    return cut.select(F.expr(f"xxhash64(s.kind, size, s.i, {piece})").alias("key"), F.col("h1").bitwiseOR(F.col("s.own")).alias("v"))
 
 
 def edit_distance(a: str, b: str, t: str) -> str:
@@ -146,33 +146,39 @@ def near(a: str, b: str) -> Column:
     return F.expr(f"{by_words} OR {by_chars}")
 
 
-def _spelled(texts: DataFrame) -> DataFrame:
-    return texts.select("h1", F.struct("line", F.length("line").alias("n"), F.split("line", " ").alias("z")).alias("s"))
+def _spelled(line: str) -> Column:
+    return F.struct(F.col(line).alias("line"), F.length(line).alias("n"), F.split(line, " ").alias("z"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are within the threshold."""
-    side = lambda k: _spelled(texts).select(F.col("h1").alias(k), F.col("s").alias(f"s{k}"))
+    side = lambda k: texts.select(F.col("h1").alias(k), F.col("line").alias(f"l{k}"))
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", _spelled("la").alias("sa"), _spelled("lb").alias("sb"))
     return both.filter(maybe_near("sa", "sb")).filter(near("sa", "sb")).select("a", "b")
 
 
-def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(h1, line, copies) of ``lines`` (line) whose hash is in ``ids`` (h1).
-
-    A bitmap of bounded size tells which lines needn't be shuffled; it saves time only.
-    """
-    spark = lines.sparkSession
+def _possible(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose h1 may be one of ``ids`` (h1): a bitmap of bounded size tells which aren't; it saves time only."""
+    spark = rows.sparkSession
     bits = 1 << 15
     wanted = min(MAX_BITS, 32 * max(1, ids.count()))
     while bits < wanted:
         bits *= 2
+    # The lowest bit of a hash is none of its own.
     slot = F.pmod(F.shiftright("h1", 1), F.lit(bits).cast("long"))
     table = ids.select((slot + 1).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bitmap"))
-    table = spark.createDataFrame(table.collect(), table.schema)
-    spot = lines.select("line", line_hash().alias("h1")).withColumn("x", slot + 1).withColumn("part", F.expr("bitmap_bucket_number(x)")).withColumn("bit", F.expr("bitmap_bit_position(x)"))
-    bit_set = "shiftright(CAST(conv(hex(substring(bitmap, CAST(bit div 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(bit % 8 AS INT)) & 1"
-    spot = spot.join(F.broadcast(table), "part").filter(F.expr(bit_set) == 1)
+    held = [(r["part"], np.frombuffer(bytes(r["bitmap"]), "<i8").tolist()) for r in table.collect()]
+    table = spark.createDataFrame(held, "__part long, __bits array<long>")
+    names = rows.columns
+    spot = rows.withColumn("__x", slot + 1).withColumn("__part", F.expr("bitmap_bucket_number(__x)")).withColumn("__bit", F.expr("CAST(bitmap_bit_position(__x) AS INT)"))
+    spot = spot.join(F.broadcast(table), "__part").filter("(shiftright(__bits[shiftright(__bit, 6)], __bit & 63) & 1) = 1")
+    return spot.select(*names)
+
+
+def _texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h1, line, copies) of ``lines`` (line) whose hash is in ``ids`` (h1)."""
+    spot = _possible(lines.select("line", line_hash().alias("h1")), ids)
     return spot.groupBy("h1", "line").agg(F.count("*").alias("copies")).join(ids, "h1", "left_semi")
 
 
@@ -196,7 +202,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("first", F.min("v").over(met)).withColumn("last", F.max("v").over(met)).withColumn("all", F.bit_or("v").over(met))
     # Two lines at least, and an own segment.
     members = materialize(keyed.filter("shiftright(first, 1) <> shiftright(last, 1) AND (all & 1) = 1").select("key", F.expr("v & -2L").alias("h1"), F.expr("(v & 1) = 1").alias("own")))
-    texts = materialize(_texts_of(lines, members.select("h1").distinct()))
+    texts = materialize(_texts_of(lines, materialize(members.select("h1").distinct())))
     ranked = members.join(texts.select("h1", "copies"), "h1").groupBy("key").agg(F.max(F.struct("copies", "h1"))["h1"].alias("b"))
     links = materialize(_linked(members.select("key", F.col("h1").alias("a")).join(ranked, "key").filter("a <> b"), texts))
     placed = _apart(members, links)
@@ -205,7 +211,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     centres = centres.select("key", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES))))).alias("b"))
     links = materialize(links.unionByName(_linked(placed.filter("component <> main").select("key", F.col("h1").alias("a")).join(centres, "key"), texts)))
     placed = _apart(members, links)
-    spelled = materialize(placed.join(_spelled(texts), "h1"))
+    spelled = materialize(placed.join(texts.select("h1", "line"), "h1").withColumn("s", _spelled("line")).drop("line"))
     x, y = spelled.filter("component <> main").alias("x"), spelled.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.h1") < F.col("y.h1"))
     met = (F.col("x.key") == F.col("y.key")) & once & (F.col("x.component") != F.col("y.component")) & (F.col("x.own") | F.col("y.own"))
@@ -234,11 +240,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     classes = components(line_links(own)).withColumnRenamed("node", "h1")
     spread = rows.select("row", "doc_id", F.posexplode("lines").alias("pos", "l")).filter("l IS NOT NULL").select("row", "doc_id", "pos", "l.h1", "l.h2")
-    # Lines without links are told by both hashes.
-    spread = spread.join(classes, "h1", "left").select("row", "doc_id", "pos", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"))
-    spread = materialize(spread)
-    repeated = spread.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = materialize(spread.join(repeated, ["k1", "k2"]))
+    # Linked lines are told by one hash, others by both; of the others only those that occur again are shuffled.
+    linked = _possible(spread, classes.select("h1")).join(classes, "h1").select("row", "doc_id", "pos", F.col("component").alias("k1"), F.lit(0).cast("long").alias("k2"))
+    linked = materialize(linked)
+    again = spread.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").drop("n").join(classes, "h1", "left_anti")
+    again = materialize(again)
+    repeated = _possible(spread, again.select("h1")).join(again, ["h1", "h2"])
+    first = linked.groupBy("k1").agg(F.min("doc_id").alias("first_doc"))
+    columns = ["row", "doc_id", "pos", "k1", "k2", "first_doc"]
+    marked = materialize(linked.join(first, "k1").select(columns).unionByName(repeated.withColumnsRenamed({"h1": "k1", "h2": "k2"}).select(columns)))
     stays = marked.filter(F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("k1", "k2").agg(F.min(F.struct("row", "pos")).alias("at"))
     marked = marked.join(stays.select("at.row", "at.pos", F.lit(True).alias("stays")), ["row", "pos"], "left").withColumn("gone", F.col("stays").isNull())
     gone = lambda c: F.when(F.col("gone"), F.col(c))
