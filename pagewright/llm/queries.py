@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # A fresh key, unless the session names one: surrogates of one run can't be told from outside.
+    key = spark.conf.get("spark.pagewright.surrogate.key", None) or secrets.token_hex(32)
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +74,8 @@ def _pass(x: str, key: str) -> str:
 
 OP6_SQL = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY source
 ), r AS (
