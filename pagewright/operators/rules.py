@@ -75,28 +75,7 @@ REGISTRATION_GATE = Relation("""
 SELECT page, CASE WHEN registration_confidence < 0.62 THEN 'registration_confidence' WHEN reprojection_error > 6.0 AND NOT isnan(reprojection_error) THEN 'registration_reprojection_error' WHEN inlier_ratio < 0.30 THEN 'registration_inlier_ratio'
   WHEN spatial_coverage < 0.08 THEN 'registration_spatial_coverage' ELSE 'ok' END AS reason FROM {pages}""")
 
-#: The quality of registration candidates and the best of each page, the first of equals.
-REGISTRATION_RANK = Relation("""
-SELECT page, method, quality FROM (
-  SELECT page, method, quality, row_number() OVER (PARTITION BY page ORDER BY quality DESC, place) AS turn FROM (
-    SELECT page, method, place, 0.50 * inlier_ratio + 0.28 * exp(-error / 5) + 0.22 * least(1.0, spatial_coverage / 0.35) - penalty AS quality FROM (
-      SELECT page, 'similarity' AS method, 0 AS place, inlier_ratio * 0.96 AS inlier_ratio, reprojection_error + 0.4 AS error, spatial_coverage, 0.0 AS penalty FROM {pages}
-      UNION ALL SELECT page, 'affine', 1, inlier_ratio * 0.98, reprojection_error + 0.2, spatial_coverage, 0.01 FROM {pages}
-      UNION ALL SELECT page, 'homography', 2, inlier_ratio, reprojection_error, spatial_coverage, 0.03 FROM {pages}
-    ) c
-  ) q
-) r WHERE turn = 1""")
-
-#: Direct sources of a book's pages: the weighted evidence, reduced where a reason speaks against it.
-EVIDENCE = Relation("""
-SELECT book, page, is_secondary, reasons, safe, CASE WHEN reasons > 0 THEN 0.25 ELSE 1.0 END * (0.24 * pair_confidence + 0.20 * registration_confidence + 0.12 * reprojection + 0.18 * spatial_coverage + 0.10 * boundary + 0.12 * sharpness + 0.04 * (1 - risk)) / 1.0 AS score
-FROM (
-  SELECT book, page, page % 2 = 1 AS is_secondary, inlier_ratio >= 0.25 AS safe, pair_confidence, registration_confidence, spatial_coverage, greatest(0.0, least(1.0, 1 - reprojection_error / 7.0)) AS reprojection, inlier_ratio AS boundary,
-    least(1.0, CAST(page % 200 AS DOUBLE) / 180) AS sharpness, CAST(page % 10 AS DOUBLE) / 10 AS risk,
-    (CASE WHEN pair_confidence < 0.72 THEN 1 ELSE 0 END) + (CASE WHEN registration_confidence < 0.78 THEN 1 ELSE 0 END) + (CASE WHEN reprojection_error > 7.0 THEN 1 ELSE 0 END) + (CASE WHEN inlier_ratio < 0.25 THEN CAST(1 AS BIGINT) ELSE 0 END) AS reasons
-  FROM {pages}
-) e""")
-
+#: The best safe source of a book's pages; of equals the first edition.
 SELECTED_SOURCE = Relation("""
 SELECT book, page, score FROM (SELECT book, page, score, row_number() OVER (PARTITION BY book ORDER BY score DESC, is_secondary, page) AS turn FROM {evidence} WHERE safe AND reasons = 0) r WHERE turn = 1""")
 
@@ -117,25 +96,3 @@ FROM (
     o_custkey % 2 = 0 AS used_direct, o_custkey % 3 = 0 AS used_mask, o_custkey % 5 = 0 AS used_reletter, o_custkey % 7 = 0 AS used_transparent, o_custkey % 11 = 0 AS used_aligned,
     CASE o_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'skipped_mode' WHEN 2 THEN ' NONE ' WHEN 3 THEN 'cache' WHEN 4 THEN 'geometry_only' ELSE 'engine' END AS route FROM {{orders}}
 ) r JOIN {MODES} m ON m.mode = r.mode""")
-
-#: The integrity of a page's files: rules over what is there.
-INTEGRITY = Relation("""
-SELECT page, code FROM (
-  SELECT page, CASE WHEN NOT has_final THEN 'missing_final' END AS code FROM {files}
-  UNION ALL SELECT page, CASE WHEN width <> final_width THEN 'shape_mismatch' END FROM {files}
-  UNION ALL SELECT page, CASE WHEN owner <> mode AND owner <> 'common' THEN 'mode_artifact_leak' END FROM {files}
-  UNION ALL SELECT page, CASE WHEN temp_files > 0 THEN 'orphan_temp_file' END FROM {files}
-  UNION ALL SELECT page, CASE WHEN project_mode <> mode THEN 'project_mode_mismatch' END FROM {files}
-  UNION ALL SELECT page, CASE WHEN NOT has_receipt THEN 'missing_run_receipt' WHEN receipt_schema <> 'v1' THEN 'run_receipt_schema' WHEN receipt_mode <> mode THEN 'run_receipt_mode_mismatch' END FROM {files}
-) c WHERE code IS NOT NULL""")
-FILES = Relation("""
-SELECT o_orderkey AS page, o_orderkey % 17 <> 0 AS has_final, o_custkey % 40 AS width, CASE WHEN o_custkey % 23 = 0 THEN -1 ELSE o_custkey % 40 END AS final_width, CASE o_custkey % 4 WHEN 0 THEN 'common' WHEN 1 THEN 'hybrid' ELSE 'reletter' END AS owner,
-  CASE WHEN o_custkey % 9 = 1 THEN 'hybrid' ELSE 'reletter' END AS mode, o_custkey % 13 AS temp_files, CASE WHEN o_custkey % 10 = 1 THEN 'hybrid' ELSE 'reletter' END AS project_mode,
-  o_orderkey % 19 <> 0 AS has_receipt, CASE WHEN o_orderkey % 7 = 3 THEN 'v0' ELSE 'v1' END AS receipt_schema, CASE WHEN o_orderkey % 6 = 1 THEN 'hybrid' ELSE 'reletter' END AS receipt_mode FROM {orders}""")
-
-#: A page's mark: by its own key, else by the name of its target, else the default.
-MARKS = Relation("""
-SELECT o.o_orderkey AS page, coalesce(a.page_type, b.page_type, 'content') AS page_type, CASE WHEN a.page IS NOT NULL THEN 'key' WHEN b.page IS NOT NULL THEN 'name' ELSE 'default' END AS origin,
-  coalesce(a.page_type, b.page_type, 'content') IN ('content', 'cover') AS processed
-FROM {orders} o LEFT JOIN (SELECT o_orderkey AS page, CASE o_orderkey % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'blank' ELSE 'advert' END AS page_type FROM {orders} WHERE o_orderkey % 10 = 0) a ON a.page = o.o_orderkey
-LEFT JOIN (SELECT DISTINCT o_custkey AS page, 'auto_no_text' AS page_type FROM {orders} WHERE o_custkey % 8 = 0) b ON b.page = o.o_custkey""")

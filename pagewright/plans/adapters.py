@@ -53,3 +53,115 @@ TRACE = Relation("""SELECT event_id, user_id AS run, CAST(ts AS TIMESTAMP) AS ts
 
 #: Every other region, as those already represented.
 HALF = Relation("SELECT * FROM {regions} WHERE rid % 2 = 0")
+
+#: Transfer records with the measures and contracts that their audit reads.
+TRANSFERS = Relation("""
+SELECT page, rid, kind, confidence, x0, y0, x1, y1, rid % 6 <> 0 AS applied, CASE rid % 5 WHEN 0 THEN 'not_checked' WHEN 1 THEN 'checked_ink' WHEN 2 THEN 'disabled' ELSE 'checked' END AS content_check,
+  CAST(text_len AS INT) % 3 <> 0 AS content_complete, CAST(y0 AS INT) % 60 = 0 AS review_required, CAST(x0 AS INT) % 240 = 80 AS candidate,
+  CASE CAST(text_len AS INT) % 7 WHEN 0 THEN 'photo_pair' WHEN 1 THEN 'complex_text' WHEN 2 THEN 'rigid_uniform_container' WHEN 3 THEN 'ocr_guided_components' ELSE 'standard' END AS geometry_mode,
+  CASE WHEN rid % 12 = 0 THEN 'source_text_region_clipped_at_page_edge' WHEN kind = 'sfx' THEN NULL ELSE 'low_score' END AS reason, CASE WHEN rid % 4 = 0 THEN 'source_text_region_clipped_at_page_edge' ELSE '' END AS review_reason,
+  CASE WHEN rid % 3 = 0 THEN 'diff-src-' ELSE 'bubble-' END AS prefix, concat(CASE WHEN rid % 3 = 0 THEN 'diff-src-' ELSE 'bubble-' END, CAST(rid AS STRING)) AS source_id, concat('target-', CAST(rid AS STRING)) AS target_id,
+  CASE CAST(x1 AS INT) % 6 WHEN 0 THEN 'ink-reconstruction' WHEN 1 THEN 'photo-crisp-ink' WHEN 2 THEN 'locked-source-container-patch' WHEN 3 THEN 'complex-text-ink-transfer' ELSE 'pixels' END AS clarity_mode,
+  confidence AS mask_iou, 0.9 + confidence / 10 AS target_coverage, (1 - confidence) / 3 AS spill_ratio, 1 + CAST(CAST(x1 AS INT) % 40 AS DOUBLE) / 10 AS sr_scale, CAST(CAST(y1 AS INT) % 37 AS DOUBLE) AS sharpness,
+  CASE WHEN rid % 9 = 4 THEN 'rigid-container-raster' ELSE 'resample' END AS backend, rid % 2 = 0 AS integrity_contract, CAST(y1 AS INT) % 5 = 0 AS glyph_dense_warp,
+  rid % 4 <> 3 AS has_contract, CAST(x1 AS INT) % 9 <> 0 AS source_on_top, CAST(y1 AS INT) % 8 <> 0 AS border_removed, rid % 2 = 1 AS axis_locked, CASE WHEN CAST(x1 AS INT) % 7 = 0 THEN -0.5 ELSE 0.0 END AS rotation_deg,
+  CAST(x1 AS INT) % 3 - 1 AS shift_dx, CASE WHEN CAST(x1 AS INT) % 3 = 1 THEN CAST(y1 AS INT) % 2 ELSE 0 END AS shift_dy, confidence * 1.4 AS relative_sharpness
+FROM {regions} WHERE page % 11 <> 0 AND rid % 7 <> 5""")
+
+#: Recognised source units: every page but each fourth has them.
+UNITS = Relation("SELECT page, rid, confidence, kind, text_len FROM {regions} WHERE page % 4 <> 1 AND rid % 3 <> 2")
+
+#: Layout items: a label for each kind, and text inside every other bubble.
+ITEMS = Relation("""
+SELECT page, rid, x0, y0, x1, y1, confidence, CASE kind WHEN 'speech' THEN 'bubble' WHEN 'narration' THEN 'text' WHEN 'sfx' THEN 'sfx' ELSE 'panel' END AS label FROM {regions}
+UNION ALL SELECT page, rid + 100, x0 + 3, y0 + 3, x1 - 3, y1 - 3, 0.99 - confidence / 4, 'text' FROM {regions} WHERE kind = 'speech' AND rid % 2 = 0""")
+
+#: The clear mask of a page, and what stays dark in it.
+CLEAR = Relation("SELECT o_orderkey AS page, o_custkey % 5 * 100 AS source_pixels, CAST(o_custkey % 40 AS DOUBLE) / 100 AS clipped_ratio FROM {orders}")
+RESIDUAL = Relation("SELECT page, rid, CAST(CAST(x1 AS INT) % 17 AS DOUBLE) / 100 AS dark_ratio FROM {regions}")
+
+#: Pages as photographed pairs.
+PHOTO_PAGES = Relation("""
+SELECT o_orderkey AS page, CASE WHEN o_orderkey % 3 = 0 THEN 'raw_diff' ELSE 'photo_pair' END AS method, CASE WHEN o_custkey % 2 = 0 THEN 'mask_replace' ELSE 'hybrid' END AS mode, CAST(45 + o_custkey % 56 AS DOUBLE) / 100 AS registration_confidence,
+  o_custkey % 3 * 2 AS source_blocks, o_custkey % 5 AS target_blocks FROM {orders}""")
+
+#: Runs of pages, and the files they left.
+RUNS = Relation("""
+SELECT o_orderkey AS page, CASE o_orderkey % 7 WHEN 0 THEN 'direct_patch' WHEN 1 THEN 'mask_replace' WHEN 2 THEN 'aligned_overlay_reveal' WHEN 3 THEN 'transparent_bubble_reveal' WHEN 4 THEN 'hybrid' WHEN 5 THEN 'reletter' ELSE 'auto' END AS mode,
+  CASE o_custkey % 5 WHEN 0 THEN 'direct_patch' WHEN 1 THEN 'passthrough' WHEN 2 THEN '' WHEN 3 THEN 'direct_reject' ELSE 'mask_replace' END AS strategy, CASE o_orderkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'hybrid' ELSE CASE o_orderkey % 7 WHEN 0 THEN 'direct_patch' WHEN 1 THEN 'mask_replace' WHEN 2 THEN 'aligned_overlay_reveal' WHEN 3 THEN 'transparent_bubble_reveal' WHEN 4 THEN 'hybrid' WHEN 5 THEN 'reletter' ELSE 'auto' END END AS project_mode,
+  CASE o_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'broken' ELSE 'read' END AS receipt, CASE WHEN o_orderkey % 8 = 3 THEN 'old' ELSE 'pagewright.run_receipt.v1' END AS receipt_schema,
+  CASE WHEN o_custkey % 6 = 1 THEN ' Hybrid ' ELSE CASE o_orderkey % 7 WHEN 0 THEN 'direct_patch' WHEN 1 THEN 'mask_replace' WHEN 2 THEN 'aligned_overlay_reveal' WHEN 3 THEN 'transparent_bubble_reveal' WHEN 4 THEN 'hybrid' WHEN 5 THEN 'reletter' ELSE 'auto' END END AS receipt_mode,
+  CASE WHEN o_custkey % 4 = 1 THEN 'reletter' WHEN o_custkey % 4 = 2 THEN NULL ELSE CASE o_orderkey % 7 WHEN 0 THEN 'direct_patch' WHEN 1 THEN 'mask_replace' WHEN 2 THEN 'aligned_overlay_reveal' WHEN 3 THEN 'transparent_bubble_reveal' WHEN 4 THEN 'hybrid' WHEN 5 THEN 'reletter' ELSE 'auto' END END AS receipt_project_mode,
+  CASE WHEN o_custkey % 7 = 2 THEN 'mask_replace' ELSE '' END AS receipt_strategy, CASE WHEN o_orderkey % 13 = 5 THEN false WHEN o_orderkey % 13 = 6 THEN NULL ELSE true END AS receipt_passed,
+  CASE WHEN o_custkey % 13 = 5 THEN false END AS execution_passed, o_custkey % 17 <> 3 AS isolation_passed, o_orderkey % 5 = 0 AS direct_used, o_orderkey % 5 = 1 AS mask_used, o_orderkey % 5 = 2 AS hybrid_used, o_orderkey % 3 AS hybrid_texts, o_orderkey % 4 AS reletter_texts
+FROM {orders}""")
+FILE_NAMES = (
+    "final.png", "target_original.png", "direct_patch_layer.png", "mask_transfer_layer.png", "mask_transfer_mask.png", "hybrid_transfer_layer.png", "hybrid_text_layer.png", "reletter_text_layer.png", "project.json", "qa.json",
+    "transfer_audit.json", ".final.png.x1.tmp", "aligned_overlay_reveal.json", "transparent_bubble_reveal.json", "clear_mask.png",
+)
+FILES = Relation(
+    "SELECT o_orderkey AS page, v.name AS name, (o_orderkey + v.n) % 19 <> 7 AS readable, 800 + CASE WHEN (o_orderkey + v.n) % 23 = 1 THEN 1 ELSE 0 END AS width, 1100 AS height FROM {orders} o JOIN (SELECT * FROM (VALUES "
+    + ", ".join(f"('{name}', {n})" for n, name in enumerate(FILE_NAMES))
+    + ") AS t(name, n)) v ON (o_orderkey * 7 + v.n * 5) % (v.n + 3) <> 1"
+)
+
+_MODE = "CASE o_orderkey % 7 WHEN 0 THEN 'direct_patch' WHEN 1 THEN 'mask_replace' WHEN 2 THEN 'aligned_overlay_reveal' WHEN 3 THEN 'transparent_bubble_reveal' WHEN 4 THEN 'hybrid' WHEN 5 THEN 'reletter' ELSE 'auto' END"
+
+#: Raw labels of parts, under several writings.
+LABELLED = Relation("SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN ' Sound-Effect ' WHEN 1 THEN 'speech-bubble' WHEN 2 THEN 'Onomatopoeia' WHEN 3 THEN 'sound_effect' WHEN 4 THEN NULL WHEN 5 THEN 'Aside-Text' ELSE 'panel' END AS label FROM {part}")
+#: Layout authority with whether what it says nothing of may pass.
+AUTHORITY_ROWS = Relation("SELECT a.*, page % 3 <> 0 AS allow_unknown FROM {authority} a")
+#: Proposals of changed regions: a source and a target region each; some name a region that isn't there.
+PROPOSALS = Relation("SELECT page, rid AS record, rid AS source, CASE WHEN rid % 8 = 7 THEN -1 ELSE rid END AS target, page % 10 <> 3 AS source_available, page % 10 <> 4 AS target_available FROM {regions}")
+KINDED = Relation("SELECT a.*, CASE kind WHEN 'sfx' THEN 'free_text' WHEN 'unknown' THEN 'plugin' ELSE 'bubble' END AS region_kind FROM {authority} a")
+#: Candidates of two groups.
+GROUPED = Relation("SELECT page, rid, 0 AS grp FROM {regions} WHERE rid % 3 <> 1 UNION ALL SELECT page, rid, 1 FROM {regions} WHERE rid % 2 = 0")
+#: Text blocks with the bubble that recognition gave them.
+BLOCKS = Relation("SELECT page, rid, x0, y0, x1, y1, confidence, CASE WHEN page % 4 = 2 THEN 0 ELSE text_len END AS text_len, CASE WHEN rid % 2 = 0 THEN rid END AS bubble_id FROM {regions}")
+READ_PAGES = Relation("SELECT o_orderkey AS page, CASE o_custkey % 6 WHEN 0 THEN ' None ' WHEN 1 THEN NULL ELSE 'engine' END AS backend, CASE WHEN o_custkey % 7 = 2 THEN 'skipped_mode' ELSE 'cache' END AS route, o_orderkey % 2 = 0 AS region_text_only FROM {orders}")
+#: Layouts of text before and after.
+PROFILES = Relation("""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'vertical' ELSE 'horizontal' END AS orientation, 1 + o_custkey % 5 AS s_columns, 1 + o_custkey % 4 AS t_columns, 1 + o_custkey % 7 AS s_rows, 1 + o_custkey % 6 AS t_rows,
+  0.3 + CAST(o_custkey % 7 AS DOUBLE) / 10 AS s_fill_x, 0.3 + CAST(o_orderkey % 6 AS DOUBLE) / 10 AS t_fill_x, 0.4 + CAST(o_orderkey % 5 AS DOUBLE) / 10 AS s_fill_y, 0.3 + CAST(o_custkey % 6 AS DOUBLE) / 10 AS t_fill_y, CAST(o_custkey % 30 AS DOUBLE) AS s_pitch, CAST(o_orderkey % 25 AS DOUBLE) AS t_pitch FROM {orders}""")
+DIRECT_PLANS = Relation("SELECT o_orderkey AS page, o_custkey % 3 AS border_pixels, o_custkey % 4 = 0 AS ocr_used, o_custkey % 5 = 0 AS bubble_matching_used, o_custkey % 6 <> 0 AS present FROM {orders}")
+#: Stored marks of pages, old and odd ones among them.
+MARK_FACTS = Relation("""
+SELECT concat('page-', CAST(o_orderkey AS STRING)) AS key, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('target-', CAST(o_custkey AS STRING)) END AS target_name, CASE o_orderkey % 9 WHEN 0 THEN 'cover' WHEN 1 THEN 'auto_no_text' WHEN 2 THEN '' WHEN 3 THEN 'poster' WHEN 4 THEN 'blank' WHEN 5 THEN NULL WHEN 6 THEN 'skip' ELSE 'content' END AS page_type,
+  CASE o_orderkey % 5 WHEN 0 THEN 'manual' WHEN 1 THEN '' ELSE 'auto' END AS origin, CASE WHEN o_orderkey % 2 = 0 THEN 'given' END AS reason FROM {orders} WHERE o_orderkey % 6 < 2""")
+NAMED_PAGES = Relation("SELECT o_orderkey AS page, concat('page-', CAST(o_orderkey AS STRING)) AS key, concat('target-', CAST(o_custkey AS STRING)) AS target_name FROM {orders}")
+FURTHER = Relation("SELECT page, CASE WHEN rid % 2 = 0 THEN 'free_text' ELSE kind END AS kind FROM {regions} WHERE page % 5 = 0 AND rid % 3 = 0")
+FIRST = Relation("SELECT page, CASE WHEN kind = 'sfx' OR page % 6 = 1 THEN 'free_text' ELSE kind END AS kind FROM {regions} WHERE page % 7 <> 2")
+PROBED = Relation("SELECT p.*, page % 2 = 0 AS skip_asked FROM {pages} p")
+CACHED = Relation("""
+SELECT o_orderkey AS page, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'default' WHEN 2 THEN 'manual' ELSE 'auto' END AS origin, CASE o_custkey % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'content' ELSE 'blank' END AS page_type, o_custkey % 3 = 1 AS processed, o_orderkey % 3 = 0 AS passthrough,
+  CASE WHEN o_custkey % 2 = 0 THEN 'source_no_transferable_text' ELSE 'marked' END AS passthrough_reason, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'cover' ELSE 'blank' END AS cached_type FROM {orders}""")
+PLANNED = Relation(f"SELECT o_orderkey AS page, {_MODE} AS mode, o_custkey % 5 <> 0 AS same_page, o_custkey % 3 <> 0 AS direct_available, o_custkey % 2 = 0 AS direct_safe, o_custkey % 7 = 0 AS secondary_available, o_custkey % 14 = 0 AS secondary_selected, o_orderkey % 2 = 0 AS aligned_available, o_orderkey % 4 = 0 AS aligned_allowed FROM {{orders}}")
+UNIT_FACTS = Relation("SELECT page, rid, CASE WHEN rid % 4 = 0 THEN concat('b', CAST(rid AS STRING)) WHEN rid % 4 = 1 THEN ' ' END AS bubble_id, CASE rid % 3 WHEN 0 THEN ' Bubble ' WHEN 1 THEN 'text_block' END AS geometry, CASE WHEN rid % 5 = 0 THEN 'Dialogue' ELSE kind END AS kind FROM {regions}")
+RESCUES = Relation("""
+SELECT m.page AS page, m.source AS source, m.target AS target, CASE m.page % 3 WHEN 0 THEN 'reletter' WHEN 1 THEN 'hybrid' ELSE 'direct_patch' END AS mode, m.route AS route, m.confidence AS confidence, p.registration_confidence AS registration_confidence,
+  CASE WHEN m.source % 5 <> 0 THEN m.source END AS source_bubble, m.target AS target_bubble, m.source % 2 = 0 AS source_recovered FROM {matches} m JOIN {pages} p ON p.page = m.page""")
+#: Layout's verdict on the regions of a side, as far apart as rescue needs.
+VERDICTS = Relation("SELECT page, rid, CASE (rid + page) % 3 WHEN 0 THEN 'PROTECT' WHEN 1 THEN 'ALLOW' ELSE 'UNKNOWN' END AS state, CASE WHEN (rid + page) % 3 = 0 THEN 'panel_only' ELSE 'layout_support' END AS reason, confidence AS bubble, confidence / 2 AS text, confidence / 3 AS sfx, 1 - confidence AS panel FROM {regions}")
+FAR_VERDICTS = Relation("SELECT page, rid, CASE (rid + page) % 3 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'PROTECT' ELSE 'ALLOW' END AS state, CASE WHEN (rid + page) % 3 = 1 THEN 'panel_only' ELSE 'layout_support' END AS reason, confidence AS bubble, confidence / 2 AS text, confidence / 3 AS sfx, 1 - confidence AS panel FROM {regions}")
+SETTINGS = Relation("SELECT o_orderkey AS page, CASE o_custkey % 4 WHEN 0 THEN 'MangaLens' WHEN 1 THEN 'other' WHEN 2 THEN ' rtdetr_v2 ' END AS first, CASE o_custkey % 5 WHEN 0 THEN 'seeded_white' WHEN 1 THEN 'sidecar' WHEN 2 THEN 'sam2' WHEN 3 THEN 'none' END AS legacy, CASE o_orderkey % 4 WHEN 0 THEN 'Primary_Only' WHEN 1 THEN 'primary_plus_aux' WHEN 2 THEN 'odd' END AS strategy, o_custkey % 2 = 0 AS sufficient FROM {orders}")
+ASKED_DETECTORS = Relation("SELECT o.o_orderkey AS page, v.name AS name, v.place AS place FROM {orders} o JOIN (SELECT * FROM (VALUES ('geometry_white', 3), ('Mangalens', 1), ('rtdetr_v2', 2), ('unknown', 4), ('sidecar', 5), ('mangalens', 6), ('sam2', 7)) AS t(name, place)) v ON (o.o_orderkey + v.place) % 3 <> 0")
+REVIEWS = Relation(f"SELECT o_orderkey AS page, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' Hybrid ' ELSE {_MODE} END AS owner, {_MODE} AS requested, CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS markers, CASE WHEN o_custkey % 7 = 0 THEN 2 ELSE 0 END AS rows, CASE WHEN o_custkey % 11 = 0 THEN 1 ELSE 0 END AS maps, CASE o_custkey % 13 WHEN 0 THEN 'force_mask_replace' WHEN 1 THEN ' ' END AS forced FROM {{orders}}")
+SEEN_PAGES = Relation("SELECT o_orderkey AS page, o_custkey % 4 AS source_bubbles, o_custkey % 3 AS target_bubbles FROM {orders}")
+COUNTERS = Relation(f"SELECT o_orderkey AS page, CASE WHEN o_custkey % 5 = 0 THEN 4 END AS applied_count, CASE WHEN o_custkey % 5 = 1 THEN 3 END AS successful_regions, CASE WHEN o_custkey % 10 = 2 THEN 2 END AS accepted_count, CASE WHEN o_custkey % 10 = 7 THEN 1 END AS region_count, CASE WHEN o_custkey % 3 = 0 THEN 1 END AS failed_regions, CASE WHEN o_custkey % 4 = 0 THEN 2 END AS failed_count, CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'hybrid' ELSE {_MODE} END AS old_mode, {_MODE} AS mode FROM {{orders}}")
+SIZED_PAGES = Relation("SELECT o_custkey AS book, o_orderkey AS page, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_totalprice AS BIGINT) % 40000 END AS bytes FROM {orders}")
+SIXTEEN = Relation("SELECT r_regionkey * 4 + n AS k FROM {region} r JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(n)) v ON r_regionkey < 4")
+RESULT_FILES = Relation("SELECT o.o_orderkey AS page, v.role AS role, concat(v.name, CAST(o.o_orderkey AS STRING)) AS path, v.place AS place, (o.o_orderkey + v.place) % 4 <> 0 AS present, (o.o_custkey * v.place) % 3 AS modified FROM {orders} o CROSS JOIN (SELECT * FROM (VALUES ('reviewed', 'final_reviewed', 0), ('automatic', 'final', 1), ('reviewed', 'art_reviewed', 2), ('automatic', 'art_final', 3), ('book', 'book_final', 4)) AS t(role, name, place)) v")
+FOLDERS = Relation("SELECT o.o_orderkey AS page, concat(v.name, '/', CAST(o.o_orderkey AS STRING)) AS folder, v.place AS place, (o.o_orderkey * 3 + v.place) % 5 = 0 AS present FROM {orders} o CROSS JOIN (SELECT * FROM (VALUES ('named', 0), ('own', 1), ('plain', 2), ('old', 3)) AS t(name, place)) v")
+OWN_FOLDERS = Relation("SELECT o_orderkey AS page, concat('own/', CAST(o_orderkey AS STRING)) AS own FROM {orders}")
+ODD_PAGES = Relation("SELECT page, registration_confidence, CASE WHEN page % 17 = 3 THEN CAST('NaN' AS DOUBLE) WHEN page % 17 = 4 THEN CAST('Infinity' AS DOUBLE) ELSE reprojection_error END AS reprojection_error, inlier_ratio FROM {pages}")
+DETECTED = Relation("SELECT page, rid, confidence, CASE rid % 6 WHEN 0 THEN 'koharu_layout' WHEN 1 THEN 'seeded_white' WHEN 2 THEN 'contour' WHEN 3 THEN ' SAM2 ' WHEN 4 THEN NULL ELSE 'text_seed_white_rect' END AS backend, rid % 4 = 0 AS has_text_box FROM {regions}")
+TAGGED = Relation("SELECT page, rid, confidence, CASE WHEN rid % 2 = 0 THEN 'sam2' ELSE 'mangalens' END AS backend FROM {regions}")
+CANDIDATES = Relation("""
+SELECT page, 'similarity' AS method, 0 AS place, inlier_ratio * 0.96 AS inlier_ratio, reprojection_error + 0.4 AS error, spatial_coverage AS coverage FROM {pages}
+UNION ALL SELECT page, 'affine', 1, inlier_ratio * 0.98, reprojection_error + 0.2, spatial_coverage FROM {pages} UNION ALL SELECT page, 'homography', 2, inlier_ratio, reprojection_error, spatial_coverage * 0.9 FROM {pages}""")
+SOURCES = Relation("""
+SELECT book, page, page % 2 = 1 AS is_secondary, CAST(page % 6 AS BIGINT) AS applied, CAST(page % 8 AS BIGINT) AS candidates, page % 9 <> 0 AS plan_safe, pair_confidence AS same_page, registration_confidence AS registration, reprojection_error AS reprojection,
+  CASE WHEN page % 5 <> 0 THEN CAST(page % 60 AS DOUBLE) / 10 END AS boundary, CAST(page % 400 AS DOUBLE) AS sharpness, CAST(page % 3 AS BIGINT) AS risks FROM {pages}""")
+CHANGES = Relation("SELECT s.page AS page, s.rid AS rid, p.registration_confidence AS registration_confidence, s.confidence AS mask_iou, (s.x1 - s.x0) / 200 AS density, (s.y1 - s.y0) / 400 AS source_ink, s.text_len / 200 AS target_ink FROM {regions} s JOIN {pages} p ON p.page = s.page")
+GROUPS = Relation("SELECT page, rid, x0, y0, x1, y1, CAST(text_len AS INT) AS glyphs, 14 + text_len AS glyph_w, 12 + text_len AS glyph_h, (x1 - x0) * 0.8 AS span_x, (y1 - y0) * 1.7 AS span_y FROM {regions}")
+ACTIONS = Relation("SELECT page, rid AS id, CASE rid % 5 WHEN 0 THEN 'region_brush_reveal' WHEN 1 THEN 'reveal_text' ELSE ' Region_mask' END AS mode, CAST(x1 AS INT) % 4 AS box, CAST(y1 AS INT) % 2 AS settings FROM {regions}")

@@ -42,3 +42,27 @@ class Operator:
         if self.other is None:
             raise ValueError("no text for another engine")
         return nested(self.other, inputs)
+
+
+class Rules:
+    """Rules over the rows of one table: each that holds gives a row of ``keys`` with code, severity, value and threshold.
+
+    Here a row's findings are an array that is unrolled, so the table is read once; the text for another
+    engine is a union with a branch for each rule.
+    """
+
+    def __init__(self, keys: tuple[str, ...], rules: list[tuple[str, str, str, str, str]]):
+        self.keys, self.rules = keys, rules
+
+    def here(self, table: str) -> str:
+        made = ", ".join(
+            f"CASE WHEN {when} THEN named_struct('code', '{code}', 'severity', {severity}, 'value', CAST({value} AS DOUBLE), 'threshold', CAST({limit} AS DOUBLE)) END" for when, code, severity, value, limit in self.rules
+        )
+        names = ", ".join(self.keys)
+        return f"SELECT {names}, f.code AS code, f.severity AS severity, f.value AS value, f.threshold AS threshold FROM (SELECT {names}, explode(array_compact(array({made}))) AS f FROM {table}) x"
+
+    def there(self, table: str) -> str:
+        names = ", ".join(self.keys)
+        return " UNION ALL ".join(
+            f"SELECT {names}, '{code}' AS code, {severity} AS severity, CAST({value} AS DOUBLE) AS value, CAST({limit} AS DOUBLE) AS threshold FROM {table} WHERE {when}" for when, code, severity, value, limit in self.rules
+        )

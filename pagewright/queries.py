@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as geo
 from .functions import text as T
+from .operators import audits as D
 from .operators import grouped as G
 from .operators import matching as M
+from .operators import policies as P
 from .operators import regions as R
 from .operators import rules as U
 from .operators import sequences as S
@@ -65,7 +67,6 @@ accepted = Plan(M.ACCEPTED, findings=findings)
 summary = Plan(U.SUMMARY, issues=issues)
 authority = Plan(R.AUTHORITY, regions=source, items=target)
 triaged = Plan(U.TRIAGED, records=records)
-evidence = Plan(U.EVIDENCE, pages=pages)
 numbers = Plan(S.PAGE_NUMBERS, pages="pages")
 names = Plan(S.PAGE_NAMES, pages="pages")
 by_number = Plan(S.UNIQUE_KEYS, source=numbers, target=numbers)
@@ -76,6 +77,25 @@ prints = Plan(S.FINGERPRINTS, documents="documents")
 finished = Plan(S.FINISHED, fingerprints=prints)
 fingerprint_costs = Plan(S.FINGERPRINT_COST, embeddings="embeddings")
 
+transfers, recognised, items = Plan(A.TRANSFERS, regions=source), Plan(A.UNITS, regions=source), Plan(A.ITEMS, regions=target)
+runs, files = Plan(A.RUNS, orders="orders"), Plan(A.FILES, orders="orders")
+leaks = Plan(D.LEAKS, files=files, runs=runs)
+integrity = Plan(D.INTEGRITY, files=files, runs=runs, leaks=leaks)
+audited = {"pages": pages, "records": transfers, "units": recognised, "bubbles": source}
+
+by_order = lambda adapter, **more: Plan(adapter, orders="orders", **more)
+of_source = lambda adapter: Plan(adapter, regions=source)
+kinded = {"source": Plan(A.KINDED, authority=Plan(R.AUTHORITY, regions=source, items=target)), "target": Plan(A.KINDED, authority=Plan(R.AUTHORITY, regions=target, items=target))}
+proposals = of_source(A.PROPOSALS)
+blocks = of_source(A.BLOCKS)
+transferable = Plan(P.TRANSFERABLE, blocks=blocks, bubbles=target, candidates=target)
+direct_plans = by_order(A.DIRECT_PLANS)
+marks = Plan(P.MARK_ROWS, marks=by_order(A.MARK_FACTS))
+region_counts = Plan(P.REGION_COUNTS, first=of_source(A.FIRST), further=of_source(A.FURTHER))
+settings = by_order(A.SETTINGS)
+paired = Plan(R.PAIRED_IDS, pages=pages, **sides)
+sources = Plan(P.SOURCE_EVIDENCE, sources=Plan(A.SOURCES, pages=pages))
+
 PLANS: dict[str, Plan] = {
     "page_region_match_summary": Plan(M.MATCH_SUMMARY, pages=pages, findings=findings),
     "region_pairs": Plan(R.PAIRS, **sides),
@@ -113,12 +133,58 @@ PLANS: dict[str, Plan] = {
     "completion_needed": Plan(U.COMPLETION_NEEDED, pages=pages, records=records),
     "page_triage": Plan(U.PAGE_TRIAGE, pages=pages, triaged=triaged),
     "registration_gate_reason": Plan(U.REGISTRATION_GATE, pages=pages),
-    "registration_rank": Plan(U.REGISTRATION_RANK, pages=pages),
-    "source_evidence": evidence,
-    "source_arbitration": Plan(U.SELECTED_SOURCE, evidence=evidence),
+    "registration_rank": Plan(P.REGISTRATION_QUALITY, candidates=Plan(A.CANDIDATES, pages=pages)),
+    "source_evidence": sources,
+    "source_arbitration": Plan(U.SELECTED_SOURCE, evidence=sources),
     "mode_violations": Plan(U.MODE_VIOLATIONS, orders="orders"),
-    "workspace_integrity": Plan(U.INTEGRITY, files=Plan(U.FILES, orders="orders")),
-    "page_marks": Plan(U.MARKS, orders="orders"),
+    "mask_transfer_issues": Plan(D.MASK_ISSUES, **audited),
+    "direct_transfer_issues": Plan(D.DIRECT_ISSUES, **audited),
+    "guarded_transfer_issues": Plan(D.GUARDED_ISSUES, **audited),
+    "clear_mask_issues": Plan(D.CLEAR_ISSUES, clear=Plan(A.CLEAR, orders="orders"), residual=Plan(A.RESIDUAL, regions=target)),
+    "semantic_coverage_issues": Plan(D.COVERAGE_ISSUES, items=items, records=transfers),
+    "photo_pair_issues": Plan(D.PHOTO_ISSUES, photo_pages=Plan(A.PHOTO_PAGES, orders="orders"), records=transfers),
+    "artifact_ownership": Plan(D.OWNERSHIP, files=files),
+    "mode_artifact_leaks": leaks,
+    "workspace_integrity": integrity,
+    "workspace_integrity_failed": Plan(D.INTEGRITY_FAILED, integrity=integrity),
+    "layout_labels": Plan(P.LABELS, labelled=Plan(A.LABELLED, part="part")),
+    "layout_text_blocks": Plan(P.LAYOUT_BLOCKS, items=items),
+    "layout_bubbles": Plan(P.LAYOUT_BUBBLES, items=items),
+    "sure_blocks": Plan(P.SURE_BLOCKS, regions=source),
+    "authority_filter": Plan(P.KEPT_BY_AUTHORITY, authority=Plan(A.AUTHORITY_ROWS, authority=authority)),
+    "layout_safety_gate": Plan(P.SAFETY_GATE, proposals=proposals, **kinded),
+    "completion_pairs_by_authority": Plan(P.COMPLETION_PAIRS, proposals=proposals, **kinded),
+    "completion_existing": Plan(P.EXISTING, candidates=of_source(A.GROUPED), records=transfers),
+    "completion_review_boxes": Plan(P.REVIEW_BOXES, records=transfers),
+    "transferable_text": transferable,
+    "content_gate": Plan(P.CONTENT_GATE, pages=by_order(A.READ_PAGES), blocks=blocks, transferable=transferable),
+    "preserved_layouts": Plan(P.PRESERVED, records=transfers),
+    "layout_complete": Plan(P.LAYOUT_COMPLETE, profiles=by_order(A.PROFILES)),
+    "direct_invariants": Plan(P.INVARIANTS, plans=direct_plans, missing=direct_plans, records=transfers),
+    "mark_rows": marks,
+    "resolved_marks": Plan(P.RESOLVED_MARKS, pages=by_order(A.NAMED_PAGES), marks=marks),
+    "region_counts": region_counts,
+    "probed_marks": Plan(P.PROBED_MARKS, pages=Plan(A.PROBED, pages=pages), counts=region_counts),
+    "resume_marks": Plan(P.RESUME_MARKS, cached=by_order(A.CACHED)),
+    "transfer_strategies": Plan(P.STRATEGIES, pages=by_order(A.PLANNED)),
+    "unit_region_kinds": Plan(P.UNIT_KINDS, units=of_source(A.UNIT_FACTS)),
+    "authority_rescue": Plan(P.RESCUED, pairs=Plan(A.RESCUES, matches=paired, pages=pages), source=of_source(A.VERDICTS), target=Plan(A.FAR_VERDICTS, regions=target)),
+    "further_detectors": Plan(P.DETECTORS, settings=settings, auxiliaries=by_order(A.ASKED_DETECTORS)),
+    "detectors_run": Plan(P.RUN_DETECTORS, settings=settings),
+    "review_state": Plan(P.REVIEW_STATE, reviews=by_order(A.REVIEWS)),
+    "visual_evidence": Plan(P.VISUAL_EVIDENCE, pages=by_order(A.SEEN_PAGES), records=transfers),
+    "mode_effects": Plan(P.MODE_EFFECTS, pages=by_order(A.COUNTERS), records=transfers),
+    "resume_ahead": Plan(P.AHEAD, pages=by_order(A.SIZED_PAGES), sixteen=Plan(A.SIXTEEN, region="region")),
+    "result_state": Plan(P.RESULTS, results=by_order(A.RESULT_FILES)),
+    "page_workspaces": Plan(P.WORKSPACES, pages=by_order(A.OWN_FOLDERS), folders=by_order(A.FOLDERS)),
+    "reveal_gate": Plan(P.REVEAL_GATE, pages=Plan(A.ODD_PAGES, pages=pages)),
+    "reveal_authority": Plan(P.REVEAL_AUTHORITY, regions=of_source(A.DETECTED)),
+    "covered_seeds": Plan(P.COVERED_SEEDS, seeds=source, accepted=target),
+    "retagged_regions": Plan(P.RETAGGED, regions=of_source(A.TAGGED)),
+    "applied_regions": Plan(P.APPLIED_REGIONS, triaged=triaged),
+    "diff_confidence": Plan(P.DIFF_CONFIDENCE, changes=Plan(A.CHANGES, regions=source, pages=pages)),
+    "group_labels": Plan(P.GROUP_LABELS, groups=of_source(A.GROUPS)),
+    "region_actions": Plan(P.REGION_ACTIONS, actions=of_source(A.ACTIONS)),
     "trace_sequence": Plan(S.TRACE_SEQUENCE, trace=trace),
     "latest_run_state": Plan(S.LATEST_STATE, trace=trace),
     "history_last50": history,
