@@ -274,6 +274,20 @@ def match_units(costs: DataFrame, max_cost: float = 0.74, review: float = 0.60)
     return per_group(costs.select("page", "source", "target", "cost", "overlap"), "page", page, "page long, source long, target long, cost double, confidence double, relation string, ambiguous boolean")
 
 
+def assigned(costs: DataFrame) -> DataFrame:
+    """costs (page, source, target, cost) of all pairs to the cheapest assignment of each page, with margins over the second best of row and column."""
+
+    def page(g: dict[str, np.ndarray]) -> list[tuple]:
+        sources, i = np.unique(g["source"], return_inverse=True)
+        targets, j = np.unique(g["target"], return_inverse=True)
+        cost = np.full((len(sources), len(targets)), 1e6)
+        cost[i, j] = g["cost"]
+        second = lambda x: float(np.sort(x)[1] - np.sort(x)[0]) if len(x) > 1 else 1.0
+        return [(int(g["page"][0]), int(sources[r]), int(targets[c]), float(cost[r, c]), second(cost[r]), second(cost[:, c])) for r, c in assign(cost)]
+
+    return per_group(costs.select("page", "source", "target", "cost"), "page", page, "page long, source long, target long, cost double, row_margin double, column_margin double")
+
+
 def align_pages(source: DataFrame, target: DataFrame) -> DataFrame:
     """The ordered pages (book, page, ord, value) of two editions, aligned by value and place."""
 

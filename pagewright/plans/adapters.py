@@ -165,3 +165,21 @@ SELECT book, page, page % 2 = 1 AS is_secondary, CAST(page % 6 AS BIGINT) AS app
 CHANGES = Relation("SELECT s.page AS page, s.rid AS rid, p.registration_confidence AS registration_confidence, s.confidence AS mask_iou, (s.x1 - s.x0) / 200 AS density, (s.y1 - s.y0) / 400 AS source_ink, s.text_len / 200 AS target_ink FROM {regions} s JOIN {pages} p ON p.page = s.page")
 GROUPS = Relation("SELECT page, rid, x0, y0, x1, y1, CAST(text_len AS INT) AS glyphs, 14 + text_len AS glyph_w, 12 + text_len AS glyph_h, (x1 - x0) * 0.8 AS span_x, (y1 - y0) * 1.7 AS span_y FROM {regions}")
 ACTIONS = Relation("SELECT page, rid AS id, CASE rid % 5 WHEN 0 THEN 'region_brush_reveal' WHEN 1 THEN 'reveal_text' ELSE ' Region_mask' END AS mode, CAST(x1 AS INT) % 4 AS box, CAST(y1 AS INT) % 2 AS settings FROM {regions}")
+
+#: Marks of time and states of a run.
+CLICKS = Relation("SELECT run, event_id, ts FROM {trace} t WHERE event_id % 3 = 0")
+STATES = Relation("SELECT run, ts, stage FROM {trace} t WHERE event_id % 3 <> 0")
+
+#: Bubbles that name a partner of the other side, some of them.
+NAMING_SOURCE = Relation("SELECT r.*, CASE WHEN page % 4 = 1 OR rid % 3 = 0 THEN NULL ELSE rid END AS paired_id FROM {regions} r")
+NAMING_TARGET = Relation("SELECT r.*, CASE WHEN page % 4 = 1 OR rid % 2 = 0 THEN NULL ELSE rid + rid % 4 - 1 END AS paired_id FROM {regions} r")
+HANDLED = Relation("SELECT page, rid FROM {records} r WHERE applied AND page % 4 <> 1")
+#: Text regions of a page's largest extent, as if it were one bubble.
+IN_BUBBLE = Relation("""
+SELECT r.page AS page, r.rid AS rid, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1, CASE WHEN r.y1 - r.y0 > r.x1 - r.x0 THEN 'vertical' ELSE 'horizontal' END AS orientation, CAST(r.text_len AS BIGINT) AS parts, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1
+FROM {regions} r JOIN (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {regions} GROUP BY page) b ON b.page = r.page""")
+LISTED = Relation("SELECT DISTINCT page, block AS rid FROM {assigned} a WHERE region IS NOT NULL")
+WANTED = Relation("SELECT o_orderkey AS page, concat('v', CAST(o_custkey % 5 AS STRING)) AS signature FROM {orders} o")
+CACHED_ROWS = Relation("SELECT o_orderkey AS page, CASE WHEN o_orderkey % 3 = 0 THEN 'v0' ELSE concat('v', CAST(o_custkey % 5 AS STRING)) END AS signature, o_orderkey % 4 AS bubbles FROM {orders} o WHERE o_orderkey % 6 <> 5")
+ANCHORS = Relation("SELECT book, source, target FROM (SELECT o_custkey AS book, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 3 - 1 AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 3 - 1 + o_custkey % 2 AS target, o_orderkey % 4 AS k FROM {orders} o) x WHERE k = 0")
+BOOK_SIZES = Relation("SELECT o_custkey AS book, count(*) * 3 + 2 AS n, count(*) * 3 + 3 AS m FROM {orders} o GROUP BY o_custkey")

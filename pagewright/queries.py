@@ -13,8 +13,10 @@ from .functions import text as T
 from .operators import audits as D
 from .operators import grouped as G
 from .operators import matching as M
+from .operators import pairing as N
 from .operators import policies as P
 from .operators import regions as R
+from .operators import relational as B
 from .operators import rules as U
 from .operators import sequences as S
 from .plans import adapters as A
@@ -96,6 +98,11 @@ settings = by_order(A.SETTINGS)
 paired = Plan(R.PAIRED_IDS, pages=pages, **sides)
 sources = Plan(P.SOURCE_EVIDENCE, sources=Plan(A.SOURCES, pages=pages))
 
+naming = {"source": of_source(A.NAMING_SOURCE), "target": Plan(A.NAMING_TARGET, regions=target)}
+named = Plan(N.NAMED_BUBBLES, **naming)
+region_costs = Plan(N.REGION_COSTS, source=of_source(A.IN_BUBBLE), target=Plan(A.IN_BUBBLE, regions=target))
+assigned_blocks = Plan(R.ASSIGNED, blocks=target, regions=source)
+
 PLANS: dict[str, Plan] = {
     "page_region_match_summary": Plan(M.MATCH_SUMMARY, pages=pages, findings=findings),
     "region_pairs": Plan(R.PAIRS, **sides),
@@ -185,6 +192,29 @@ PLANS: dict[str, Plan] = {
     "diff_confidence": Plan(P.DIFF_CONFIDENCE, changes=Plan(A.CHANGES, regions=source, pages=pages)),
     "group_labels": Plan(P.GROUP_LABELS, groups=of_source(A.GROUPS)),
     "region_actions": Plan(P.REGION_ACTIONS, actions=of_source(A.ACTIONS)),
+    "as_of_states": Plan(B.AS_OF, marks=Plan(A.CLICKS, trace=trace), states=Plan(A.STATES, trace=trace)),
+    "edition_regions": Plan(B.EDITIONS, **sides),
+    "common_kinds": Plan(B.COMMON_KINDS, **sides),
+    "lost_kinds": Plan(B.LOST_KINDS, **sides),
+    "kind_cube": Plan(B.KIND_CUBE, regions=source),
+    "kind_grouping_sets": Plan(B.KIND_SETS, regions=source),
+    "region_ranks": Plan(B.RANKS, regions=source),
+    "region_frames": Plan(B.FRAMES, regions=source),
+    "confidence_percentiles": Plan(B.PERCENTILES, regions=source),
+    "surest_regions": Plan(B.SUREST, regions=source),
+    "page_calendar": Plan(B.CALENDAR, orders="orders"),
+    "match_chains": Plan(B.CHAINS, matches=paired),
+    "odd_pages": Plan(B.ODD_PAGES, pages=pages),
+    "mean_confidence": Plan(B.MEAN_CONFIDENCE, regions=source),
+    "grid_cells": Plan(B.GRID_CELLS, regions=source),
+    "bubble_matches": Plan(N.BUBBLE_MATCHES, assigned=Plan(N.ASSIGNED, costs=Plan(N.BUBBLE_COSTS, **sides))),
+    "named_bubbles": named,
+    "bubble_binding": Plan(N.BUBBLE_BINDING, named=named, assigned=Plan(N.ASSIGNED, costs=Plan(N.LEFT_COSTS, named=named, **sides))),
+    "region_binding": Plan(N.REGION_BINDING, assigned=Plan(N.ASSIGNED, costs=region_costs), costs=region_costs),
+    "remaining_pairs": Plan(N.REMAINING, handled=Plan(A.HANDLED, records=transfers), **naming),
+    "unlisted_blocks": Plan(N.UNLISTED, pages=pages, blocks=target, listed=Plan(A.LISTED, assigned=assigned_blocks)),
+    "cached_bubbles": Plan(N.CACHED_BUBBLES, wanted=by_order(A.WANTED), cached=by_order(A.CACHED_ROWS), items=items),
+    "anchor_segments": Plan(N.SEGMENTS, anchors=by_order(A.ANCHORS), sizes=by_order(A.BOOK_SIZES)),
     "trace_sequence": Plan(S.TRACE_SEQUENCE, trace=trace),
     "latest_run_state": Plan(S.LATEST_STATE, trace=trace),
     "history_last50": history,
@@ -252,6 +282,59 @@ def history_undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.replay(H.command_log(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
+def _book_pages(spark: SparkSession, sf_dir: str, edition: int) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    number, price = F.col("o_orderkey") % 400, F.col("o_totalprice").cast("long")
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("p"), number)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(("cn", "jp")[edition]), number))
+    rows = orders.select(
+        F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("page"), F.unix_date(F.col("o_orderdate").cast("date")).alias("ord"), name.alias("name"), F.when(F.col("o_orderkey") % 3 != 2, number.cast("string")).alias("number"),
+        F.xxhash64(price % 97).bitwiseXOR(F.lit(edition * 5).cast("long")).alias("hash"), (0.6 + price % 5 / 10).alias("aspect"), ((price % 41) / 41.0).alias("edge"),
+    )
+    return rows.filter(F.col("page") % 7 != 0) if edition else rows
+
+
+def book_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.pair_books(_book_pages(spark, sf_dir, 0), _book_pages(spark, sf_dir, 1))
+
+
+def book_pairs_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.pair_books(_book_pages(spark, sf_dir, 0), _book_pages(spark, sf_dir, 1), by_order=True)
+
+
+def detector_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = source.frame(spark, sf_dir).withColumn("phase", (F.col("rid") % 3).cast("long"))
+    return N.detector_chain(rows.withColumn("provider", F.concat(F.lit("detector-"), "phase")), 0.62, stop=True)
+
+
+def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = items.frame(spark, sf_dir).withColumn("state", F.when(F.col("rid") % 5 == 0, "PROTECT").otherwise("UNKNOWN"))
+    return N.merged_evidence(Plan(A.ITEMS, regions=source).frame(spark, sf_dir), extra)
+
+
+def reveal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.reveal_candidates(source.frame(spark, sf_dir), target.frame(spark, sf_dir))
+
+
+def text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.text_clusters(of_source(A.GROUPS).frame(spark, sf_dir))
+
+
+def effect_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.suggestions(target.frame(spark, sf_dir))
+
+
+def region_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.region_grids(source.frame(spark, sf_dir))
+
+
+def confidence_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.estimates(source.frame(spark, sf_dir))
+
+
+def sampled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.sampled(source.frame(spark, sf_dir))
+
+
 def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("stem", T.normal_stem("url"))
     return pages.select("page_id", "stem", T.name_key(F.col("stem")).alias("name_key"), T.number_key(F.col("stem")).alias("number_key"))
@@ -266,7 +349,7 @@ def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGION = source.other()
 QUERIES |= {
     f.__name__: f
-    for f in (page_alignment, greedy_region_pairs, greedy_suppression, compound_split, monotone_anchors, history_undo_redo, normalised_names, region_polygons)
+    for f in (page_alignment, greedy_region_pairs, greedy_suppression, compound_split, monotone_anchors, history_undo_redo, book_pairs, book_pairs_by_order, detector_chain, merged_evidence, reveal_candidates, text_clusters, effect_suggestions, region_grids, confidence_estimates, sampled_regions, normalised_names, region_polygons)
 }
 ORACLES["region_polygons"] = f"""
 SELECT page, rid, round((x1 - x0) * (y1 - y0), 6) AS area, round(0.8 * (x0 + x1) / 2 - 0.6 * (y0 + y1) / 2 + 3, 6) AS cx, round(0.6 * (x0 + x1) / 2 + 0.8 * (y0 + y1) / 2 - 2, 6) AS cy FROM ({_REGION}) r"""
