@@ -183,3 +183,24 @@ WANTED = Relation("SELECT o_orderkey AS page, concat('v', CAST(o_custkey % 5 AS
 CACHED_ROWS = Relation("SELECT o_orderkey AS page, CASE WHEN o_orderkey % 3 = 0 THEN 'v0' ELSE concat('v', CAST(o_custkey % 5 AS STRING)) END AS signature, o_orderkey % 4 AS bubbles FROM {orders} o WHERE o_orderkey % 6 <> 5")
 ANCHORS = Relation("SELECT book, source, target FROM (SELECT o_custkey AS book, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 3 - 1 AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 3 - 1 + o_custkey % 2 AS target, o_orderkey % 4 AS k FROM {orders} o) x WHERE k = 0")
 BOOK_SIZES = Relation("SELECT o_custkey AS book, count(*) * 3 + 2 AS n, count(*) * 3 + 3 AS m FROM {orders} o GROUP BY o_custkey")
+
+#: Review overrides of units.
+OVERRIDES = Relation("SELECT page, rid, CASE WHEN page % 3 = 0 THEN 'force_match' ELSE 'skip_unit' END AS act, CASE WHEN page % 3 = 0 THEN rid END AS target FROM {regions} r WHERE rid % 4 = 1 AND page % 2 = 0")
+DELETES = Relation("SELECT run, stage, ts FROM {trace} t WHERE event_id % 13 = 0")
+#: Turns of conversations as recognised blocks, and a bubble for each pair of turns but the last ones.
+TURNS = Relation("SELECT conv_id AS page, turn AS id, turn AS reading_order, CASE WHEN turn % 5 = 4 THEN NULL ELSE CAST(floor(turn / 2) AS BIGINT) END AS bubble_id, CASE WHEN turn % 7 = 3 THEN concat(text, 'あ', repeat('漢', 400)) ELSE text END AS text, CAST(50 + turn % 50 AS DOUBLE) / 100 AS confidence, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE role END AS kind FROM {conversations} c")
+TURN_BUBBLES = Relation("SELECT conv_id AS page, CAST(floor(turn / 2) AS BIGINT) AS id, CASE WHEN floor(turn / 2) % 2 = 0 THEN 'speech' ELSE 'narration' END AS kind FROM {conversations} c WHERE turn % 2 = 0 AND turn % 12 <> 6")
+#: Fingerprints of pages: signs of neighbouring components as bits, made-up shapes, the components as edges.
+PRINTS = Relation("""
+SELECT vec_id AS id, aggregate(transform(sequence(0, 61), i -> CASE WHEN embedding[i] < embedding[i + 1] THEN shiftleft(1L, i) ELSE 0L END), 0L, (s, b) -> s | b) AS hash, CAST(500 + vec_id % 37 * 20 AS DOUBLE) / 1000 AS aspect, transform(embedding, x -> CAST(x AS DOUBLE)) AS edges,
+  CAST(vec_id AS DOUBLE) / greatest(1, (SELECT max(vec_id) FROM {embeddings})) AS place FROM {embeddings} e""",
+"""
+SELECT vec_id AS id, list_sum(list_transform(range(0, 62), lambda i: CASE WHEN embedding[i + 1] < embedding[i + 2] THEN 1::BIGINT << i::INT ELSE 0::BIGINT END))::BIGINT AS hash, CAST(500 + vec_id % 37 * 20 AS DOUBLE) / 1000 AS aspect, embedding::DOUBLE[] AS edges,
+  CAST(vec_id AS DOUBLE) / greatest(1, (SELECT max(vec_id) FROM {embeddings})) AS place FROM {embeddings} e""")
+#: Texts to scan: documents, some with a planted secret or home folder, and made-up paths of files.
+TEXTS = Relation("""
+SELECT doc_id AS id, CASE doc_id % 25 WHEN 1 THEN concat(coalesce(text, ''), ' gh', 'p_', repeat('a1B2', 6)) WHEN 2 THEN concat('key AK', 'IA', repeat('Z9', 8), ' ', coalesce(text, '')) WHEN 3 THEN concat('x sk', '-ant-', repeat('q', 24)) WHEN 4 THEN concat('xsk', '-proj-', repeat('q', 24)) WHEN 5 THEN concat('a', chr(10), 'see /Us', 'ers/maria/x', chr(10), 'b')
+  WHEN 6 THEN concat('regex /ho', 'me/maria/x') WHEN 7 THEN concat('at /ho', 'me/runner/x and /ho', 'me/jan', chr(10)) WHEN 8 THEN concat('-----BEGIN EC PRI', 'VATE KEY-----') WHEN 9 THEN concat('h', 'f_', repeat('k', 19)) ELSE text END AS text FROM {documents} d""")
+PATHS = Relation("""
+SELECT DISTINCT concat(CASE o_orderkey % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'Logs/' WHEN 2 THEN 'a/models/' WHEN 3 THEN 'catalogs/' WHEN 4 THEN '.Cache/weights/' ELSE '' END, CASE o_custkey % 11 WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' WHEN 2 THEN 'my.environment' WHEN 3 THEN 'x.PEM' WHEN 4 THEN 'net.pt' WHEN 5 THEN 'credentials.json' WHEN 6 THEN '.key' WHEN 7 THEN 'run.log.txt' WHEN 8 THEN '.env.local'
+  WHEN 9 THEN 'a.sqlite3' ELSE 'readme.md' END) AS path FROM {orders} o""")

@@ -74,10 +74,10 @@ names = Plan(S.PAGE_NAMES, pages="pages")
 by_number = Plan(S.UNIQUE_KEYS, source=numbers, target=numbers)
 by_name = Plan(S.UNIQUE_KEYS, source=names, target=names)
 history = Plan(S.HISTORY, trace=trace)
-units = Plan(S.TEXT_UNITS, conversations="conversations")
+turns = Plan(A.TURNS, conversations="conversations")
 prints = Plan(S.FINGERPRINTS, documents="documents")
 finished = Plan(S.FINISHED, fingerprints=prints)
-fingerprint_costs = Plan(S.FINGERPRINT_COST, embeddings="embeddings")
+fingerprint_costs = Plan(S.FINGERPRINT_COST, prints=Plan(A.PRINTS, embeddings="embeddings"))
 
 transfers, recognised, items = Plan(A.TRANSFERS, regions=source), Plan(A.UNITS, regions=source), Plan(A.ITEMS, regions=target)
 runs, files = Plan(A.RUNS, orders="orders"), Plan(A.FILES, orders="orders")
@@ -222,13 +222,13 @@ PLANS: dict[str, Plan] = {
     "trace_windows_tumbling": Plan(S.TUMBLING, trace=trace),
     "trace_windows_session": Plan(S.SESSIONS, trace=trace),
     "retry_arbitration": Plan(S.RETRY, trace=trace),
-    "block_upsert": Plan(S.UPSERTED, trace=trace),
+    "block_upsert": Plan(S.UPSERTED, trace=trace, deletes=Plan(A.DELETES, trace=trace)),
     "cache_pruning": Plan(S.PRUNED, orders="orders"),
     "output_names": Plan(S.OUTPUT_NAMES, orders="orders"),
-    "override_overlay": Plan(S.OVERLAID, source=source, matches=sure),
+    "override_overlay": Plan(S.OVERLAID, source=source, matches=sure, overrides=Plan(A.OVERRIDES, regions=source)),
     "replaced_regions": Plan(S.REPLACED_REGIONS, source=source, matches=matches, costs=costs),
-    "text_units": units,
-    "text_unit_ranks": Plan(S.UNIT_RANKS, units=units),
+    "text_units": Plan(S.TEXT_UNITS, blocks=turns, bubbles=Plan(A.TURN_BUBBLES, conversations="conversations")),
+    "text_unit_ranks": Plan(S.UNIT_RANKS, blocks=turns),
     "stage_fingerprints": prints,
     "resume_pending": Plan(S.PENDING, fingerprints=prints, finished=finished),
     "legacy_props_normalised": Plan(S.LEGACY_PROPS, trace=trace),
@@ -239,8 +239,9 @@ PLANS: dict[str, Plan] = {
     "name_anchor_candidates": Plan(S.NAME_ANCHORS, exact=by_name, numbers=by_number),
     "natural_order_pages": Plan(S.NATURAL_ORDER, numbers=numbers),
     "clean_lines": Plan(S.CLEAN_LINES, documents="documents"),
-    "privacy_scan": Plan(S.SECRET_SCAN, documents="documents"),
-    "privacy_path_scan": Plan(S.PATH_SCAN, pages="pages"),
+    "privacy_scan": Plan(S.SECRET_SCAN, texts=Plan(A.TEXTS, documents="documents")),
+    "privacy_home_scan": Plan(S.HOME_SCAN, texts=Plan(A.TEXTS, documents="documents")),
+    "privacy_path_scan": Plan(S.PATH_SCAN, paths=Plan(A.PATHS, orders="orders")),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: p.query for k, p in PLANS.items()}
