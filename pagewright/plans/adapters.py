@@ -204,3 +204,19 @@ SELECT doc_id AS id, CASE doc_id % 25 WHEN 1 THEN concat(coalesce(text, ''), ' g
 PATHS = Relation("""
 SELECT DISTINCT concat(CASE o_orderkey % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'Logs/' WHEN 2 THEN 'a/models/' WHEN 3 THEN 'catalogs/' WHEN 4 THEN '.Cache/weights/' ELSE '' END, CASE o_custkey % 11 WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' WHEN 2 THEN 'my.environment' WHEN 3 THEN 'x.PEM' WHEN 4 THEN 'net.pt' WHEN 5 THEN 'credentials.json' WHEN 6 THEN '.key' WHEN 7 THEN 'run.log.txt' WHEN 8 THEN '.env.local'
   WHEN 9 THEN 'a.sqlite3' ELSE 'readme.md' END) AS path FROM {orders} o""")
+
+_H = "1 + CAST(page % 7 AS DOUBLE) / 50 AS h00, CAST(page % 5 AS DOUBLE) / 40 AS h01, CAST(page % 11 AS DOUBLE) AS h02, -CAST(page % 3 AS DOUBLE) / 30 AS h10, 1 - CAST(page % 4 AS DOUBLE) / 60 AS h11, CAST(page % 13 AS DOUBLE) - 5 AS h12, CAST(page % 6 AS DOUBLE) / 100000 AS h20, CAST(page % 2 AS DOUBLE) / 90000 AS h21, 1.0 AS h22"
+#: Points and boxes with the homography of their page.
+POINTS = Relation(f"SELECT page, rid, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, {_H} FROM {{regions}} r")
+WARPED = Relation(f"SELECT page, rid, x0, y0, x1, y1, {_H} FROM {{regions}} r")
+SELECTED = Relation("SELECT page, rid, CASE WHEN rid % 3 = 0 THEN x1 + 0.5 ELSE x0 - 700.5 * (rid % 2) END AS px, y0 + 0.5 AS py, CASE WHEN rid % 4 = 0 THEN x0 + 1.2 ELSE x1 END AS qx, y1 * (rid % 2 + 0.4) AS qy, CAST(text_len AS INT) * 3 AS diameter FROM {regions} r")
+DIRECTED = Relation("SELECT page, rid, x0, y0, x1, y1, CASE rid % 5 WHEN 0 THEN 'vertical' WHEN 1 THEN 'horizontal' ELSE 'auto' END AS base FROM {regions} r")
+HINTED = Relation("SELECT page, CASE WHEN rid > 2 THEN rid - rid % 3 ELSE rid END AS unit, rid, x0, y0, x1, y1, CASE rid % 7 WHEN 3 THEN 'Vertical' WHEN 5 THEN 'odd' END AS hint FROM {regions} r")
+#: Short texts of several kinds.
+PHRASES = Relation("SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN '...!?' WHEN 1 THEN 'Mode (fast) name （x） end' WHEN 2 THEN concat(' two', chr(13), chr(10), 'lines', chr(13), 'x ') WHEN 3 THEN 'Page 12 (3)' WHEN 4 THEN 'pairing=order' WHEN 5 THEN '漢字と かな' WHEN 6 THEN '' WHEN 7 THEN 'ｱｲ' ELSE p_name END AS text FROM {part} p")
+CONTENTS = Relation("SELECT doc_id AS id, concat('page-', CAST(doc_id AS STRING), '.png') AS name, coalesce(text, '') AS content FROM {documents} d")
+#: Settings by namespace, and the signatures of a page's two files.
+CONFIG = Relation("SELECT v.namespace AS namespace, concat(v.namespace, '.', k.name) AS name, concat('\"', v.namespace, '-', k.name, '\"') AS value FROM (SELECT * FROM (VALUES ('page_management'), ('pairing'), ('registration'), ('qa'), ('direct_patch'), ('mask_replace'), ('hybrid'), ('reletter'), ('ocr'), ('bubbles'), ('matching'), ('masking'), ('batch'), ('transparent_bubble_reveal')) AS t(namespace)) v CROSS JOIN (SELECT * FROM (VALUES ('smart_alignment_band'), ('enabled'), ('level')) AS t(name)) k WHERE (SELECT count(*) FROM {region}) > 0")
+FILE_PAIRS = Relation("SELECT o_orderkey AS page, concat('s', CAST(o_custkey % 50 AS STRING)) AS source, concat('t', CAST(o_orderkey % 60 AS STRING)) AS target FROM {orders} o")
+RESUMED = Relation("SELECT r.*, page % 3 = 0 AS lenient FROM {runs} r")
+FINISHED_JOBS = Relation("SELECT s.page AS page, CASE WHEN s.page % 5 = 0 THEN 'old' ELSE s.job END AS job, CASE WHEN s.page % 11 = 0 THEN '' WHEN s.page % 13 = 0 THEN 'other' ELSE r.mode END AS mode, s.page % 2 = 0 AS same_files, s.page % 4 = 0 AS touched, s.page % 17 <> 0 AS has_result FROM {signatures} s JOIN {runs} r ON r.page = s.page WHERE s.page % 7 <> 3")

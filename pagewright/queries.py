@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import text as T
 from .operators import audits as D
+from .operators import expressions as E
 from .operators import grouped as G
 from .operators import matching as M
 from .operators import pairing as N
@@ -103,6 +104,9 @@ named = Plan(N.NAMED_BUBBLES, **naming)
 region_costs = Plan(N.REGION_COSTS, source=of_source(A.IN_BUBBLE), target=Plan(A.IN_BUBBLE, regions=target))
 assigned_blocks = Plan(R.ASSIGNED, blocks=target, regions=source)
 
+scoped = Plan(E.SCOPED_SETTINGS, runs=runs, settings=Plan(A.CONFIG, region="region"))
+signatures = Plan(E.JOB_SIGNATURES, pairs=by_order(A.FILE_PAIRS), scoped=scoped)
+
 PLANS: dict[str, Plan] = {
     "page_region_match_summary": Plan(M.MATCH_SUMMARY, pages=pages, findings=findings),
     "region_pairs": Plan(R.PAIRS, **sides),
@@ -215,6 +219,18 @@ PLANS: dict[str, Plan] = {
     "unlisted_blocks": Plan(N.UNLISTED, pages=pages, blocks=target, listed=Plan(A.LISTED, assigned=assigned_blocks)),
     "cached_bubbles": Plan(N.CACHED_BUBBLES, wanted=by_order(A.WANTED), cached=by_order(A.CACHED_ROWS), items=items),
     "anchor_segments": Plan(N.SEGMENTS, anchors=by_order(A.ANCHORS), sizes=by_order(A.BOOK_SIZES)),
+    "frame_expressions": Plan(E.FRAMES, source=of_source(A.IN_BUBBLE), target=Plan(A.IN_BUBBLE, regions=target)),
+    "selection_boxes": Plan(E.SELECTIONS, selections=of_source(A.SELECTED)),
+    "local_similarity": Plan(E.SIMILARITY, points=of_source(A.POINTS)),
+    "boxes_mapped_back": Plan(E.BACK_MAPPED, boxes=of_source(A.WARPED)),
+    "text_orientations": Plan(E.ORIENTATIONS, units=of_source(A.DIRECTED), blocks=of_source(A.HINTED)),
+    "text_expressions": Plan(E.TEXTS, texts=Plan(A.PHRASES, part="part")),
+    "joined_blocks": Plan(E.JOINED_BLOCKS, blocks=turns),
+    "file_signatures": Plan(E.FILE_SIGNATURES, files=Plan(A.CONTENTS, documents="documents")),
+    "scoped_settings": scoped,
+    "job_signatures": signatures,
+    "resumable_pages": Plan(E.RESUMABLE, runs=Plan(A.RESUMED, runs=runs), signatures=signatures, finished=Plan(A.FINISHED_JOBS, signatures=signatures, runs=runs)),
+    "block_signatures": Plan(E.BLOCK_SIGNATURES, blocks=turns),
     "trace_sequence": Plan(S.TRACE_SEQUENCE, trace=trace),
     "latest_run_state": Plan(S.LATEST_STATE, trace=trace),
     "history_last50": history,
