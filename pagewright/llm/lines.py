@@ -134,16 +134,13 @@ def maybe_near(a: str, b: str) -> Column:
 
 
 def near(a: str, b: str) -> Column:
-    """Whether two lines, structs like those of ``maybe_near``, are within the threshold."""
-    t, tw = "CAST(" + threshold("least(p.n, q.n)") + " AS INT)", "CAST(" + word_threshold("least(size(p.z), size(q.z))") + " AS INT)"
+    """Whether two lines, structs like those of ``maybe_near``, are within the threshold, of words or of characters."""
+    n, m = f"least({a}.n, {b}.n)", f"least(size({a}.z), size({b}.z))"
     # The longer one comes first.
-    pair = lambda x, y, size: f"CASE WHEN {size(x)} >= {size(y)} THEN named_struct('p', {x}, 'q', {y}) ELSE named_struct('p', {y}, 'q', {x}) END"
-    chars = f"transform(array(split(p.line, '')), x -> transform(array(split(q.line, '')), y -> {edit_distance('x', 'y', t)} <= {t})[0])[0]"
-    chars = f"(least(size(p.z), size(q.z)) < {LONG} AND abs(p.n - q.n) <= {t} AND {chars})"
-    by_chars = f"transform(array({pair(a, b, lambda x: x + '.n')}), s -> transform(array(s.p), p -> transform(array(s.q), q -> {chars})[0])[0])[0]"
-    words = f"({tw} > 0 AND abs(size(p.z) - size(q.z)) <= {tw} AND {edit_distance('p.z', 'q.z', tw)} <= {tw})"
-    by_words = f"transform(array({pair(a, b, lambda x: f'size({x}.z)')}), s -> transform(array(s.p), p -> transform(array(s.q), q -> {words})[0])[0])[0]"
-    return F.expr(f"{by_words} OR {by_chars}")
+    order = lambda x, y, longer: f"'p', CASE WHEN {longer} THEN {x} ELSE {y} END, 'q', CASE WHEN {longer} THEN {y} ELSE {x} END"
+    words = f"named_struct('t', CAST({word_threshold(m)} AS INT), 'least', 1, 'apart', abs(size({a}.z) - size({b}.z)), {order(f'{a}.z', f'{b}.z', f'size({a}.z) >= size({b}.z)')})"
+    chars = f"named_struct('t', CAST(CASE WHEN {m} < {LONG} THEN {threshold(n)} ELSE -1 END AS INT), 'least', 0, 'apart', abs({a}.n - {b}.n), {order(f'split({a}.line, {chr(39) * 2})', f'split({b}.line, {chr(39) * 2})', f'{a}.n >= {b}.n')})"
+    return F.expr(f"exists(array({words}, {chars}), v -> v.t >= v.least AND v.apart <= v.t AND {edit_distance('v.p', 'v.q', 'v.t')} <= v.t)")
 
 
 def _spelled(line: str) -> Column:

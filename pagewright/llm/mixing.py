@@ -25,23 +25,19 @@ from .common import materialize, n_words, words
 MULTIPLIER, MODULUS = 48271, 2147483647
 
 
-def draw(x: str, seed: int) -> str:
-    """SQL for a pseudorandom integer in [0, MODULUS) from an integer that isn't negative, by three Lehmer steps.
-
-    """
+def draw(x: str, seed: str | int) -> str:
+    """SQL for a pseudorandom integer in [0, MODULUS) from an integer that isn't negative, by three Lehmer steps."""
     v = f"(({x}) % {MODULUS}L)"
     for k in range(3):
-        v = f"((({v} + {(seed + 1) * (k + 1) * 7919}L) * {MULTIPLIER}L) % {MODULUS}L)"
+        v = f"((({v} + ({seed} + 1) * {(k + 1) * 7919}L) * {MULTIPLIER}L) % {MODULUS}L)"
     return v
 
 
 def rounds(x: str, a: str, b: str, key: str) -> str:
-    """SQL for one pass of a two-digit Feistel network over [0, a * b)."""
-    left, right = f"({x} % {a})", f"({x} div {a})"
-    for k in range(3):
-        left = f"(({left} + {draw(f'{right} + {key}', k)}) % {a})"
-        right = f"(({right} + {draw(f'{left} + {key}', 10 + k)}) % {b})"
-    return f"({left} + {a} * {right})"
+    """SQL for one pass of a two-digit Feistel network over [0, a * b): three times the low digit by the high one and back."""
+    low = f"(s.l + {draw(f's.r + {key}', 'k')}) % {a}"
+    both = f"transform(array({low}), l -> named_struct('l', l, 'r', (s.r + {draw(f'l + {key}', '(k + 10)')}) % {b}))[0]"
+    return f"aggregate(sequence(0L, 2L), named_struct('l', ({x}) % {a}, 'r', ({x}) div {a}), (s, k) -> {both}, s -> s.l + {a} * s.r)"
 
 
 def permuted(j: str, n: str, key: str) -> Column:
@@ -52,9 +48,9 @@ def permuted(j: str, n: str, key: str) -> Column:
     probability under 64 ** -64.
     """
     a = f"CAST(ceil(sqrt({n})) AS BIGINT)"
-    start = f"named_struct('x', {j}, 'a', {a}, 'b', CAST(ceil({n} / {a}) AS BIGINT))"
-    step = f"named_struct('x', {rounds('s.x', 's.a', 's.b', key)}, 'a', s.a, 'b', s.b)"
-    return F.expr(f"aggregate(sequence(0, 64), {start}, (s, i) -> CASE WHEN i > 0 AND s.x < {n} THEN s ELSE {step} END, s -> s.x)")
+    domain = f"named_struct('n', CAST({n} AS BIGINT), 'a', {a}, 'b', CAST(ceil({n} / {a}) AS BIGINT), 'key', CAST({key} AS BIGINT))"
+    walk = f"aggregate(sequence(0, 64), CAST({j} AS BIGINT), (x, i) -> CASE WHEN i > 0 AND x < d.n THEN x ELSE {rounds('x', 'd.a', 'd.b', 'd.key')} END)"
+    return F.expr(f"transform(array({domain}), d -> {walk})[0]")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, limit: int = 3) -> DataFrame:
