@@ -99,8 +99,36 @@ def region_text(texts: Column, vertical: bool = False) -> Column:
     return F.trim(F.regexp_replace(run, "([，。！？：；、])\\1+", "$1"))
 
 
+#: Marks that end a phrase or stay with it, and particles that end one or lean on the one before (fixed values).
+_ENDS, _CLOSES, _LEANS, _PARTICLES = set("，。！？；：、…,.!?;:"), set("）】》」』〉〕］｝"), set("的吗呢吧啊呀啦哦嘛呗哇"), set("的了着过给和与及并而但却就再又还才都也把被向对从让比跟")
+
+
+def split_phrases(text: str | None) -> list[str]:
+    """CJK text in phrases: after marks, after particles and before marks from two characters on, and after four characters.
+
+    A single particle or closing mark stays with the phrase before it.
+    """
+    units: list[str] = []
+    now = ""
+    text = (text or "").replace("\n", "")
+    for i, c in enumerate(text):
+        now += c
+        follows = text[i + 1 : i + 2]
+        if c in _ENDS or c in _CLOSES or (len(now) >= 2 and (c in _PARTICLES or follows in _ENDS and follows)) or (len(now) >= 4 and follows):
+            units.append(now)
+            now = ""
+    if now:
+        units.append(now)
+    out: list[str] = []
+    for k, u in enumerate(units):
+        leans = len(u) == 1 and (u in _LEANS or (u in _CLOSES and not (k == len(units) - 1 and u == now)))
+        if out and leans:
+            out[-1] += u
+        else:
+            out.append(u)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def phrases(texts: pd.Series) -> pd.Series:
-    """CJK text cut into phrases after punctuation; closing marks stay with what they close."""
-    cut = re.compile(r"[^，。！？：；、,.!?:;…\s]*[，。！？：；、,.!?:;…」』）)\]】]*\s*")
-    return texts.map(lambda t: [p.strip() for p in cut.findall(t or "") if p.strip()], na_action=None)
+    return texts.map(split_phrases, na_action=None)

@@ -47,7 +47,7 @@ _den = "(h20 * x + h21 * y + h22)"
 _j = {"a": f"(h00 * {_den} - (h00 * x + h01 * y + h02) * h20) / ({_den} * {_den})", "b": f"(h01 * {_den} - (h00 * x + h01 * y + h02) * h21) / ({_den} * {_den})", "c": f"(h10 * {_den} - (h10 * x + h11 * y + h12) * h20) / ({_den} * {_den})", "d": f"(h11 * {_den} - (h10 * x + h11 * y + h12) * h21) / ({_den} * {_den})"}
 #: What a homography does near a point: where it goes, and scale, turn and unevenness of the nearest similarity (closed form of the 2x2 singular values).
 SIMILARITY = Relation(f"""
-SELECT page, rid, round(tx, 9) AS tx, round(ty, 9) AS ty, round(sqrt(greatest(1e-12, abs(a * d - b * c))), 9) AS scale, round(degrees(CASE WHEN a * d - b * c >= 0 THEN atan2(c - b, a + d) ELSE atan2(c + b, a - d) END), 6) AS turn,
+SELECT page, rid, round(tx, 9) AS tx, round(ty, 9) AS ty, round(sqrt(greatest(1e-12, abs(a * d - b * c))), 9) AS scale, round(degrees(CASE WHEN a * d - b * c >= 0 THEN atan2(c - b, a + d) ELSE atan2(c + b, a - d) END), 6) + 0.0 AS turn,
   round(abs(large - small) / greatest(1e-9, 0.5 * (large + small)), 9) AS uneven
 FROM (SELECT *, (sqrt(power(a + d, 2) + power(c - b, 2)) + sqrt(power(a - d, 2) + power(b + c, 2))) / 2 AS large, abs(sqrt(power(a + d, 2) + power(c - b, 2)) - sqrt(power(a - d, 2) + power(b + c, 2))) / 2 AS small FROM (
   SELECT page, rid, (h00 * x + h01 * y + h02) / {_den} AS tx, (h10 * x + h11 * y + h12) / {_den} AS ty, {_j['a']} AS a, {_j['b']} AS b, {_j['c']} AS c, {_j['d']} AS d FROM {{points}} p WHERE abs({_den}) >= 1e-12) j) s""")

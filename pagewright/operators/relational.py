@@ -14,13 +14,13 @@ from ..plans.relation import Operator, Relation
 
 #: The last state of a run at or before each mark of time: marks and states in one ordered pass, so that nothing is paired.
 AS_OF = Relation("""
-SELECT run, mark, at, state, state_at FROM (
+SELECT run, mark, at AS marked_at, state, state_at FROM (
   SELECT run, mark, at, last_value(stage, true) OVER w AS state, last_value(stage_at, true) OVER w AS state_at
   FROM (SELECT run, event_id AS mark, ts AS at, CAST(NULL AS STRING) AS stage, CAST(NULL AS TIMESTAMP) AS stage_at, 1 AS later FROM {marks} UNION ALL SELECT run, NULL, ts, stage, ts, 0 FROM {states}) u
   WINDOW w AS (PARTITION BY run ORDER BY at, later, stage ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ) x WHERE mark IS NOT NULL""",
 """
-SELECT m.run AS run, m.event_id AS mark, m.ts AS at, s.stage AS state, s.ts AS state_at FROM {marks} m ASOF LEFT JOIN (SELECT run, ts, max(stage) AS stage FROM {states} GROUP BY run, ts) s ON s.run = m.run AND s.ts <= m.ts""")
+SELECT m.run AS run, m.event_id AS mark, m.ts AS marked_at, s.stage AS state, s.ts AS state_at FROM {marks} m ASOF LEFT JOIN (SELECT run, ts, max(stage) AS stage FROM {states} GROUP BY run, ts) s ON s.run = m.run AND s.ts <= m.ts""")
 
 #: Regions of both editions side by side, whichever side has them.
 EDITIONS = Relation("""

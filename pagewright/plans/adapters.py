@@ -220,3 +220,15 @@ CONFIG = Relation("SELECT v.namespace AS namespace, concat(v.namespace, '.', k.n
 FILE_PAIRS = Relation("SELECT o_orderkey AS page, concat('s', CAST(o_custkey % 50 AS STRING)) AS source, concat('t', CAST(o_orderkey % 60 AS STRING)) AS target FROM {orders} o")
 RESUMED = Relation("SELECT r.*, page % 3 = 0 AS lenient FROM {runs} r")
 FINISHED_JOBS = Relation("SELECT s.page AS page, CASE WHEN s.page % 5 = 0 THEN 'old' ELSE s.job END AS job, CASE WHEN s.page % 11 = 0 THEN '' WHEN s.page % 13 = 0 THEN 'other' ELSE r.mode END AS mode, s.page % 2 = 0 AS same_files, s.page % 4 = 0 AS touched, s.page % 17 <> 0 AS has_result FROM {signatures} s JOIN {runs} r ON r.page = s.page WHERE s.page % 7 <> 3")
+
+#: Files of folders as a listing would give them, and sessions of outputs.
+LISTING = Relation("SELECT concat('d', CAST(o_custkey % 20 AS STRING), '/', concat(CASE o_orderkey % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'scan 1' ELSE 'notes' END, CASE WHEN o_orderkey % 5 = 0 THEN ' (2)' ELSE '' END, CASE WHEN o_orderkey % 4 = 3 THEN 'x' ELSE '' END), '.', CASE WHEN o_orderkey % 2 = 0 THEN 'md' ELSE 'json' END) AS path, concat('d', CAST(o_custkey % 20 AS STRING)) AS folder, concat(CASE o_orderkey % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'scan 1' ELSE 'notes' END, CASE WHEN o_orderkey % 5 = 0 THEN ' (2)' ELSE '' END, CASE WHEN o_orderkey % 4 = 3 THEN 'x' ELSE '' END) AS stem, CASE WHEN o_orderkey % 2 = 0 THEN 'md' ELSE 'json' END AS ending FROM {orders} o")
+FILES_ONCE = Relation("SELECT DISTINCT path, folder, stem, ending FROM {listing} l")
+IMAGES = Relation("SELECT o_orderkey AS page_id, o_custkey AS folder, lpad(CAST(o_orderkey % 1000 AS STRING), 12, '0') AS sort_key, 1 + o_custkey % 3 AS start_page FROM {orders} o")
+MANIFESTS = Relation("SELECT o.o_orderkey AS page, concat('alt', CAST(v.place AS STRING)) AS path, CASE WHEN v.place = 1 THEN 'remake' END AS kind, v.place AS place, (o.o_orderkey + v.place) % 3 <> 0 AS present FROM {orders} o CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS t(place)) v")
+LOOKED_FOR = Relation("SELECT o.o_orderkey AS page, concat(CASE WHEN v.place < 3 THEN 'd1/scan' ELSE 'd2/notes' END, CASE WHEN o.o_orderkey % 2 = 0 THEN 'x' ELSE '' END) AS stem, v.ending AS ending, v.place AS place FROM {orders} o CROSS JOIN (SELECT * FROM (VALUES ('png', 0), ('json', 1), ('md', 2), ('json', 3), ('md', 4)) AS t(ending, place)) v")
+SESSION = Relation("""
+SELECT o_custkey AS session, concat('page', CAST(o_orderkey AS STRING)) AS page_id, concat('in/', CAST(o_orderkey AS STRING)) AS project_source, o_orderkey % 3 = 0 AS project_source_there, concat('out/', CAST(o_orderkey AS STRING)) AS project_target, o_orderkey % 4 = 0 AS project_target_there, o_orderkey % 5 <> 0 AS source_original,
+  o_orderkey % 2 = 0 AS source_authority, o_orderkey % 7 <> 0 AS target_original, o_custkey % 4 AS source_index, o_orderkey % 3 AS target_index, o_orderkey % 6 = 1 AS failed, CASE WHEN o_orderkey % 8 <> 0 THEN 'final.png' END AS final FROM {orders} o""")
+RESTORED_PAIRS = Relation("SELECT o_custkey AS session, concat('s', CAST(o_orderkey AS STRING)) AS source, concat('t', CAST(o_orderkey AS STRING)) AS target FROM {orders} o WHERE o_orderkey % 3 <> 0")
+FOLDER_PAIRS = Relation("SELECT o_custkey AS session, concat('s', CAST(o_orderkey AS STRING)) AS source, concat('t', CAST(o_orderkey AS STRING)) AS target FROM {orders} o WHERE o_custkey % 2 = 0 OR o_orderkey % 7 = 0")

@@ -22,6 +22,7 @@ from .operators import rules as U
 from .operators import sequences as S
 from .plans import adapters as A
 from .plans.relation import Relation
+from .sources import projects as J
 from .streaming import history as H
 
 
@@ -107,6 +108,8 @@ assigned_blocks = Plan(R.ASSIGNED, blocks=target, regions=source)
 scoped = Plan(E.SCOPED_SETTINGS, runs=runs, settings=Plan(A.CONFIG, region="region"))
 signatures = Plan(E.JOB_SIGNATURES, pairs=by_order(A.FILE_PAIRS), scoped=scoped)
 
+listing = Plan(A.FILES_ONCE, listing=by_order(A.LISTING))
+
 PLANS: dict[str, Plan] = {
     "page_region_match_summary": Plan(M.MATCH_SUMMARY, pages=pages, findings=findings),
     "region_pairs": Plan(R.PAIRS, **sides),
@@ -231,6 +234,12 @@ PLANS: dict[str, Plan] = {
     "job_signatures": signatures,
     "resumable_pages": Plan(E.RESUMABLE, runs=Plan(A.RESUMED, runs=runs), signatures=signatures, finished=Plan(A.FINISHED_JOBS, signatures=signatures, runs=runs)),
     "block_signatures": Plan(E.BLOCK_SIGNATURES, blocks=turns),
+    "json_companions": Plan(J.COMPANIONS, files=listing),
+    "page_indexes": Plan(J.PAGE_INDEXES, images=by_order(A.IMAGES)),
+    "listed_sources": Plan(J.LISTED_SOURCES, listed=by_order(A.MANIFESTS)),
+    "second_sources": Plan(J.SECOND_SOURCES, wanted=by_order(A.LOOKED_FOR), files=listing),
+    "restored_session": Plan(J.RESTORED, folders=by_order(A.SESSION)),
+    "expanded_session": Plan(J.EXPANDED, paired=by_order(A.FOLDER_PAIRS), restored=by_order(A.RESTORED_PAIRS)),
     "trace_sequence": Plan(S.TRACE_SEQUENCE, trace=trace),
     "latest_run_state": Plan(S.LATEST_STATE, trace=trace),
     "history_last50": history,
