@@ -112,6 +112,8 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """An assignment of least total cost (shortest augmenting paths), each row and column used once at most."""
     if not cost.size:
         return []
+    if 1 in cost.shape:
+        return [tuple(int(k) for k in np.unravel_index(cost.argmin(), cost.shape))]
     if cost.shape[0] > cost.shape[1]:
         return sorted((i, j) for j, i in assign(cost.T))
     n, m = cost.shape
