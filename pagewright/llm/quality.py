@@ -48,7 +48,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     twice or more in the text), n_distinct (different words), n_upper, n_digits, n_exclaims: long.  A null text counts as empty.
 
     Repeated windows are found by sorting the windows of a text by their 64-bit hash, so the work
-    grows as n log n with the length of a text, however often it repeats itself.
+    grows as n log n with the length of a text, however often it repeats itself; two windows of a text of n words
+    are taken for equal by chance with a probability of about n * n / 2 ** 65.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_digits", "n_exclaims"]
     keep = [f"`{c}`" for c in docs.columns if c not in own]
@@ -161,13 +162,16 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **options) -> list[list[Condition]]:
     """Learn rules from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1), at most ``train_rows`` labelled rows.
 
-    A row labelled twice counts as good if one label says so; rows without label or id aren't learned from.
+    A row labelled twice counts as good if one label says so; rows without label or id aren't learned from, and of
+    rows with one id the text first in order is.
     """
     sample = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("__quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # The sample is bounded by train_rows, so it can be broadcast.
-    known = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    rows = known.select("doc_id", "__quality", *(F.expr(e).alias(f) for f, e in FEATURES.items())).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(2 * train_rows).collect()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    once = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__quality").alias("__quality"))
+    known = statistics(once)
+    rows = known.select("doc_id", "__quality", *(F.expr(e).alias(f) for f, e in FEATURES.items())).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return learn([{f: float(r[f]) for f in FEATURES} for r in rows], [r["__quality"] == 0 for r in rows], **options)
 
 
